@@ -130,3 +130,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
         before = state
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return roots.unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+#: Rows of an Arrow batch handled at once in Python.
+SLICE_ROWS = 512
+
+
+def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`) with the columns of `ddl` worked out from one text column, batch by batch.
+
+    make() gives, once a task, a function from a list of texts to a list of Arrow arrays. Every other column goes
+    through as Arrow; a column of df with the name of a new one gives way to it.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(ddl).fields
+    keep = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in new}]
+    source = "__ns_source"
+    schema = T.StructType([*(df.schema[c] for c in keep), *new])
+    names = schema.names
+
+    def run(batches):
+        each = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                made = each(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
+
+    return df.select(*keep, F.col(text).alias(source)).mapInArrow(run, schema)

@@ -25,8 +25,42 @@ def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from nighspark.llm.packing import pack_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pack_documents(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nighspark.llm.tokencount import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, _tokenizer("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens", F.round("token_score", 6).alias("token_score"))
+
+
+def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nighspark.llm.decontam import contamination, judged
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = judged(contamination(docs, table(spark, sf_dir, "benchmark")))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
+        "op2_swap_packing": op2_swap_packing,
         "op7_template_lines": op7_template_lines,
+        "op9_trie_tokens": op9_trie_tokens,
+        "op10_suffix_decontamination": op10_suffix_decontamination,
     }
