@@ -132,8 +132,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") ->
     return roots.unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-#: Rows of an Arrow batch handled at once in Python.
-SLICE_ROWS = 512
+#: Rows and bytes of text of an Arrow batch handled at once in Python; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
+
+
+def slices(sizes: list):
+    """(from, to) of runs of rows within SLICE_ROWS and SLICE_BYTES."""
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at >= SLICE_ROWS or held + size > SLICE_BYTES):
+            yield at, i
+            at, held = i, 0
+        held += size
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None = None) -> DataFrame:
@@ -143,6 +155,7 @@ def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None =
     through as Arrow; a column of df with the name of a new one gives way to it.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql import types as T
 
     new = T._parse_datatype_string(ddl).fields
@@ -154,8 +167,9 @@ def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None =
     def run(batches):
         each = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
+            for at, to in slices(np.nan_to_num(sizes).tolist()):
+                part = batch.slice(at, to - at)
                 made = each(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)
 
