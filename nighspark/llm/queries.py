@@ -18,7 +18,7 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bucket(modulus: int):
     """crc32 of doc_id as text, modulo `modulus`: who is held out."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
 def op3_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,17 @@ def op3_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(_bucket(5) != 0).select("text", "lang"))
-    held = docs.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "text")
+    held = docs.select("doc_id", (_bucket(5) == 0).alias("held_out"), "text")
     return identify(held, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nighspark.llm.lmscore import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, "doc_id", "text", _bucket(10) == 0)
+
+
 def op7_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.linededup import dedup_lines
 
@@ -75,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jump_sharding": op1_jump_sharding,
         "op2_swap_packing": op2_swap_packing,
         "op3_viterbi_language": op3_viterbi_language,
+        "op6_context_mixing": op6_context_mixing,
         "op7_template_lines": op7_template_lines,
         "op9_trie_tokens": op9_trie_tokens,
         "op10_suffix_decontamination": op10_suffix_decontamination,
