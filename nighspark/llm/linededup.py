@@ -29,16 +29,19 @@ def _row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def _masked(line: Column) -> Column:
-    flat = F.trim(F.translate(line, "\t\r", "  "))
+def _flat(line: Column) -> Column:
+    return F.trim(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
+
+
+def _masked(flat: Column) -> Column:
     return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(flat)
 
 
 def _lines(df: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
     """row (document), id, pos, m (masked line), n (tokens), leaf (hash of the fixed-depth path)."""
     at = df.where(F.col(text).isNotNull()).select(_row_key(doc_id, text).alias("row"), F.col(doc_id).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    at = at.select("row", "id", "pos", _masked(F.col("line")).alias("m")).where("m <> ''")
-    n = F.length("m") - F.length(F.translate("m", " ", "")) + 1
+    at = at.withColumn("flat", _flat(F.col("line"))).where("flat <> ''").select("row", "id", "pos", _masked(F.col("flat")).alias("m"))
+    n = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
     return at.select("row", "id", "pos", "m", n.alias("n"), F.xxhash64(n, F.substring_index("m", " ", depth)).alias("leaf"))
 
 
