@@ -30,6 +30,21 @@ def op3_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(held, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_paragraph_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nighspark.llm.substring import repeated_spans
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = repeated_spans(docs)
+    return spans.select(F.col("id").alias("doc_id"), F.col("start").alias("first_word"), "n_words", "cluster_id", "removed")
+
+
+def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nighspark.llm.neardup import near_duplicates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=2, percent=80)
+
+
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.lmscore import score_texts
 
@@ -62,6 +77,12 @@ def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nighspark.llm.nndescent import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op9_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.tokencount import count_tokens
 
@@ -82,8 +103,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jump_sharding": op1_jump_sharding,
         "op2_swap_packing": op2_swap_packing,
         "op3_viterbi_language": op3_viterbi_language,
+        "op4_paragraph_passages": op4_paragraph_passages,
+        "op5_minmax_neardup": op5_minmax_neardup,
         "op6_context_mixing": op6_context_mixing,
         "op7_template_lines": op7_template_lines,
+        "op8_nn_descent": op8_nn_descent,
         "op9_trie_tokens": op9_trie_tokens,
         "op10_suffix_decontamination": op10_suffix_decontamination,
     }
