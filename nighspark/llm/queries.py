@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,10 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jump_sharding": op1_jump_sharding,
@@ -110,4 +115,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nn_descent": op8_nn_descent,
         "op9_trie_tokens": op9_trie_tokens,
         "op10_suffix_decontamination": op10_suffix_decontamination,
+        "pipeline": pipeline,
     }
