@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nighspark.functions import geometry as G
 
-GEOMETRY = "struct<kind:tinyint,wkb:binary,minx:double,miny:double,maxx:double,maxy:double>"
+GEOMETRY = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("wkb", T.BinaryType()), *(T.StructField(n, T.DoubleType()) for n in ("minx", "miny", "maxx", "maxy"))])
 
 
 def _struct(found: list) -> pd.DataFrame:
@@ -33,7 +34,7 @@ def _from_wkb(data: pd.Series) -> pd.DataFrame:
     return _struct([None if d is None else G.from_wkb(bytes(d)) for d in data])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _as_wkt(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else G.to_wkt(G.from_wkb(bytes(d))) for d in data], dtype=object)
 
@@ -53,14 +54,14 @@ def _cached():
     return of
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wkb_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     of = _cached()
     return pd.Series([None if a is None or b is None else G.distance(of(a), of(b)) for a, b in zip(left, right)], dtype="float64")
 
 
 def wkb_predicate(name: str):
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         of = _cached()
         return pd.Series([a is not None and b is not None and G.test(name, of(a), of(b)) for a, b in zip(left, right)])

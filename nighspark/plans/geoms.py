@@ -82,7 +82,7 @@ def shape(a: str, kind: str) -> Column:
     return _boxed(*(F.col(f"{a}{n}") for n in ENVELOPE))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _boxed(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
     import numpy as np
 
