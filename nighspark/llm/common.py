@@ -29,11 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Held while an intermediate table is written: its shuffle files go once it is there, and Arrow batches of texts stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/nighspark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._nighspark_path = path
@@ -63,6 +74,11 @@ def _clean() -> None:
             pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in Arrow batches of 2048 rows in this session, so that tasks need little memory beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,14 +123,46 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mixed(acc + np.uint64(width)))
 
 
+#: Links up to which one task finds the components (16 bytes each in memory); beyond it rounds of joins do.
+FEW_LINKS = 200_000
+
+
+def _forest(batches):
+    """(id, component) of the links (u, v) of all batches, by merging trees."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = parent.setdefault(x, x)
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    ids = list(parent)
+    for at in range(0, len(ids), 10_000):
+        part = ids[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["id", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:
     """(id, component) for every id in the links of edges; component is the smallest id reachable.
 
     Alternating large-star and small-star rounds, each written to the shared folder; a round is two aggregations
-    and two joins on ids, whose hot ids adaptive execution splits. Ends when a round changes nothing.
+    and two joins on ids, whose hot ids adaptive execution splits. Ends when a round changes nothing. A counted, small
+    number of links (FEW_LINKS) is left to one task, with the same result.
     """
     e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     e, before = written(e, tag), None
+    if e.count() <= FEW_LINKS:
+        return written(e.select("u", "v").coalesce(1).mapInArrow(_forest, "id long, component long"), tag)
     while True:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -4,11 +4,13 @@ Under each of P hash functions a set keeps its smallest and its largest value, s
 both agree between two sets with the probability of their Jaccard similarity, and together they vary less than 2P
 independent minima. Bands of `rows` values are bucket keys.
 
-Documents with equal sets are one class from the start. Within a bucket no pairs are enumerated at first: each class is
-verified against one centre, and what verified links join into components. Then only buckets that still hold several
-components matter: the pairs between different components of small ones, stars of several centres in large ones, and at
-last the pairs that are left, of sizes that could reach the threshold. A group of copies however large thus costs one
-verification a member. Verification recomputes both full sets from the texts.
+Documents with equal sets are one class from the start. Within a bucket no pairs are enumerated: each class is verified
+against one centre, the class that shares most bucket places (the original of a group of copies, as a rule), and what
+verified links join into components. A group of copies however large thus costs one verification a member. Only classes
+of buckets that still hold several components may have links left. These are found by an exact prefix join among them:
+with shingles ordered by how many of these classes have them, two sets at the threshold share one of the rarest of each,
+at places that leave room for the overlap needed, so edited copies just below the threshold make no pairs with their
+whole group. Every link counts only when verified on both full sets, recomputed from the texts.
 
 With the default 28 bands of 4 a pair at the threshold 0.8 shares no bucket with probability (1 - 0.8^4)^28 < 4e-7.
 
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from nighspark.llm.common import components, drop_written, map_texts, maybe_broadcast, mixed, shingles, word_hashes, words, written
 
 BANDS, ROWS = 28, 4
-SMALL_BUCKET, CENTRES = 48, 6
+#: Rounds before the last in which a class meets some of a component's classes, and how many for a shingle.
+ROUNDS, MEETS = 2, 4
 #: Rows (two longs) up to which representatives are broadcast to fetch their texts.
 BROADCAST_CLASSES = 400_000
 
@@ -103,42 +106,82 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _links(buckets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) links between classes, enough to join every two classes that verified links within buckets join.
+def _prefixes(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """class, n, left, shingle, df: the rarest shingles of each class (class, n) that every partner shares one of.
 
-    buckets: (key, class, n) with at least two classes a key.
+    Sets of n and m at the threshold share at least need = percent * (n + m) / (100 + percent) shingles, so under any
+    common order of shingles their first common one leaves that many at and behind it (`left`) in both.
     """
-    low = buckets.groupBy("key").agg(F.min("class").alias("centre"))
-    star = buckets.join(low, "key").where("class <> centre").groupBy("class").agg(F.min("centre").alias("centre"))
-    tested = written(star.select(F.col("centre").alias("a"), F.col("class").alias("b")), "star")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            for at in range(0, len(sets), 64):
+                flat = np.concatenate(sets[at : at + 64])
+                names = np.repeat(batch.column(0).to_numpy()[at : at + 64], size[at : at + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(flat.view(np.int64))], names=["class", "shingle"])
+
+    each = written(texts.join(classes.select("class"), "class", "left_semi").select("class", "text").mapInArrow(run, "class long, shingle long"), "shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one class come first in the order and match nothing: only their number is needed, as an offset
+    kept = each.join(often, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    prefix = kept.join(classes.select("class", "n"), "class").withColumn("alone", F.col("n") - F.size("s"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    rows = prefix.where(length > 0).select("class", "n", "alone", F.posexplode(F.slice("s", 1, length.cast("int"))).alias("i", "s"))
+    return written(rows.select("class", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), "s.shingle", "s.df"), "prefixes")
+
+
+def _prefix_pairs(prefixes: DataFrame, components_of: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """(a, b): the pairs of classes of different components (class, c) that could reach the threshold.
+
+    With a seed only some of them, chosen by it: for each of its shingles a class meets a few of the largest component
+    that has the shingle, so their number follows that of classes whatever the components' sizes.
+    """
+    rows = prefixes.join(components_of, "class")
+    mixed_up = rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("shingle", "least")
+    rows = rows.join(mixed_up, "shingle").where(F.col("left") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+    large = components_of.groupBy("c").agg(F.count("*").alias("members"))
+    rows = rows.join(large, "c").withColumn("rank", F.struct("members", "c"))
+    side = lambda df, x: df.select("shingle", F.col("class").alias(x), F.col("rank").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"))
+    left, right = side(rows, "a"), side(rows, "b")
+    if seed is not None:
+        turn = F.row_number().over(Window.partitionBy("shingle").orderBy(F.desc("rb"), F.xxhash64("b", F.lit(seed))))
+        right = right.withColumn("turn", turn).where(F.col("turn") <= MEETS).drop("turn")
+    reach = F.least("la", "lb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pairs = left.join(right, "shingle").where((F.col("ra") < F.col("rb")) & reach)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links between classes, enough to join every two classes that links within buckets join.
+
+    buckets: (key, class) with at least two classes a key; sizes: (class, n).
+    """
+    sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("size")), "key")
+    degree = sized.groupBy("class").agg(F.sum("size").alias("degree"))
+    ranked = buckets.join(degree, "class").select("key", "class", F.struct("degree", "class").alias("place"))
+    top = ranked.groupBy("key").agg(F.max("place").alias("top"))
+    # of the centres of its buckets a class takes the one it meets most often, not one that an odd bucket brings
+    met = ranked.join(top, "key").groupBy("class", "top").agg(F.count("*").alias("times")).where("top.class <> class")
+    star = met.groupBy("class").agg(F.max(F.struct("times", "top")).alias("t")).select(F.col("t.top.class").alias("a"), F.col("class").alias("b"))
+    tested = written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     links = written(_verified(tested, texts, width, percent), "links")
-    members = buckets
-    for last in (False, True):
-        found = components(links)
-        members = members.select("key", "class", "n").join(found.withColumnsRenamed({"id": "class", "component": "c"}), "class", "left").withColumn("c", F.coalesce("c", "class"))
-        open_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "size")
-        members = written(members.join(open_keys, "key"), "open")
-        if members.isEmpty():
+    prefixes = None
+    # a few of each component's classes first: what they join needs no further pairs; then all that are left
+    for seed in (*range(ROUNDS), None):
+        found = components(links).withColumnsRenamed({"id": "class", "component": "c"})
+        members = buckets.join(found, "class", "left").withColumn("c", F.coalesce("c", "class"))
+        still = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        classes = written(members.join(still, "key", "left_semi").select("class", "c").distinct().join(sizes, "class"), "open")
+        if classes.isEmpty():
             break
-        left = members.select("key", "size", F.col("class").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-        right = members.select("key", F.col("class").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-        if not last:
-            # in large buckets a few centres, one for each of the components that hash lowest, stand for the left side
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("ca"), "a"))
-            heads = left.where(F.col("size") > SMALL_BUCKET).groupBy("key", "ca").agg(F.min(F.struct("a", "na")).alias("h")).select("key", "ca", "h.a", "h.na")
-            heads = heads.withColumn("r", rank).where(F.col("r") <= CENTRES)
-            left = left.where(F.col("size") <= SMALL_BUCKET).select("key", "a", "ca", "na").unionAll(heads.select("key", "a", "ca", "na"))
-            near = left.join(right, "key").where("ca <> cb")
-            near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb")
-        else:
-            near = left.join(right, "key").where("a < b and ca <> cb").select("a", "b", "na", "nb")
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        new = near.where(fits).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        new = written(new, "pairs")
-        more = written(links.unionAll(_verified(new, texts, width, percent)), "links")
-        tested = written(tested.unionAll(new), "tested")
-        drop_written(links)
-        links = more
+        if prefixes is None:
+            prefixes = _prefixes(classes, texts, width, percent)
+        pairs = _prefix_pairs(prefixes, classes.select("class", "c"), percent, seed).join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        links = written(links.unionAll(_verified(pairs, texts, width, percent)), "links")
+        tested = tested.unionAll(pairs)
     return links
 
 
@@ -146,14 +189,14 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     """One row per row of df: row (hash of id and text), id, n_shingles, component_id (the smallest id of its group)."""
     signed = written(_signed(df, id_col, text, width, bands, rows), "signed")
     classes = signed.where("class is not null")
-    distinct = classes.groupBy("class").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"))
-    keyed = distinct.select("class", "row", "n", F.explode("bands").alias("key"))
+    keyed = classes.groupBy("class").agg(F.first("bands").alias("bands")).select("class", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = written(keyed.join(shared, "key", "left_semi"), "buckets")
-    wanted = written(buckets.select("class", F.col("row").alias("want")).distinct(), "wanted")
+    buckets = written(keyed.join(shared, "key", "left_semi").select("key", "class"), "buckets")
+    in_bucket = buckets.select("class").distinct()
+    wanted = written(classes.groupBy("class").agg(F.min("row").alias("want"), F.first("n").alias("n")).join(in_bucket, "class", "left_semi"), "wanted")
     source = df.select(F.xxhash64(id_col, text).alias("want"), F.col(text).alias("text"))
-    texts = written(source.join(maybe_broadcast(wanted, wanted.count(), BROADCAST_CLASSES), "want").dropDuplicates(["class"]).select("class", "text"), "texts")
-    links = _links(buckets.select("key", "class", "n"), texts, width, percent)
+    texts = written(source.join(maybe_broadcast(wanted.select("want", "class"), wanted.count(), BROADCAST_CLASSES), "want").dropDuplicates(["class"]).select("class", "text"), "texts")
+    links = _links(buckets, wanted.select("class", "n"), texts, width, percent)
     joined = components(links).withColumnsRenamed({"id": "class", "component": "root"})
     drop_written(texts)
     # the smallest id of each class, then of each group of classes; rows get it through their class
