@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import table, written
+from nighspark.llm.common import small_batches, table, written
 from nighspark.llm.decontam import decontaminate
 from nighspark.llm.langid import UNKNOWN, identify, train
 from nighspark.llm.linededup import dedup_lines
@@ -20,6 +20,7 @@ from nighspark.llm.packing import pack_documents
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the labels teach; those without any letter (und) go."""
+    small_batches(spark)
     model = train(docs.select("text", "lang"))
     found = identify(docs.withColumn("__ns_text", F.col("text")), model, text="__ns_text")
     return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
@@ -33,16 +34,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (smallest doc_id) of each group of near duplicates: five words, similarity 0.8."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
+    small_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens, packed into sequences of 1024."""
+    small_batches(spark)
     import public_tokenizers
 
     return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -56,7 +56,7 @@ _OTHER = len(SCRIPTS)
 
 
 def _code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 @functools.cache
@@ -78,26 +78,28 @@ class Words:
     """The words of several texts laid end to end: n-gram cells by position, word bounds, scripts, letters."""
 
     def __init__(self, texts: list, kinds: np.ndarray, bits: int):
-        parts = [_code_points(t + "\n") if t else np.array([10]) for t in texts]
-        cp = np.concatenate([np.array([10]), *parts, np.array([10])])
-        doc_of = np.concatenate([[0], np.repeat(np.arange(len(parts)), [len(p) for p in parts]), [len(parts)]])
+        parts = [_code_points(t + "\n" if t else "\n") for t in texts]
+        mark = np.array([10], np.uint32)
+        cp = np.concatenate([mark, *parts, mark])
+        ends = np.cumsum([1, *(len(p) for p in parts)])
         script = kinds[np.minimum(cp, 0x10FFFF)]
         letter = script >= 0
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
-        self.docs = doc_of[self.starts]
+        self.docs = np.searchsorted(ends, self.starts, side="right") - 1
         self.letters = self.ends - self.starts
         self.script = script[self.starts]
-        # every n-gram ends at a position from the word's second-to-first letter to the mark behind it
-        x = np.where(letter, cp, 0).astype(np.uint64)
+        # n-grams end at each letter of a word and at the mark behind it
+        x = np.where(letter, cp, np.uint32(0))
         self.cells = []
-        h = np.zeros(len(x), np.uint64)
+        h = np.zeros(len(x), np.uint32)
         for n in range(1, max(ORDERS) + 1):
-            back = np.concatenate([np.zeros(n - 1, np.uint64), x[: len(x) - n + 1]])
-            h = (h + back + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
+            h[n - 1 :] += x[: len(x) - n + 1]
+            h += np.uint32(n)
+            h *= np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
             if n in ORDERS:
-                self.cells.append((h >> np.uint64(64 - bits)).astype(np.int64) if bits < 64 else h)
+                self.cells.append(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.uint16 if bits <= 16 else np.uint32))
         self.letter, self.size = letter, len(x)
 
 
@@ -139,11 +141,12 @@ class Model:
     def label(self, texts: list, kinds: np.ndarray, penalty: float = PENALTY) -> tuple[Words, np.ndarray, np.ndarray]:
         """The words, each word's scores by language and its label on the best path of its document."""
         w = Words(texts, kinds, self.bits)
-        gain = self.logs[w.cells[0]]
-        for c in w.cells[1:]:
-            gain = gain + self.logs[c]
-        stops = np.stack([w.starts, w.ends + 1], 1).ravel()
-        scores = np.add.reduceat(gain, stops, axis=0)[::2] if len(w.starts) else np.zeros((0, len(self.langs)), np.float32)
+        scores = np.empty((len(w.starts), len(self.langs)), np.float32)
+        for at in range(0, len(w.starts), 50_000):  # word by word would be slow, all at once large
+            first, last = w.starts[at : at + 50_000], w.ends[at : at + 50_000]
+            low = int(first[0])
+            gain = sum(self.logs[c[low : int(last[-1]) + 2]] for c in w.cells)
+            scores[at : at + 50_000] = np.add.reduceat(gain, np.stack([first - low, last + 1 - low], 1).ravel(), axis=0)[::2]
         allowed = self.allowed[w.script]
         allowed = np.where(allowed.any(1, keepdims=True), allowed, True)
         scores = np.where(allowed, scores, np.float32(-1e4)).astype(np.float32)

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import table
+from nighspark.llm.common import small_batches, table
 
 
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def _bucket(modulus: int):
 def op3_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.langid import identify, train
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(_bucket(5) != 0).select("text", "lang"))
     held = docs.select("doc_id", (_bucket(5) == 0).alias("held_out"), "text")
@@ -34,6 +35,7 @@ def op3_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_paragraph_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.substring import repeated_spans
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = repeated_spans(docs)
     return spans.select(F.col("id").alias("doc_id"), F.col("start").alias("first_word"), "n_words", "cluster_id", "removed")
@@ -42,6 +44,7 @@ def op4_paragraph_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.neardup import near_duplicates
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, width=2, percent=80)
 
@@ -49,6 +52,7 @@ def op5_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.lmscore import score_texts
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, "doc_id", "text", _bucket(10) == 0)
 
@@ -71,6 +75,7 @@ def _tokenizer(name: str) -> str:
 def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     from nighspark.llm.packing import pack_documents
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +92,7 @@ def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.tokencount import count_tokens
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, _tokenizer("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens", F.round("token_score", 6).alias("token_score"))
 
@@ -94,6 +100,7 @@ def op9_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nighspark.llm.decontam import contamination, judged
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = judged(contamination(docs, table(spark, sf_dir, "benchmark")))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -117,3 +124,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_decontamination": op10_suffix_decontamination,
         "pipeline": pipeline,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    """Training, packing, passages and token counts are not SQL's; tests/llm hold those against plain versions."""
+    from nighspark.llm import oracles
+
+    sql = {"op1_jump_sharding": oracles.OP1, "op5_minmax_neardup": oracles.OP5, "op7_template_lines": oracles.OP7, "op8_nn_descent": oracles.OP8, "op10_suffix_decontamination": oracles.OP10}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
