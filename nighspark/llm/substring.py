@@ -150,14 +150,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", **
     def cut(texts, cuts_of):
         import pandas as pd
 
-        return pd.Series([_without(t, [(c["start"], c["n_words"]) for c in cs]) for t, cs in zip(texts, cuts_of)], dtype=object)
+        return pd.Series([_without(t, [(c["start"], c["n_words"]) for c in ([] if cs is None else cs)]) for t, cs in zip(texts, cuts_of)], dtype=object)
 
     out = df.withColumn("__ns_row", F.xxhash64(id_col, text)).join(cuts, "__ns_row", "left")
     return out.withColumn(text, F.when(F.col("__ns_cuts").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__ns_cuts")))).select(*df.columns)
 
 
-def _without(text: str, cuts: list[tuple[int, int]]) -> str:
+def _without(text: str | None, cuts: list[tuple[int, int]]) -> str:
     """text without the words of the cuts and the blanks behind them."""
+    if not cuts:
+        return text
     at = [m.end() for m in _BLANK.finditer(text)]
     starts = ([0] if text[:1] and not _BLANK.match(text) else []) + [p for p in at if p < len(text)]
     starts.append(len(text))
