@@ -1,14 +1,18 @@
 """Language-model scoring by logistic context mixing over bits, beside a smoothed unigram baseline over words.
 
-Mixing model. A text is its UTF-8 bytes and an end byte; each byte is eight binary choices. For every order (0 to 4 bytes
-of context) a hashed table holds how often each bit followed context and partial byte in the training texts. The logits
+Mixing model. A text is its sequence of lower-cased words, written as UTF-8 bytes with a space behind each word and an
+end byte; each byte is eight binary choices. For every context (the last 1 to 5 bytes) a hashed table holds how often each bit followed context and partial byte in the training texts. The logits
 of these predictors are mixed by a weight vector that a gate picks (bit position and number of orders that know the
 context), and an adaptive table over (partial byte, mixed logit) refines the result. The weights are learned online, step
 by step through the training statistics, each occurrence predicted from the counts without itself; the steps of different
 tasks are averaged by their number of bits. Scoring then holds all of it fixed, so the score of a text does not depend
 on where or after which other texts it is scored.
 
-What travels: distinct 5-byte strings with counts, hashed cells (fixed number, summed by key), weights, and for the
+The word as a whole is one more context: a token's probability is mixed from that of its bytes and its share of the
+training tokens. The latter's weight is WORD_WEIGHT of the share of new text that will be words seen before (one less the
+share of tokens whose word was seen once).
+
+What travels: distinct 6-byte strings with counts, hashed cells (fixed number, summed by key), weights, and for the
 baseline one row per distinct word of each block of documents. Blocks hold about `block_bytes` of text; a block meets
 the corpus counts of its own words only, so no task or driver ever holds the vocabulary.
 
@@ -26,23 +30,26 @@ from pyspark.sql import functions as F
 
 from nighspark.llm.common import drop_written, mixed, slices, utf8, word_hashes, words, written
 
-ORDERS = 5
-BITS = 18
+#: Bytes of each context, the bytes kept of a position (the longest context and the byte itself), bits of a table's index.
+CONTEXTS = (1, 2, 3, 4, 5)
+ORDERS, WIDTH = len(CONTEXTS), max(CONTEXTS) + 1
+BITS = 19
 BLOCK_BYTES = 16_000_000
 RATE, EPOCHS, ROUNDS, BUCKETS = 0.02, 4, 2, 33
 #: Hash standing for the end token.
 END = np.uint64(0x5DEECE66D1234567)
+WORD_WEIGHT = 0.7
 _LIMIT = 1e-6
 
 
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Every byte (and end byte) with the four before it as one integer, and how many each text has."""
-    parts = [np.frombuffer(utf8(t or "") + b"\0", np.uint8) for t in texts]
+    """Every byte (and end byte) of the texts' words with those before it as one integer, and how many each text has."""
+    parts = [np.frombuffer(b" ".join([*words(t or ""), b"\0"]), np.uint8) for t in texts]
     size = np.array([len(p) for p in parts], np.int64)
     x = np.concatenate(parts).astype(np.uint64)
     at = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
     out = x.copy()
-    for back in range(1, ORDERS):
+    for back in range(1, WIDTH):
         prev = np.concatenate([np.zeros(back, np.uint64), x[:-back]])
         out |= np.where(at >= back, prev, np.uint64(0)) << np.uint64(8 * back)
     return out, size
@@ -52,7 +59,7 @@ def _slots(gram: np.ndarray, k: int, order: int) -> np.ndarray:
     """Cell of (order, context, partial byte before bit k)."""
     symbol = gram & np.uint64(0xFF)
     node = (np.uint64(1) << np.uint64(k)) | (symbol >> np.uint64(8 - k))
-    context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
+    context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * CONTEXTS[order]) - 1)
     return (mixed((context << np.uint64(8) | node) + np.uint64((order + 1) * 0x632BE59BD9B4E019 % (1 << 64))) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -69,7 +76,7 @@ class Mixer:
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
         self.zeros, self.ones, self.refine = zeros, ones, refine
-        self.weights = np.full((8 * ORDERS, ORDERS), 0.4) if weights is None else weights
+        self.weights = np.full((8 * (ORDERS + 1), ORDERS), 0.4) if weights is None else weights
 
     def inputs(self, gram: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Logits by order and the gate; `without` (the bit itself) leaves one occurrence out of the counts."""
@@ -81,9 +88,8 @@ class Mixer:
             if without is not None:
                 n0, n1 = np.maximum(n0 - (1 - without), 0), np.maximum(n1 - without, 0)
             logit[:, order] = np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)))
-            if order:
-                known += (n0 + n1) > 0
-        return logit, k * ORDERS + known
+            known += (n0 + n1) > 0
+        return logit, k * (ORDERS + 1) + known
 
     def mix(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip((logit * self.weights[gate]).sum(1), -13, 13)
@@ -106,7 +112,7 @@ class Mixer:
 
     def learn(self, gram: np.ndarray, n: np.ndarray, step: int = 512) -> np.ndarray:
         """Online descent through the grams in order; the bits seen by each gate."""
-        seen = np.zeros(8 * ORDERS)
+        seen = np.zeros(len(self.weights))
         for k in range(8):
             bit = _bit(gram, k)
             logit, gate = self.inputs(gram, k, bit)
@@ -271,8 +277,9 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
     # every block's row of a word gets the word's count over all of them; a word has as many rows as blocks hold it
     word = Window.partitionBy("word")
     counts = written(local.select("block", "word", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("one")), "words")
-    total = counts.where("one and c > 0").agg(F.sum("c"), F.count("*")).first()
+    total = counts.where("one and c > 0").agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
     n, v = int(total[0] or 0), int(total[1])
+    seen_share = WORD_WEIGHT * (1 - total[2] / n) if n else 0.0
     shared = df.sparkSession.sparkContext.broadcast(vars(mixer))
 
     def score(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
@@ -293,8 +300,16 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
             cols[2].append(np.add.reduceat(gain[where][index], first))
             g, length = grams(texts[at:to])
             seen = pc.dictionary_encode(pa.array(g))
-            cost = own.log10(seen.dictionary.to_numpy())
-            cols[3].append(np.add.reduceat(cost[seen.indices.to_numpy()], np.cumsum(length) - length))
+            cost = own.log10(seen.dictionary.to_numpy())[seen.indices.to_numpy()]
+            # a token's bytes run to the space behind it; the end token is one byte
+            ends = (g & np.uint64(0xFF)) == np.uint64(0x20)
+            ends[np.cumsum(length) - 1] = True
+            ends = np.flatnonzero(ends)
+            spelled = np.add.reduceat(cost, np.concatenate(([0], ends[:-1] + 1)))
+            share = (c[where] / max(n, 1))[index]
+            unseen = np.log10(1 - seen_share) + spelled
+            token = np.where(share > 0, np.log10(10.0 ** np.maximum(unseen, -300) + seen_share * share), unseen)
+            cols[3].append(np.add.reduceat(token, first))
             cols[4].append(length)
         joined = [np.concatenate(x) for x in cols]
         bits = -joined[3] / np.log10(2) / joined[4]
