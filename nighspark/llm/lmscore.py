@@ -50,7 +50,7 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
     out = x.copy()
     for back in range(1, WIDTH):
-        prev = np.concatenate([np.zeros(back, np.uint64), x[:-back]])
+        prev = np.concatenate([np.zeros(back, np.uint64), x])[: len(x)]
         out |= np.where(at >= back, prev, np.uint64(0)) << np.uint64(8 * back)
     return out, size
 
