@@ -1,7 +1,7 @@
 """Language-model scoring by logistic context mixing over bits, beside a smoothed unigram baseline over words.
 
 Mixing model. A text is its sequence of lower-cased words, written as UTF-8 bytes with a space behind each word and an
-end byte; each byte is eight binary choices. For every context (the last 1 to 5 bytes) a hashed table holds how often each bit followed context and partial byte in the training texts. The logits
+end byte; each byte is eight binary choices. For every context (the last 0 to 4 bytes) a hashed table holds how often each bit followed context and partial byte in the training texts. The logits
 of these predictors are mixed by a weight vector that a gate picks (bit position and number of orders that know the
 context), and an adaptive table over (partial byte, mixed logit) refines the result. The weights are learned online, step
 by step through the training statistics, each occurrence predicted from the counts without itself; the steps of different
@@ -12,7 +12,7 @@ The word as a whole is one more context: a token's probability is mixed from tha
 training tokens. The latter's weight is WORD_WEIGHT of the share of new text that will be words seen before (one less the
 share of tokens whose word was seen once).
 
-What travels: distinct 6-byte strings with counts, hashed cells (fixed number, summed by key), weights, and for the
+What travels: distinct 5-byte strings with counts, hashed cells (fixed number, summed by key), weights, and for the
 baseline one row per distinct word of each block of documents. Blocks hold about `block_bytes` of text; a block meets
 the corpus counts of its own words only, so no task or driver ever holds the vocabulary.
 
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from nighspark.llm.common import drop_written, mixed, slices, utf8, word_hashes, words, written
 
 #: Bytes of each context, the bytes kept of a position (the longest context and the byte itself), bits of a table's index.
-CONTEXTS = (1, 2, 3, 4, 5)
+CONTEXTS = (0, 1, 2, 3, 4)
 ORDERS, WIDTH = len(CONTEXTS), max(CONTEXTS) + 1
-BITS = 19
+BITS = 18
 BLOCK_BYTES = 16_000_000
 RATE, EPOCHS, ROUNDS, BUCKETS = 0.02, 4, 2, 33
 #: Hash standing for the end token.
