@@ -4,9 +4,11 @@ Vectors are compared within their label only. Equal vectors are one node. The fi
 blocks of nodes that fall on the same side of random hyperplanes; then, round by round, every node introduces the nodes
 of its list and those that list it to each other, and each keeps its k best, until few lists change. A node whose list
 is saturated (even its last neighbour is within the threshold) needs a longer one: its list is enlarged to all nodes
-that chains of links reach from it, compared tile by tile, so each task holds a bounded number of vectors however
-large the cluster is. Recall is audited on a bounded set of queries against all nodes, and low recall starts new rounds.
-All cosines are worked out in double precision.
+of such clusters in its label. The nodes of a cluster (those that chains of links reach) are dealt into groups of a
+bounded number, each with a centre and the largest angle from it; two groups whose centres are further apart than both
+angles and the threshold's cannot link, and all others are compared tile by tile. Links found so join clusters.
+Recall is audited on a bounded set of queries against all nodes, as the mean over those that have links; low recall
+starts new rounds, and where it stays low all nodes of a label are compared. All cosines are worked out in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and those without label, link with
 nothing and stand for themselves; vectors of different length do not link; repeated ids are nodes by their vector.
@@ -162,28 +164,71 @@ def _found(nodes: DataFrame, k: int, tables: int, block: int, rounds: int, seed:
     return graph
 
 
-def _tile_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, n): weight of the other nodes of its cluster within the threshold; members: node, c, v, weight."""
-    size = members.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    own = members.join(size, "c").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = own.select("c", "node", "v", "weight", "b", other.alias("o")).select("c", "node", "v", "weight", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+def _tiled(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """rows dealt by hash of g into blocks b of about `size` within `by`; each comes once for every pair (i, j) of blocks."""
+    blocks = rows.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    own = rows.join(blocks, by).withColumn("b", F.pmod(F.xxhash64("g"), "blocks").cast("int"))
+    each = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("blocks", "o")
 
-    def count(table: pa.Table) -> pa.Table:
-        node, b, w, x = table["node"].to_numpy(), table["b"].to_numpy(), table["weight"].to_numpy(), _matrix(table["v"])
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        near = x[left] @ x[right].T >= threshold
-        if i == j:
+
+def _close_groups(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a <= b: the pairs of groups of a label that may hold a link; members: g, part, v."""
+
+    def centre(table: pa.Table) -> pa.Table:
+        x = _matrix(table["v"])
+        mid = x.sum(0)
+        mid = x[0] if np.sqrt(mid @ mid) < 1e-9 else mid / np.sqrt(mid @ mid)
+        radius = np.arccos(np.clip(x @ mid, -1, 1)).max()
+        return pa.table([table["part"].slice(0, 1), table["g"].slice(0, 1), pa.array([mid.tolist()]), pa.array([radius])], names=["part", "g", "v", "radius"])
+
+    centres = written(members.groupBy("part", "g").applyInArrow(centre, "part long, g long, v array<double>, radius double"), "centres")
+
+    def close(table: pa.Table) -> pa.Table:
+        g, b, radius, x = table["g"].to_numpy(), table["b"].to_numpy(), table["radius"].to_numpy(), _matrix(table["v"])
+        left, right = (np.flatnonzero(b == table[c][0].as_py()) for c in "ij")
+        # the slack is far above the rounding of an arc cosine
+        bound = np.arccos(threshold) + radius[left][:, None] + radius[right] + 1e-6
+        p, q = np.nonzero(np.arccos(np.clip(x[left] @ x[right].T, -1, 1)) <= bound)
+        u, v = g[left[p]], g[right[q]]
+        return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    return _tiled(centres, "part", TILE).groupBy("part", "i", "j").applyInArrow(close, "a long, b long").distinct()
+
+
+def _tile_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Exact links among nodes (node, part, c, root, v, weight), which are compared within their part.
+
+    Rows (node, null, n) are the weight of a node's links, rows (root, other, 0) links between nodes of different roots.
+    """
+    blocks = nodes.groupBy("part", "c").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    dealt = nodes.join(blocks, ["part", "c"]).withColumn("g", F.xxhash64("part", "c", F.pmod(F.xxhash64("node"), "blocks")))
+    dealt = written(dealt.select("g", "part", "node", "root", "v", "weight"), "dealt")
+    pairs = written(_close_groups(dealt, threshold), "pairs").select("a", "b", F.xxhash64("a", "b").alias("tile"))
+    sides = pairs.select("tile", F.col("a").alias("g"), F.lit(True).alias("first")).unionAll(pairs.where("a <> b").select("tile", "b", F.lit(False)))
+
+    def links(table: pa.Table) -> pa.Table:
+        node, root, w, x = table["node"].to_numpy(), table["root"].to_numpy(), table["weight"].to_numpy(), _matrix(table["v"])
+        first = table["first"].to_numpy()
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        own = not len(right)
+        near = x[left] @ x[left if own else right].T >= threshold
+        if own:
             np.fill_diagonal(near, False)
-            return pa.table([pa.array(node[left]), pa.array(near @ w[right])], names=["node", "n"])
-        return pa.table([pa.array(np.concatenate([node[left], node[right]])), pa.array(np.concatenate([near @ w[right], near.T @ w[left]]))], names=["node", "n"])
+            right, which, n = left, node[left], near @ w[left]
+        else:
+            which, n = np.concatenate([node[left], node[right]]), np.concatenate([near @ w[right], near.T @ w[left]])
+        p, q = np.nonzero(near & (root[left][:, None] != root[right]))
+        ends = np.unique(np.sort(np.stack([root[left[p]], root[right[q]]], 1), axis=1), axis=0)
+        other = pa.concat_arrays([pa.nulls(len(which), pa.int64()), pa.array(ends[:, 1])])
+        return pa.table([pa.array(np.concatenate([which, ends[:, 0]])), other, pa.array(np.concatenate([n, np.zeros(len(ends), np.int64)]))], names=["node", "other", "n"])
 
-    return tiles.groupBy("c", "i", "j").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    tiles = dealt.join(sides, "g").select("tile", "first", "node", "root", "v", "weight")
+    return tiles.groupBy("tile").applyInArrow(links, "node long, other long, n long").groupBy("node", "other").agg(F.sum("n").alias("n"))
 
 
 def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Mean share of the true links that were counted, over a bounded number of query nodes that have links, against all nodes."""
+    """Mean over a bounded number of query nodes of the share of a node's true links that were counted, against all nodes."""
     total = nodes.count()
     share = min(1.0, 20 * AUDIT_QUERIES / max(1, total))
     picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20))
@@ -208,8 +253,12 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
 
     rows = nodes.select("node", "part", "v", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()
     truth, got = {r["node"]: r["n"] for r in rows}, {q[0]: q[3] for q in plainly}
-    wanted = sum(truth.values())
-    return sum(min(got[q], n) for q, n in truth.items()) / wanted if wanted else 1.0
+    shares = [min(got[q], n) / n for q, n in truth.items() if n]
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def _counts(tiled: DataFrame) -> DataFrame:
+    return tiled.where("other is null").select("node", "n")
 
 
 def linked_vectors(
@@ -230,14 +279,21 @@ def linked_vectors(
         full = flat.groupBy("node").agg(F.count("*").alias("links")).where(F.col("links") >= k).select("node")
         clusters = full.join(reached.withColumnRenamed("id", "node"), "node").select("component").distinct()
         saturated = reached.join(clusters, "component", "left_semi").select(F.col("id").alias("node"), F.col("component").alias("c"))
-        members = written(saturated.join(nodes, "node").select("node", "c", "v", "weight"), "members")
-        tiled = _tile_counts(members, threshold)
+        members = written(saturated.join(nodes, "node").select("node", "part", "c", F.col("c").alias("root"), "v", "weight"), "members")
+        tiled = written(_tile_links(members, threshold), "tiled")
         pairs = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         plain = pairs.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy("a").agg(F.sum("weight").alias("n")).withColumnRenamed("a", "node")
-        counted = written(plain.join(members.select("node"), "node", "left_anti").unionByName(tiled), "counted")
+        counted = written(plain.join(members.select("node"), "node", "left_anti").unionByName(_counts(tiled)), "counted")
         if _audit(nodes, counted, threshold) >= AUDIT_RECALL:
             break
+    else:
+        # the lists stay too poor: every node against all of its label
+        whole = nodes.join(reached.withColumnRenamed("id", "node"), "node", "left")
+        tiled = written(_tile_links(whole.select("node", "part", F.lit(0).alias("c"), F.coalesce("component", "node").alias("root"), "v", "weight"), threshold), "tiled")
+        counted = _counts(tiled)
+    joined = components(tiled.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("root"), F.col("component").alias("joined"))
     roots = nodes.select("node", "weight", "low").join(reached.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    roots = roots.join(joined, "root", "left").withColumn("root", F.coalesce("joined", "root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     of = roots.join(lows, "root").join(counted, "node", "left").select("node", "component_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     out = base.select("id", "node").join(of, "node", "left")

@@ -371,6 +371,55 @@ def test_vectors_match_all_pairs(spark):
     assert linked_vectors(df.limit(0)).count() == 0
 
 
+def all_links(rows, threshold=0.93):
+    """Links and smallest linked id of (id, vector, label) by all pairs."""
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    label = {i: y for i, _, y in rows}
+    links = [(a, b) for a, b in itertools.combinations(unit, 2) if label[a] == label[b] and unit[a] @ unit[b] >= threshold]
+    degree = {i: sum(i in x for x in links) for i in unit}
+    low = plain.components(list(unit), links)
+    return {i: (degree[i], low[i]) for i in unit}
+
+
+def clouds(centres, n, noise, seed=14):
+    rng = np.random.default_rng(seed)
+    vectors = [c + rng.normal(size=len(c)) * noise for c in centres for _ in range(n)]
+    return [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(vectors)]
+
+
+def test_vectors_link_across_saturated_clusters(spark):
+    from nighspark.llm.nndescent import linked_vectors
+
+    # more near copies than a list holds in each group; the first two link across, the third group with neither
+    e = np.eye(24)
+    across = 0.945 * e[0] + np.sqrt(1 - 0.945**2) * e[1]
+    rows = clouds([e[0], across, e[2]], 20, 0.003)
+    got = linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = all_links(rows)
+    assert {want[i] for i in range(40)} == {(39, 0)} and {want[i] for i in range(40, 60)} == {(19, 40)}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+    assert sorted(r["vec_id"] for r in got if r["kept"]) == [0, 40]
+
+
+def test_vectors_are_all_compared_where_lists_stay_poor(spark):
+    from nighspark.llm.nndescent import linked_vectors
+
+    rows = clouds(list(np.random.default_rng(15).normal(size=(60, 16))), 4, 0.1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in linked_vectors(df, k=1, tables=1, block=1, rounds=0).collect()}
+    assert got == all_links(rows)
+
+
+def test_audit_is_a_mean_over_queries(spark):
+    from nighspark.llm.nndescent import _audit
+
+    # thirty linked nodes fully counted, two linked nodes of which nothing was: as links 870 of 872, as queries 30 of 32
+    rows = clouds(list(np.eye(8)[:1]), 30, 0.001) + [(30 + i, v, 0) for i, v, _ in clouds(list(np.eye(8)[1:2]), 2, 0.001)]
+    nodes = spark.createDataFrame([(i, 0, v, 1) for i, v, _ in rows], "node long, part long, v array<float>, weight long")
+    counted = spark.createDataFrame([(i, 29) for i in range(30)], "node long, n long")
+    assert _audit(nodes, counted, 0.93) == pytest.approx(30 / 32)
+
+
 # ---- token counts
 
 
