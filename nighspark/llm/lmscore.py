@@ -1,20 +1,26 @@
 """Language-model scoring by logistic context mixing over bits, beside a smoothed unigram baseline over words.
 
 Mixing model. A text is its sequence of lower-cased words, written as UTF-8 bytes with a space behind each word and an
-end byte; each byte is eight binary choices. For every context (the last 0 to 4 bytes) a hashed table holds how often each bit followed context and partial byte in the training texts. The logits
-of these predictors are mixed by a weight vector that a gate picks (bit position and number of orders that know the
-context), and an adaptive table over (partial byte, mixed logit) refines the result. The weights are learned online, step
-by step through the training statistics, each occurrence predicted from the counts without itself; the steps of different
-tasks are averaged by their number of bits. Scoring then holds all of it fixed, so the score of a text does not depend
-on where or after which other texts it is scored.
+end byte; each byte is eight binary choices. For every context (the last 0 to 5 bytes) it is counted how often each bit
+followed context and partial byte in the training texts. The logits of these predictors are mixed by a weight vector that
+a gate picks (bit position and number of orders that know the context), and an adaptive table over (partial byte, mixed
+logit) refines the result. The weights are learned online, step by step through the training statistics, each occurrence
+predicted from the counts without itself; the weights of different buckets are averaged by their number of bits. Scoring
+then holds all of it fixed, so the score of a text does not depend on where or after which other texts it is scored.
+
+Counts are exact, whatever the corpus: they are kept as distinct strings of 6 bytes (the longest context and the byte
+itself), a table that grows with the corpus. It is dealt into buckets by the two bytes before the last, so all strings that
+share a context of 2 bytes or more are in one bucket, where sums over runs of sorted strings give the counts of every
+context and partial byte. Contexts of 0 and 1 byte come from a broadcast table of 256 x 256. The probability of a
+string's last byte depends on the string only, so it is worked out once for each distinct string and met per block.
 
 The word as a whole is one more context: a token's probability is mixed from that of its bytes and its share of the
 training tokens. The latter's weight is WORD_WEIGHT of the share of new text that will be words seen before (one less the
 share of tokens whose word was seen once).
 
-What travels: distinct 5-byte strings with counts, hashed cells (fixed number, summed by key), weights, and for the
-baseline one row per distinct word of each block of documents. Blocks hold about `block_bytes` of text; a block meets
-the corpus counts of its own words only, so no task or driver ever holds the vocabulary.
+What travels: weights, and one row per distinct word and per distinct 6-byte string of each block of documents. Blocks
+hold about `block_bytes` of text; a block meets the corpus figures of its own words and strings only, so no task or driver
+ever holds the vocabulary.
 
 Defined cases: a null text counts as empty (one token, the end); words are compared by 64-bit hash; repeated rows are
 scored each; with no training text the baseline has N = V = 0 and the mixing model is uniform.
@@ -28,12 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import drop_written, mixed, slices, utf8, word_hashes, words, written
+from nighspark.llm.common import mixed, slices, word_hashes, words, written
 
-#: Bytes of each context, the bytes kept of a position (the longest context and the byte itself), bits of a table's index.
-CONTEXTS = (0, 1, 2, 3, 4)
+#: Bytes of each context, the bytes kept of a position (the longest context and the byte itself).
+CONTEXTS = (0, 1, 2, 3, 4, 5)
 ORDERS, WIDTH = len(CONTEXTS), max(CONTEXTS) + 1
-BITS = 18
+#: Distinct strings of a bucket, about, and the least number of buckets.
+BUCKET_GRAMS, LEAST_BUCKETS = 100_000, 24
 BLOCK_BYTES = 16_000_000
 RATE, EPOCHS, ROUNDS, BUCKETS = 0.02, 4, 2, 33
 #: Hash standing for the end token.
@@ -55,12 +62,18 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def _slots(gram: np.ndarray, k: int, order: int) -> np.ndarray:
-    """Cell of (order, context, partial byte before bit k)."""
-    symbol = gram & np.uint64(0xFF)
-    node = (np.uint64(1) << np.uint64(k)) | (symbol >> np.uint64(8 - k))
-    context = (gram >> np.uint64(8)) & np.uint64((1 << 8 * CONTEXTS[order]) - 1)
-    return (mixed((context << np.uint64(8) | node) + np.uint64((order + 1) * 0x632BE59BD9B4E019 % (1 << 64))) >> np.uint64(64 - BITS)).astype(np.int64)
+def _runs(gram: np.ndarray, n: np.ndarray, order: int) -> np.ndarray:
+    """[d, gram]: the count of all grams with this one's context of the order and first d bits of its last byte."""
+    value = gram & np.uint64((1 << 8 * (CONTEXTS[order] + 1)) - 1)
+    at = np.argsort(value)
+    value, total = value[at], np.concatenate(([0], np.cumsum(n[at])))
+    out = np.empty((9, len(gram)), np.float32)
+    for d in range(9):
+        part = value >> np.uint64(8 - d)
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+        first = np.concatenate(([0], ends[:-1]))
+        out[d, at] = np.repeat(total[ends] - total[first], ends - first)
+    return out
 
 
 def _bit(gram: np.ndarray, k: int) -> np.ndarray:
@@ -72,24 +85,36 @@ def _squash(z: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Tables of counts [order, cell], weights [gate, order] and refining counts [partial byte, bucket]."""
+    """Counts [last byte of the context, byte], weights [gate, order] and refining counts [partial byte, bucket]."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.zeros, self.ones, self.refine = zeros, ones, refine
+    def __init__(self, low: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+        self.low, self.refine = low, refine
         self.weights = np.full((8 * (ORDERS + 1), ORDERS), 0.4) if weights is None else weights
 
-    def inputs(self, gram: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits by order and the gate; `without` (the bit itself) leaves one occurrence out of the counts."""
-        logit = np.empty((len(gram), ORDERS), np.float32)
-        known = np.zeros(len(gram), np.int64)
-        for order in range(ORDERS):
-            at = _slots(gram, k, order)
-            n0, n1 = self.zeros[order, at], self.ones[order, at]
-            if without is not None:
-                n0, n1 = np.maximum(n0 - (1 - without), 0), np.maximum(n1 - without, 0)
-            logit[:, order] = np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)))
-            known += (n0 + n1) > 0
-        return logit, k * (ORDERS + 1) + known
+    def state(self) -> dict:
+        """What tasks need of it."""
+        return {"low": self.low, "weights": self.weights, "refine": self.refine}
+
+    def runs(self, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """[order, d, gram] counts by _runs; the grams must hold all training grams that share two bytes of context with one of them."""
+        symbol, before = ((gram >> np.uint64(8 * i) & np.uint64(0xFF)).astype(np.int64) for i in (0, 1))
+        out = np.empty((ORDERS, 9, len(gram)), np.float32)
+        for order, size in enumerate(CONTEXTS):
+            if size > 1:
+                out[order] = _runs(gram, n, order)
+                continue
+            table, at = (self.low, before) if size else (self.low.sum(0, keepdims=True), 0)
+            for d in range(9):
+                out[order, d] = table.reshape(len(table), 1 << d, -1).sum(2)[at, symbol >> (8 - d)]
+        return out
+
+    def inputs(self, runs: np.ndarray, gram: np.ndarray, k: int, without: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Logits by order and the gate; `without` leaves one occurrence of the bit itself out of the counts."""
+        own, other = runs[:, k + 1], runs[:, k] - runs[:, k + 1]
+        if without:
+            own = np.maximum(own - 1, 0)
+        logit = np.log((own + np.float32(0.3)) / (other + np.float32(0.3))) * np.where(_bit(gram, k) == 1, 1, -1).astype(np.float32)
+        return np.ascontiguousarray(logit.T), k * (ORDERS + 1) + (own + other > 0).sum(0)
 
     def mix(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip((logit * self.weights[gate]).sum(1), -13, 13)
@@ -101,21 +126,28 @@ class Mixer:
             p = (p + (cell[:, 1] + 8 * p) / (cell.sum(1) + 8)) / 2
         return np.clip(p, _LIMIT, 1 - _LIMIT)
 
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram."""
-        total = np.zeros(len(gram))
+    def costs(self, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram of a bucket."""
+        total, runs = np.zeros(len(gram)), self.runs(gram, n)
         for k in range(8):
-            logit, gate = self.inputs(gram, k)
+            logit, gate = self.inputs(runs, gram, k)
             p = self.refined(self.mix(logit, gate), gram, k)
             total += np.log10(np.where(_bit(gram, k) == 1, p, 1 - p))
         return total
 
-    def learn(self, gram: np.ndarray, n: np.ndarray, step: int = 512) -> np.ndarray:
+    def log10(self, gram: np.ndarray) -> np.ndarray:
+        """The same of any grams, on the driver."""
+        asked = self.cells.sparkSession.createDataFrame([(int(g), 0) for g in np.unique(gram)], "gram long, n long")
+        both = self.cells.unionByName(asked).groupBy("gram").agg(F.sum("n").alias("n"))
+        found = {r["gram"]: r["cost"] for r in gram_costs(self, both).join(asked.select("gram"), "gram").collect()}
+        return np.array([found[int(g)] for g in gram])
+
+    def learn(self, gram: np.ndarray, n: np.ndarray, runs: np.ndarray, step: int = 512) -> np.ndarray:
         """Online descent through the grams in order; the bits seen by each gate."""
         seen = np.zeros(len(self.weights))
         for k in range(8):
             bit = _bit(gram, k)
-            logit, gate = self.inputs(gram, k, bit)
+            logit, gate = self.inputs(runs, gram, k, without=True)
             np.add.at(seen, gate, n)
             for epoch in range(EPOCHS):
                 for at in range(0, len(gram), step):
@@ -167,70 +199,81 @@ def _grams_of(train: DataFrame, text: str, most: int = 3_000_000) -> DataFrame:
 
 
 def _arrays(batch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+    return batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
+
+
+def _bucketed(cells: DataFrame) -> DataFrame:
+    """cells with the bucket of the two bytes before each gram's last."""
+    buckets = max(LEAST_BUCKETS, -(-cells.count() // BUCKET_GRAMS))
+    return cells.withColumn("bucket", F.pmod(F.xxhash64(F.expr("shiftright(gram, 8) & 65535")), F.lit(buckets)).cast("int"))
+
+
+def gram_costs(mixer: Mixer, cells: DataFrame) -> DataFrame:
+    """(gram, cost): log10 probability of each gram's last byte; cells hold all grams of the corpus, n counting training texts."""
+    shared = cells.sparkSession.sparkContext.broadcast(mixer.state())
+
+    def costs(table: pa.Table) -> pa.Table:
+        gram, n = _arrays(table)
+        return pa.table([table["gram"], pa.array(_mixer(shared.value).costs(gram, n))], names=["gram", "cost"])
+
+    return _bucketed(cells).select("gram", "n", "bucket").groupBy("bucket").applyInArrow(costs, "gram long, cost double")
 
 
 def train_mixer(train: DataFrame, text: str = "text") -> Mixer:
     """The mixing model of all rows of `train`."""
-    spark = train.sparkSession
-    held = written(_grams_of(train, text), "grams")
-
-    def cells(batches):
-        table = np.zeros((2, ORDERS << BITS))
-        for batch in batches:
-            gram, n = _arrays(batch)
-            for k in range(8):
-                bit = _bit(gram, k)
-                for order in range(ORDERS):
-                    at = (order << BITS) + _slots(gram, k, order)
-                    for b in (0, 1):
-                        table[b] += np.bincount(at[bit == b], weights=n[bit == b], minlength=ORDERS << BITS)
-        at = np.flatnonzero(table.any(0))
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(table[b, part].astype(np.int64)) for b in (0, 1))], names=["cell", "n0", "n1"])
-
-    zeros, ones = np.zeros(ORDERS << BITS, np.float32), np.zeros(ORDERS << BITS, np.float32)
-    got = held.mapInArrow(cells, "cell long, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # ORDERS << BITS rows at most
-    at = got["cell"].to_numpy()
-    zeros[at], ones[at] = got["n0"].to_numpy(), got["n1"].to_numpy()
-    mixer = Mixer(zeros.reshape(ORDERS, -1), ones.reshape(ORDERS, -1))
+    return fitted(written(_grams_of(train, text), "grams"))
+
+
+def fitted(cells: DataFrame) -> Mixer:
+    """The mixing model of training statistics (gram, n)."""
+    spark = cells.sparkSession
+    low = np.zeros((256, 256))
+    for r in cells.groupBy(F.expr("gram & 65535").alias("at")).agg(F.sum("n").alias("n")).collect():  # 65536 rows at most
+        low.ravel()[r["at"]] = r["n"]
+    mixer = Mixer(low)
+    mixer.cells = cells
+    held = _bucketed(cells.where("n > 0")).select("gram", "n", "bucket").groupBy("bucket")
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(vars(mixer))
-
-        def steps(batches, shared=shared):
-            for batch in batches:
-                own = _mixer(shared.value)
-                own.weights = own.weights.copy()
-                gram, n = _arrays(batch)
-                order = np.argsort(mixed(gram))
-                seen = own.learn(gram[order], n[order].astype(np.float64))
-                gate, i = np.divmod(np.arange(own.weights.size), ORDERS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.weights.size)), pa.array(own.weights.ravel()[gate * ORDERS + i] * seen[gate]), pa.array(seen[gate])], names=["at", "w", "n"])
-
-        sums = held.mapInArrow(steps, "at long, w double, n double").groupBy("at").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0").collect()
+        shared = spark.sparkContext.broadcast(mixer.state())
+
+        def steps(table):
+            own = _mixer(shared.value)
+            own.weights = own.weights.copy()
+            gram, n = _arrays(table)
+            seen = np.zeros(len(own.weights))
+            # every 2048 rows start from the shared weights
+            total, runs = np.zeros_like(own.weights), own.runs(gram, n)
+            start = own.weights
+            for at in range(0, len(gram), 2048):
+                own.weights = start.copy()
+                part = at + np.argsort(mixed(gram[at : at + 2048]))
+                bits = own.learn(gram[part], n[part].astype(np.float64), runs[:, :, part])
+                total += own.weights * bits[:, None]
+                seen += bits
+            gate = np.arange(own.weights.size) // ORDERS
+            return pa.table([pa.array(np.arange(own.weights.size)), pa.array(total.ravel()), pa.array(seen[gate])], names=["at", "w", "n"])
+
+        sums = held.applyInArrow(steps, "at long, w double, n double").groupBy("at").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0").collect()
         flat = mixer.weights.ravel().copy()
         for r in sums:
             flat[r["at"]] = r["w"] / r["n"]
         mixer.weights = flat.reshape(mixer.weights.shape)
-    shared = spark.sparkContext.broadcast(vars(mixer))
+    shared = spark.sparkContext.broadcast(mixer.state())
 
-    def refine(batches):
-        own, table = _mixer(shared.value), np.zeros((256, BUCKETS, 2))
-        for batch in batches:
-            gram, n = _arrays(batch)
-            for k in range(8):
-                bit = _bit(gram, k)
-                logit, gate = own.inputs(gram, k, bit)
-                np.add.at(table, (_node(gram, k), _bucket(own.mix(logit, gate)), bit), n)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at].astype(np.int64))], names=["at", "n"])
+    def refine(table):
+        own, cell = _mixer(shared.value), np.zeros((256, BUCKETS, 2))
+        gram, n = _arrays(table)
+        runs = own.runs(gram, n)
+        for k in range(8):
+            logit, gate = own.inputs(runs, gram, k, without=True)
+            np.add.at(cell, (_node(gram, k), _bucket(own.mix(logit, gate)), _bit(gram, k)), n)
+        at = np.flatnonzero(cell)
+        return pa.table([pa.array(at), pa.array(cell.ravel()[at].astype(np.int64))], names=["at", "n"])
 
     table = np.zeros(256 * BUCKETS * 2)
-    for r in held.mapInArrow(refine, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in held.applyInArrow(refine, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         table[r["at"]] = r["n"]
     mixer.refine = table.reshape(256, BUCKETS, 2)
-    drop_written(held)
     return mixer
 
 
@@ -254,39 +297,48 @@ def _word_slices(texts: list):
         yield at, to, hashes, size
 
 
-def _block_words(table: pa.Table) -> pa.Table:
-    """(block, word, n) of one block: its distinct words and how often its training texts have them."""
+def _block_keys(table: pa.Table) -> pa.Table:
+    """(block, spelled, key, n) of one block: its distinct words and 6-byte strings (spelled), and how often its training texts have them."""
     texts, held = table["text"].to_pylist(), table["held_out"].to_numpy()
-    keys, counts = [], []
+    keys, counts = ([], []), ([], [])
     for at, to, hashes, size in _word_slices(texts):
-        key, inverse = np.unique(hashes, return_inverse=True)
-        keys.append(key)
-        counts.append(np.bincount(inverse, weights=np.repeat(~held[at:to], size), minlength=len(key)))
-    key, n = _counted(np.concatenate(keys), np.concatenate(counts))
-    return pa.table([pa.array(np.full(len(key), table["block"][0].as_py(), np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["block", "word", "n"])
+        for i, (found, each) in enumerate(((hashes, size), grams(texts[at:to]))):
+            seen = pc.dictionary_encode(pa.array(found))
+            keys[i].append(seen.dictionary.to_numpy())
+            counts[i].append(np.bincount(seen.indices.to_numpy(), weights=np.repeat(~held[at:to], each), minlength=len(keys[i][-1])))
+    (word, n), (gram, m) = (_counted(np.concatenate(k), np.concatenate(c)) for k, c in zip(keys, counts))
+    block = np.full(len(word) + len(gram), table["block"][0].as_py(), np.int32)
+    return pa.table([pa.array(block), pa.array(np.arange(len(block)) >= len(word)), pa.array(np.concatenate([word, gram]).view(np.int64)), pa.array(np.concatenate([n, m]))], names=["block", "spelled", "key", "n"])
+
+
+def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and their figures."""
+    key, c = table["key"].to_numpy().view(np.uint64), table["c"].to_numpy()
+    order = np.argsort(key)
+    return key[order], c[order]
 
 
 def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of df."""
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    mixer = train_mixer(docs.where("not held_out").select("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(24, -(-size // block_bytes))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    local = docs.select("text", "held_out", "block").groupBy("block").applyInArrow(_block_words, "block int, word long, n long")
+    local = docs.select("text", "held_out", "block").groupBy("block").applyInArrow(_block_keys, "block int, spelled boolean, key long, n long")
+    local = written(local, "keys")
+    spelled, own = local.where("spelled").select("block", F.col("key").alias("gram"), "n"), local.where("not spelled").select("block", F.col("key").alias("word"), "n")
+    cells = written(spelled.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    mixer = fitted(cells)
+    costs = written(gram_costs(mixer, cells), "costs")
     # every block's row of a word gets the word's count over all of them; a word has as many rows as blocks hold it
     word = Window.partitionBy("word")
-    counts = written(local.select("block", "word", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("one")), "words")
+    counts = written(own.select("block", "word", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("one")), "words")
     total = counts.where("one and c > 0").agg(F.sum("c"), F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
     n, v = int(total[0] or 0), int(total[1])
     seen_share = WORD_WEIGHT * (1 - total[2] / n) if n else 0.0
-    shared = df.sparkSession.sparkContext.broadcast(vars(mixer))
 
-    def score(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
-        own = _mixer(shared.value)
-        key, c = words_of["word"].to_numpy().view(np.uint64), words_of["c"].to_numpy()
-        order = np.argsort(key)
-        key, c = key[order], c[order]
+    def score(docs_of: pa.Table, keys_of: pa.Table) -> pa.Table:
+        (key, c), (gram, cost_of) = (_by_key(keys_of.filter(pc.equal(keys_of["spelled"], x))) for x in (False, True))
         gain, known = np.log10(c + 0.1), c > 0
         texts = docs_of["text"].to_pylist()
         cols = [[], [], [], [], []]
@@ -300,7 +352,7 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
             cols[2].append(np.add.reduceat(gain[where][index], first))
             g, length = grams(texts[at:to])
             seen = pc.dictionary_encode(pa.array(g))
-            cost = own.log10(seen.dictionary.to_numpy())[seen.indices.to_numpy()]
+            cost = cost_of[np.searchsorted(gram, seen.dictionary.to_numpy())][seen.indices.to_numpy()]
             # a token's bytes run to the space behind it; the end token is one byte
             ends = (g & np.uint64(0xFF)) == np.uint64(0x20)
             ends[np.cumsum(length) - 1] = True
@@ -317,7 +369,9 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
 
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, gain double, score double, bits_per_byte double"
-    out = docs.groupBy("block").cogroup(counts.select("block", "word", "c").groupBy("block")).applyInArrow(score, schema)
+    figures = counts.select("block", F.lit(False).alias("spelled"), F.col("word").alias("key"), F.col("c").cast("double").alias("c"))
+    figures = figures.unionAll(spelled.join(costs, "gram").select("block", F.lit(True), "gram", "cost"))
+    out = docs.groupBy("block").cogroup(figures.groupBy("block")).applyInArrow(score, schema)
     norm = float(np.log10(n + 0.1 * (v + 1)))
     return out.select(
         F.col("id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * norm).alias("base_score"), "score", "bits_per_byte"

@@ -300,6 +300,22 @@ def test_mixer_gives_probabilities(spark):
         assert (10 ** mixer.log10(every)).sum() == pytest.approx(1)
 
 
+def test_mixer_counts_are_exact(spark):
+    from nighspark.llm import lmscore as L
+
+    # more contexts than 2^18, where cells without check bits would be shared
+    rng = np.random.default_rng(16)
+    gram = np.unique(rng.integers(0, 1 << 48, 300_000, dtype=np.uint64) & np.uint64(0x7F7F7F7F037F))
+    n = rng.integers(1, 9, len(gram))
+    low = np.zeros((256, 256))
+    np.add.at(low.ravel(), (gram & np.uint64(0xFFFF)).astype(np.int64), n)
+    runs = L.Mixer(low).runs(gram, n)
+    for i in rng.integers(0, len(gram), 20).tolist():
+        for order, size in enumerate(L.CONTEXTS):
+            same = (gram ^ gram[i]) & np.uint64((1 << 8 * (size + 1)) - 1)
+            assert runs[order, :, i].tolist() == [n[same >> np.uint64(8 - d) == 0].sum() for d in range(9)]
+
+
 # ---- lines
 
 
