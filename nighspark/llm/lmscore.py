@@ -240,16 +240,9 @@ def fitted(cells: DataFrame) -> Mixer:
             own = _mixer(shared.value)
             own.weights = own.weights.copy()
             gram, n = _arrays(table)
-            seen = np.zeros(len(own.weights))
-            # every 2048 rows start from the shared weights
-            total, runs = np.zeros_like(own.weights), own.runs(gram, n)
-            start = own.weights
-            for at in range(0, len(gram), 2048):
-                own.weights = start.copy()
-                part = at + np.argsort(mixed(gram[at : at + 2048]))
-                bits = own.learn(gram[part], n[part].astype(np.float64), runs[:, :, part])
-                total += own.weights * bits[:, None]
-                seen += bits
+            order = np.argsort(mixed(gram))
+            seen = own.learn(gram[order], n[order].astype(np.float64), own.runs(gram, n)[:, :, order])
+            total = own.weights * seen[:, None]
             gate = np.arange(own.weights.size) // ORDERS
             return pa.table([pa.array(np.arange(own.weights.size)), pa.array(total.ravel()), pa.array(seen[gate])], names=["at", "w", "n"])
 

@@ -316,6 +316,18 @@ def test_mixer_counts_are_exact(spark):
             assert runs[order, :, i].tolist() == [n[same >> np.uint64(8 - d) == 0].sum() for d in range(9)]
 
 
+def test_weights_do_not_depend_on_batches(spark):
+    from nighspark.llm.lmscore import train_mixer
+
+    rng, key, got = random.Random(17), "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    docs = documents(spark, [prose(rng, 60) for _ in range(20)]).cache()
+    for size in ("50", "10000"):
+        spark.conf.set(key, size)
+        got.append(train_mixer(docs).weights)
+    spark.conf.unset(key)
+    assert np.allclose(*got)
+
+
 # ---- lines
 
 
