@@ -109,6 +109,17 @@ def _predicate(name):
     return lambda s, d: _ids(spatial_join(_shapes(_boxes(s, d, False)), _shapes(_boxes(s, d, True)), name, "g", "g"))
 
 
+def _diagonals(boxes: DataFrame) -> DataFrame:
+    """Each rectangle's diagonal from its lower corner as a line."""
+    corner = lambda x, y: F.concat(F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))
+    return boxes.select("id", st_from_wkt(F.concat(F.lit("LINESTRING ("), corner("minx", "miny"), F.lit(", "), corner("maxx", "maxy"), F.lit(")"))).alias("g"))
+
+
+#: The diagonal of l, at shares of its length, enters the inner part of r.
+_ENTERS = """greatest(0.0, (r.minx - l.minx) / (l.maxx - l.minx), (r.miny - l.miny) / (l.maxy - l.miny))
+    < least(1.0, (r.maxx - l.minx) / (l.maxx - l.minx), (r.maxy - l.miny) / (l.maxy - l.miny))"""
+
+
 def _pairs_sql(left, right, on):
     return f"SELECT l.id AS l_id, r.id AS r_id FROM {left} l JOIN {right} r ON {on}"
 
@@ -232,6 +243,10 @@ _CASES: dict[str, tuple[Query, str]] = {
     "pred_overlaps": (_predicate("overlaps"), _pairs_sql(_boxes_sql(False), _boxes_sql(True), f"{_OPEN} AND NOT ({_HOLDS}) AND NOT ({_HELD})")),
     "pred_equals": (_predicate("equals"), _pairs_sql(_boxes_sql(False), _boxes_sql(True), f"{_HOLDS} AND {_HELD}")),
     "pred_crosses": (_predicate("crosses"), _pairs_sql(_boxes_sql(False), _boxes_sql(True), "FALSE")),
+    "pred_crosses_lines": (
+        lambda s, d: _ids(spatial_join(_diagonals(_boxes(s, d, False)), _shapes(_boxes(s, d, True)), "crosses", "g", "g")),
+        _pairs_sql(_boxes_sql(False), _boxes_sql(True), f"{_ENTERS} AND NOT ({_HELD})"),
+    ),
     "knn_k1": (_knn(1), _knn_sql(_events_sql("view"), _events_sql("purchase"), 1)),
     "knn_k5": (_knn(5), _knn_sql(_events_sql("view"), _events_sql("purchase"), 5)),
     "knn_k15": (_knn(15), _knn_sql(_events_sql("view"), _events_sql("purchase"), 15)),

@@ -34,3 +34,7 @@ def test_query(spark, con, name):
     assert sorted(cols) == sorted(df.columns)
     want = sorted(tuple(map(_plain, r)) for r in got.fetchall())
     assert sorted(tuple(map(_plain, r)) for r in df.select(*cols).collect()) == want
+
+
+def test_lines_cross_boxes(spark):
+    assert Q.queries()["pred_crosses_lines"](spark, SF).count() > 0
