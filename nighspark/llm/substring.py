@@ -1,7 +1,7 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, and verbatim passages inside longer ones.
 
 Two kinds of unit are compared across documents.
- * Paragraphs (lines) of `segment_words` words or more: banded min-max signatures of their 5-word shingles, colliding
+ * Paragraphs (lines) of `paragraph_words` words or more: banded min-max signatures of their 5-word shingles, colliding
    paragraphs joined, Jaccard similarity 0.8 verified on full sets (nighspark.llm.neardup; 12 bands of 3 rows miss a pair
    at the threshold with probability 2e-4).
  * Segments of `segment_words` words that start at anchors. An anchor is a 5-word run whose hash is smallest in a window
@@ -29,6 +29,8 @@ from nighspark.llm.common import components, map_texts, maybe_broadcast, mixed,
 from nighspark.llm.neardup import duplicate_classes
 
 SEGMENT_WORDS, WINDOW, SHINGLE = 40, 12, 5
+#: Least words of a paragraph: the shingle and a few more, so that one has several shingles.
+PARAGRAPH_WORDS = SHINGLE + 5
 BANDS, ROWS = 12, 3
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -93,7 +95,7 @@ def _segment_hits(docs: DataFrame, segment_words: int, window: int) -> DataFrame
     return hits.join(keepers, "unit").select("row", "id", "start", F.lit(segment_words).alias("n"), "unit", "keeper")
 
 
-def _paragraph_hits(docs: DataFrame, segment_words: int, bands: int, rows: int) -> DataFrame:
+def _paragraph_hits(docs: DataFrame, paragraph_words: int, bands: int, rows: int) -> DataFrame:
     """row, id, start, n, unit, keeper for near-duplicate paragraphs of several documents."""
 
     def make():
@@ -103,7 +105,7 @@ def _paragraph_hits(docs: DataFrame, segment_words: int, bands: int, rows: int)
                 at, found = 0, []
                 for line in (t or "").split("\n"):
                     n = len(words(line))
-                    if n >= segment_words:
+                    if n >= paragraph_words:
                         found.append({"start": at, "n": n, "line": line})
                     at += n
                 out.append(found)
@@ -122,13 +124,13 @@ def _paragraph_hits(docs: DataFrame, segment_words: int, bands: int, rows: int)
     return found.join(several, "unit", "left_semi")
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, window: int = WINDOW, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, window: int = WINDOW, bands: int = BANDS, rows: int = ROWS, paragraph_words: int = PARAGRAPH_WORDS) -> DataFrame:
     """One row per repeated span: row (document), id, start, n_words, cluster_id, removed.
 
     start counts the document's words from 0. removed tells whether the span goes (an earlier document keeps it).
     """
     docs = df.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    hits = _segment_hits(docs, segment_words, window).unionByName(_paragraph_hits(docs, segment_words, bands, rows))
+    hits = _segment_hits(docs, segment_words, window).unionByName(_paragraph_hits(docs, paragraph_words, bands, rows))
     hits = written(hits.select("row", "id", "start", "n", "unit", (F.col("row") != F.col("keeper")).alias("removed")).distinct(), "hits")
     by = Window.partitionBy("row", "removed").orderBy("start", "n")
     reach = F.max(F.col("start") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))

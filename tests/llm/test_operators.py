@@ -219,6 +219,17 @@ def test_equal_documents_are_one_and_each_passage_holds_a_segment(spark):
     assert len(word_hashes(words(passage))) == 51
 
 
+def test_short_paragraphs_that_recur(spark):
+    from nighspark.llm.substring import repeated_spans
+
+    rng = random.Random(18)
+    line, short = prose(rng, 30).split(), prose(rng, 12)
+    near = [*line[:-1], "changed"]
+    texts = ["\n".join([prose(rng, 50), " ".join(x), short, prose(rng, 50)]) for x in (line, line, near)]
+    got = {(r["id"], r["start"], r["n_words"], r["removed"]) for r in repeated_spans(documents(spark, texts)).collect()}
+    assert got == {(i, 50, 42, i > 0) for i in range(3)}
+
+
 # ---- near duplicates
 
 
