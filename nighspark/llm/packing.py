@@ -3,15 +3,17 @@
 A document's ids (with its end mark) longer than a sequence are cut into full pieces, the first of which may be
 shorter; other documents stay whole. Pieces, a few integers each, are dealt round robin into groups of at most
 `group_pieces`, packed best fit decreasing, and then improved: the least filled bins give up their pieces one by one to
-other bins (move), against a shorter piece (one for one), or two at a time against one piece (two for one). Each step
-raises the sum of squared fills, so the search ends; it stops early once no packing could need fewer bins. Bins that
-stay short in each group are packed once more together.
+other bins (move), against a shorter piece (one for one), or two at a time against one piece (two for one). Pieces of one
+length are alike, so lengths and rooms are tried, not pieces. Each step raises the sum of squared fills, so the search
+ends; it stops early once no packing could need fewer bins. The last bin of each group and bins at most half full are
+packed once more together.
 
-The ids are those of the public byte-level vocabulary; the engine that applies the merges is tiktoken's, whose ids are
-the same as those of `tokenizers` for this file (tested) at a quarter of the time.
+The ids are those of the public byte-level vocabulary, as `tokenizers` gives them for its file: the name of an added
+token in a text is that token's id. The engine that applies the merges is tiktoken's, at a quarter of the time.
 
 Defined cases: a null text counts as empty and gives one piece, the end mark; a text of any length is cut; equal rows are
-packed each on its own; an empty table gives no rows; other columns play no part.
+packed each on its own, ties of length in the order of rows; an empty table gives no rows; of other columns, those with
+a name of the result give way to it, the rest go through.
 """
 
 from __future__ import annotations
@@ -24,27 +26,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import map_texts, written
+from nighspark.llm.common import drop_written, map_texts, written
 
 CAPACITY, END_ID = 1024, 2
 GROUP_PIECES = 32_768
 
 
-def encoder(ranks_file: str, pattern: str):
-    """A function from a text to its ids (numpy, unsigned 32 bits); names of special tokens are ordinary text."""
+def added_tokens(tokenizer_file: str) -> dict[str, int]:
+    """Name and id of the tokens that a tokenizers file adds to its vocabulary; they are found in texts as they stand."""
+    import json
+
+    with open(tokenizer_file, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that need more than their name are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encoder(ranks_file: str, pattern: str, added: dict[str, int]):
+    """A function from a text to its ids (numpy, unsigned 32 bits)."""
     import tiktoken
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.frombuffer(own._core_bpe.encode_to_tiktoken_buffer(text, set()), dtype="<u4") if hasattr(own._core_bpe, "encode_to_tiktoken_buffer") else np.array(own.encode_ordinary(text), dtype="<u4")
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: np.array(own.encode(text, allowed_special="all"), dtype="<u4") if any(t in text for t in added) else own.encode_to_numpy(text, disallowed_special=()).astype("<u4")
 
 
-def pieces_of(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces_of(df: DataFrame, ranks_file: str, pattern: str, added: dict[str, int], text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: the columns of df but text, and piece, start, length, ids_crc32 (and ids)."""
 
     def make():
-        encode = encoder(ranks_file, pattern)
+        encode = encoder(ranks_file, pattern, added)
 
         def each(texts):
             out = []
@@ -113,28 +126,37 @@ class Bins:
     def _empty(self, b: int, others: list[int]) -> bool:
         """Gives away what bin b holds as long as a step raises the squared fills; whether it is empty then."""
         cap = self.capacity
-        owner = np.array([c for c in others for _ in self.held[c]])
-        size = np.array([n for c in others for n, _ in self.held[c]])
-        order = [p for c in others for p in self.held[c]]
-        room = {c: cap - self.fill[c] for c in others}
-        space = np.array([room[c] for c in owner.tolist()])
+        open_ = {c: None for c in others}
+        by_room: list[set[int]] = [set() for _ in range(cap + 1)]
+        # under each sum of a bin's room and a piece's length: the bins by that length
+        by_sum: list[dict[int, set[int]]] = [{} for _ in range(cap + 1)]
+
+        def place(c: int, there: bool) -> None:
+            room = cap - self.fill[c]
+            (by_room[room].add if there else by_room[room].discard)(c)
+            for n in {n for n, _ in self.held[c]}:
+                held = by_sum[room + n].setdefault(n, set())
+                if there:
+                    held.add(c)
+                else:
+                    held.discard(c)
+                    if not held:
+                        del by_sum[room + n][n]
+
+        for c in open_:
+            place(c, True)
         while self.held[b]:
             self.held[b].sort()
-            moved = self._move(b, room)
-            if moved is None:
-                moved = self._swap(b, owner, size, order, space, room)
-            if moved is None:
+            step = self._move(b, by_room) or self._swap(b, by_sum)
+            if step is None:
                 return False
-            c = moved
-            keep = owner != c
-            order = [p for p, k in zip(order, keep.tolist()) if k] + self.held[c]
-            owner = np.concatenate([owner[keep], np.full(len(self.held[c]), c)])
-            size = np.concatenate([size[keep], np.array([n for n, _ in self.held[c]])])
-            room[c] = cap - self.fill[c]
-            space = np.concatenate([space[keep], np.full(len(self.held[c]), room[c])])
+            c, give, take = step
+            place(c, False)
+            self._put(b, c, give, take)
+            place(c, True)
         return True
 
-    def _put(self, b: int, c: int, give: list[tuple[int, int]], take: list[tuple[int, int]]) -> int:
+    def _put(self, b: int, c: int, give: list[tuple[int, int]], take: list[tuple[int, int]]) -> None:
         for p in give:
             self.held[b].remove(p)
             self.held[c].append(p)
@@ -144,38 +166,50 @@ class Bins:
         gain = sum(n for n, _ in give) - sum(n for n, _ in take)
         self.fill[b] -= gain
         self.fill[c] += gain
-        return c
 
-    def _move(self, b: int, room: dict[int, int]) -> int | None:
-        for p in reversed(self.held[b]):
-            fits = [c for c, r in room.items() if r >= p[0]]
-            if fits:
-                return self._put(b, min(fits, key=room.__getitem__), [p], [])
+    def _move(self, b: int, by_room: list[set[int]]):
+        """The longest piece that fits another bin, into the fullest such bin."""
+        for n in sorted({n for n, _ in self.held[b]}, reverse=True):
+            for room in range(n, self.capacity + 1):
+                if by_room[room]:
+                    return min(by_room[room]), [self._piece(b, n)], []
         return None
 
-    def _swap(self, b: int, owner, size, order, space, room) -> int | None:
+    def _swap(self, b: int, by_sum: list[dict[int, set[int]]]):
         """The one-for-one or two-for-one exchange that leaves the least room in the other bin."""
+        count: dict[int, int] = {}
+        for n, _ in self.held[b]:
+            count[n] = count.get(n, 0) + 1
+        lengths = sorted(count)
+        gives = {n: (n,) for n in lengths}
+        for i, n in enumerate(lengths):
+            for m in lengths[i:]:
+                if n + m <= self.capacity and (n != m or count[n] > 1):
+                    gives.setdefault(n + m, (n, m))
         best = None
-        held = self.held[b]
-        gives = [([p], p[0]) for p in held] + [([p, q], p[0] + q[0]) for i, p in enumerate(held) for q in held[i + 1 :]]
-        for give, total in gives:
-            gain = total - size
+        for total, give in gives.items():
             # squared fills rise if the other bin is fuller after the exchange than this one was
-            ok = (gain > 0) & (gain <= space) & (self.capacity - space + gain > self.fill[b])
-            if ok.any():
-                rest = np.where(ok, space - gain, self.capacity + 1)
-                k = int(rest.argmin())
-                if best is None or rest[k] < best[0]:
-                    best = (int(rest[k]), give, k)
-                    if best[0] == 0:
-                        break
+            for rest in range(min(self.capacity - total, self.capacity - self.fill[b] - 1) + 1):
+                if best is not None and rest >= best[0]:
+                    break
+                taken = min((n for n in by_sum[total + rest] if n < total), default=None)
+                if taken is not None:
+                    best = rest, give, taken, min(by_sum[total + rest][taken])
+                    break
+            if best is not None and best[0] == 0:
+                break
         if best is None:
             return None
-        return self._put(b, int(owner[best[2]]), best[1], [order[best[2]]])
+        _, give, taken, c = best
+        first = self._piece(b, give[0])
+        return c, [first, *(self._piece(b, n, first) for n in give[1:])], [self._piece(c, taken)]
+
+    def _piece(self, b: int, length: int, but: tuple[int, int] | None = None) -> tuple[int, int]:
+        return next(p for p in self.held[b] if p[0] == length and p != but)
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bin, offset) of each piece and the number of bins; bins are numbered by falling fill."""
+def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece and the bins' fills; bins are numbered by falling fill."""
     bins = Bins(lengths, capacity)
     bins.improve()
     which, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -185,11 +219,11 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
         for n, i in bins.held[b]:
             which[i], offset[i] = k, at
             at += n
-    return which, offset, len(ranked)
+    return which, offset, np.array([bins.fill[b] for b in ranked], np.int64)
 
 
 def _packed(pieces: DataFrame, groups: int, capacity: int, level: int) -> DataFrame:
-    """pieces with sequence_id, offset and tail (in the least filled bin of its group)."""
+    """pieces with sequence_id, offset and tail (in the least filled bin of its group, or one at most half full)."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*pieces.schema.fields, *T._parse_datatype_string("sequence_id long, offset long, tail boolean").fields])
@@ -202,27 +236,30 @@ def _packed(pieces: DataFrame, groups: int, capacity: int, level: int) -> DataFr
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        which, offset, n = pack_lengths(rows.column(at).to_numpy(), capacity)
+        which, offset, fill = pack_lengths(rows.column(at).to_numpy(), capacity)
         base = (level << 60) + (TaskContext.get().partitionId() << 32)
-        cols = [*rows.columns, pa.array(base + which), pa.array(offset), pa.array(which == n - 1)]
+        cols = [*rows.columns, pa.array(base + which), pa.array(offset), pa.array((which == len(fill) - 1) | (fill[which] * 2 <= capacity))]
         yield from pa.Table.from_arrays(cols, names=names).to_batches(max_chunksize=10_000)
 
     return pieces.repartition(groups).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """pieces (any columns, with length) with sequence_id and offset; at most one bin per second-level group is short of need."""
+    """pieces (any columns, with length) with sequence_id and offset."""
     pieces = written(pieces, "pieces")
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
     first = written(_packed(pieces, groups, capacity, 0), "packed")
+    drop_written(pieces)
     if groups == 1:
         return first.drop("tail")
     tails = first.where("tail").select(*pieces.columns)
     again = _packed(tails, max(1, -(-tails.count() // group_pieces)), capacity, 1)
-    return written(first.where("not tail").unionAll(again), "sequences").drop("tail")
+    out = written(first.where("not tail").unionAll(again), "sequences").drop("tail")
+    drop_written(first)
+    return out
 
 
-def pack_documents(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, **how) -> DataFrame:
+def pack_documents(df: DataFrame, ranks_file: str, pattern: str, added: dict[str, int], text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, **how) -> DataFrame:
     """df's documents as packed pieces: its columns but text, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces_of(df, ranks_file, pattern, text, capacity, end_id), capacity, **how)
+    return pack(pieces_of(df, ranks_file, pattern, added, text, capacity, end_id), capacity, **how)

@@ -76,10 +76,11 @@ def op2_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     small_batches(spark)
-    from nighspark.llm.packing import pack_documents
+    from nighspark.llm.packing import added_tokens, pack_documents
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pack_documents(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = added_tokens(_tokenizer("byte_bpe_50k.json"))
+    out = pack_documents(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
