@@ -9,9 +9,11 @@ share of the letters, weighted by how sure its spans are.
 The model is a fixed-size table (2^bits x languages counts), whatever the corpus: every task counts its labelled rows
 into sparse cells, the cells are summed by key, and the table is broadcast.
 
-Defined cases: a null text, or one without letters, gives `und` and score 0, and labels that are null or empty are not
-learned; ties go to the language first in alphabetical order; with no labelled row at all every text is `und`; texts of
-any length are labelled whole; other columns pass through.
+Defined cases: a null text, or one without letters (marks alone are none), gives `und` and score 0; null labels are not
+learned, every other label is a language; ties go to the language first in alphabetical order; with no labelled row at
+all every text is `und`; an empty table gives no rows; repeated rows get equal labels; texts of any length are labelled
+whole (a task holds 5 bytes per word and language of the longest text); columns named as the new ones give way to them,
+others pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from nighspark.llm.common import map_texts, slices
 
 UNKNOWN = "und"
 BITS = 16
-#: Rows learned from per language at most (chosen by hash of id and text), the documented bound on the sample.
+#: Rows learned from per language at most, about (chosen by hash of the text), the documented bound on the sample.
 SAMPLE_PER_LANG = 4000
 #: Price in nats of changing language between two words.
 PENALTY = 6.0
@@ -53,6 +55,8 @@ SCRIPTS = {
 }
 _NAMES = [*SCRIPTS, "other"]
 _OTHER = len(SCRIPTS)
+#: Added to a script's number for the marks that go on a word but are no letters.
+MARK = 64
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -61,16 +65,17 @@ def _code_points(text: str) -> np.ndarray:
 
 @functools.cache
 def script_table() -> np.ndarray:
-    """Script number of each code point; -1 where it is no letter (or mark within a script). Built on the driver."""
+    """Script number of each letter's code point, MARK more for a mark, -1 for others. Built on the driver."""
     kinds = np.full(0x110000, -1, np.int8)
     for k, ranges in enumerate(SCRIPTS.values()):
         for a, b in ranges:
-            for c in range(a, b + 1):
-                if unicodedata.category(chr(c))[0] in "LM":
-                    kinds[c] = k
-    for c in range(0x80, 0x30000):
-        if kinds[c] == -1 and unicodedata.category(chr(c))[0] == "L":
-            kinds[c] = _OTHER
+            kinds[a : b + 1] = k
+    for c in range(0x110000):
+        category = unicodedata.category(chr(c))[0]
+        if category not in "LM" or c < 0x80 and kinds[c] < 0:
+            kinds[c] = -1
+        else:
+            kinds[c] = (kinds[c] if kinds[c] >= 0 else _OTHER) + MARK * (category == "M")
     return kinds
 
 
@@ -86,6 +91,11 @@ class Words:
         letter = script >= 0
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
+        marks = np.concatenate(([0], np.cumsum(script >= MARK)))
+        if marks[-1]:
+            some = marks[self.ends] - marks[self.starts] < self.ends - self.starts
+            self.starts, self.ends = self.starts[some], self.ends[some]
+        script = script % MARK
         self.docs = np.searchsorted(ends, self.starts, side="right") - 1
         self.letters = self.ends - self.starts
         self.script = script[self.starts]
@@ -164,7 +174,8 @@ def viterbi(scores: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     active = np.searchsorted(-length, -np.arange(length[0]), side="left")  # documents with more than t words
-    came = np.zeros((n, k), np.int8)
+    number = np.int8 if k <= 127 else np.int32
+    came = np.zeros((n, k), number)
     value = scores[first].copy()
     for t in range(1, int(length[0])):
         m = active[t]
@@ -173,7 +184,7 @@ def viterbi(scores: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
         jump = v[np.arange(m), top] - penalty
         stay = v >= jump[:, None]
         at = first[:m] + t
-        came[at] = np.where(stay, np.arange(k, dtype=np.int8), top[:, None].astype(np.int8))
+        came[at] = np.where(stay, np.arange(k, dtype=number), top[:, None].astype(number))
         value[:m] = np.where(stay, v, jump[:, None]) + scores[at]
     label = value.argmax(1)
     for t in range(int(length[0]) - 1, -1, -1):
@@ -186,20 +197,20 @@ def viterbi(scores: np.ndarray, docs: np.ndarray, penalty: float) -> np.ndarray:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", bits: int = BITS, per_lang: int = SAMPLE_PER_LANG, key: Column | None = None) -> Model | None:
     """The model of labelled rows with a text and a label, at most about per_lang of each language, chosen by hash."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.trim(F.col(lang)) != ""))
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return None
-    share = F.lit(0.0)
-    for x, c in counts.items():
-        share = F.when(F.col(lang) == x, F.lit(min(1.0, per_lang / c))).otherwise(share)
+    # as many rows as languages, which the model's table holds on the driver too
+    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, per_lang / c)) for x, c in counts.items()], "__ns_lang string, __ns_share double")
     key = F.xxhash64(text) if key is None else key
-    rows = rows.where(F.pmod(key, F.lit(1 << 20)) < share * (1 << 20))
+    rows = rows.join(F.broadcast(shares), F.col(lang) == F.col("__ns_lang")).where(F.pmod(key, F.lit(1 << 20)) < F.col("__ns_share") * (1 << 20))
     langs = sorted(counts)
     table = np.zeros((1 << bits, len(langs)))
     seen = np.zeros((len(_NAMES), len(langs)))
+    place = {x: i for i, x in enumerate(langs)}
     for r in _learn(rows, text, lang, bits).toPandas().itertuples(index=False):
-        i = langs.index(r.lang)
+        i = place[r.lang]
         if r.cell >= 0:
             table[r.cell, i] = r.n
         else:
