@@ -8,8 +8,9 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a one-column key table may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
@@ -18,12 +19,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, a temporary one of our own."""
+    """The folder named by spark.checkpoint.dir; only where that is unset and the master is local, a temporary one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nighspark-"))
         return shared_dir(spark)
     return base
@@ -88,6 +91,38 @@ def maybe_broadcast(keys: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> D
     return F.broadcast(keys) if rows <= most else keys
 
 
+def row_key(df: DataFrame, *columns: str) -> Column:
+    """Hash of a row's columns (all of df's by default) that tells nulls apart by place, for columns of any type."""
+    parts = []
+    for c in columns or df.columns:
+        kind = df.schema[c].dataType
+        value = F.col(f"`{c}`")
+        parts += [value.isNull(), value if isinstance(kind, T.AtomicType) else F.to_json(F.struct(value))]
+    return F.xxhash64(*parts)
+
+
+def boxed(df: DataFrame, *columns: str) -> DataFrame:
+    """__ns_all (a struct of all columns of df) beside the named columns, so that no name of df can clash with an operator's."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__ns_all"), *(F.col(f"`{c}`") for c in columns))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("__ns_all.*")
+
+
+def joined_by(rows: DataFrame, keys: DataFrame, on: str, weight: str, most: int = 1000) -> DataFrame:
+    """rows inner joined with keys (one row for each value of `on`, `weight` of which counts the rows that have it).
+
+    Values with a share of 1/most or more of all those rows, at most `most` of them, are broadcast, so that their rows
+    stay where they are; the others are joined in a shuffle without them.
+    """
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * most >= total
+    hot = F.broadcast(keys.where(heavy))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keys.where(~heavy), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def utf8(text) -> bytes:
     """UTF-8 bytes of a text, lone surrogates kept."""
     return text.encode("utf-8", "surrogatepass")
@@ -112,15 +147,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def runs_of(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hash of the run of `width` words from each place on."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    acc = h[:n] * _A
+    for i in range(1, width):
+        acc = (acc ^ (acc >> np.uint64(29))) * _B + h[i : n + i]
+    return mixed(acc + np.uint64(width))
+
+
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of the distinct runs of `width` words (sorted); fewer words give the whole sequence as one."""
-    if not len(h):
-        return h
-    width = min(width, len(h))
-    acc = h[: len(h) - width + 1] * _A
-    for i in range(1, width):
-        acc = (acc ^ (acc >> np.uint64(29))) * _B + h[i : len(h) - width + 1 + i]
-    return np.unique(mixed(acc + np.uint64(width)))
+    return np.unique(runs_of(h, min(width, len(h)))) if len(h) else h
 
 
 #: Links up to which one task finds the components (16 bytes each in memory); beyond it rounds of joins do.
@@ -152,17 +192,19 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["id", "component"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc", few: int = FEW_LINKS) -> DataFrame:
     """(id, component) for every id in the links of edges; component is the smallest id reachable.
 
     Alternating large-star and small-star rounds, each written to the shared folder; a round is two aggregations
     and two joins on ids, whose hot ids adaptive execution splits. Ends when a round changes nothing. A counted, small
-    number of links (FEW_LINKS) is left to one task, with the same result.
+    number of links (`few`) is left to one task, with the same result.
     """
     e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     e, before = written(e, tag), None
-    if e.count() <= FEW_LINKS:
-        return written(e.select("u", "v").coalesce(1).mapInArrow(_forest, "id long, component long"), tag)
+    if e.count() <= few:
+        out = written(e.select("u", "v").coalesce(1).mapInArrow(_forest, "id long, component long"), tag)
+        drop_written(e)
+        return out
     while True:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -200,11 +242,10 @@ def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None =
     """df (or its columns `keep`) with the columns of `ddl` worked out from one text column, batch by batch.
 
     make() gives, once a task, a function from a list of texts to a list of Arrow arrays. Every other column goes
-    through as Arrow; a column of df with the name of a new one gives way to it.
+    through as Arrow; a column of df with the name of a new one gives way to it. text may be a field of a struct.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
-    from pyspark.sql import types as T
 
     new = T._parse_datatype_string(ddl).fields
     keep = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in new}]

@@ -9,7 +9,9 @@ The automaton's size is bounded: items are taken in groups of at most `group_wor
 there are more, documents pass once for every group and the spans found are joined per document in Python.
 
 Defined cases: null and empty texts have no words and no hits; items that are null or without words match nothing;
-equal items are all reported; other columns pass through.
+equal items are all reported, items that repeat an id are reported once, and a null item id counts as the empty string;
+an empty table gives no rows, and no items no hits; repeated rows are judged each; texts of any length are streamed whole;
+columns named as the new ones give way to them in contamination() and judged(), decontaminate() keeps every column.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import map_texts, utf8, written
+from nighspark.llm.common import boxed, map_texts, unboxed, utf8, written
 
 WINDOW = 13
 GROUP_WORDS = 400_000
@@ -46,7 +48,8 @@ class Automaton:
             for c in ids:
                 last = self._extend(last, c)
         self.items: dict[int, set[str]] = {}
-        self.short: dict[int, set[str]] = {}
+        # by state, then by number of words: a state stands for runs of several lengths
+        self.short: dict[int, dict[int, set[str]]] = {}
         self.shortest = min([window, *(len(ids) for _, ids in coded)])
         for item, ids in coded:
             state = 0
@@ -55,13 +58,12 @@ class Automaton:
                 if i + 1 >= window:
                     self.items.setdefault(self.window_state(state), set()).add(item)
             if len(ids) < window:
-                self.short.setdefault(self._holding(state, len(ids)), set()).add(item)
+                self.short.setdefault(self._holding(state, len(ids)), {}).setdefault(len(ids), set()).add(item)
         # the nearest state at or above each that holds a whole short item, by growing length so that links come first
         self.above = [-1] * len(self.next)
         if self.short:
             for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
                 self.above[s] = s if s in self.short else self.above[self.link[s]]
-        self.short_length = {s: min(len(ids) for item, ids in coded if item in found and len(ids) < window) for s, found in self.short.items()}
 
     def _extend(self, last: int, c: int) -> int:
         if (q := self.next[last].get(c)) is not None:
@@ -122,10 +124,10 @@ class Automaton:
                 if self.short:
                     q = self.above[s]
                     while q != -1:
-                        size = self.short_length[q]
-                        if size <= n:
-                            items |= self.short[q]
-                            longest = max(longest, size)
+                        for size, held in self.short[q].items():
+                            if size <= n:
+                                items |= held
+                                longest = max(longest, size)
                         q = self.above[link[q]] if link[q] > 0 else -1
                 if longest:
                     first = i - longest + 1
@@ -198,9 +200,9 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", drop: str = "documents", coverage: int = 20, **how) -> DataFrame:
     """df without its contaminated documents, or (drop="spans") with every hit span cut out of its text."""
-    found = contamination(df.withColumn("__ns_text", F.col(text)), benchmark, text="__ns_text", **how)
+    found = contamination(boxed(df), benchmark, text=f"__ns_all.`{text}`", **how)
     if drop == "documents":
-        return judged(found, coverage).where(~F.col("contaminated")).select(*df.columns)
+        return unboxed(judged(found, coverage).where(~F.col("contaminated")))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -208,8 +210,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", drop:
 
         return pd.Series([_without(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    clean = F.when(F.size("hit_spans") > 0, cut(F.col(text), F.col("hit_spans"))).otherwise(F.col(text))
-    return found.withColumn(text, clean).select(*df.columns)
+    own = F.col(f"__ns_all.`{text}`")
+    clean = F.when(F.size("hit_spans") > 0, cut(own, F.col("hit_spans"))).otherwise(own)
+    return found.select(*(clean.alias(c) if c == text else F.col(f"__ns_all.`{c}`").alias(c) for c in df.columns))
 
 
 def _without(text, spans):

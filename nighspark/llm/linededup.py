@@ -9,7 +9,9 @@ Only narrow rows travel: a first pass counts leaves; lines go on only from leave
 counted before they are shuffled; a document's text meets its dropped positions in one join by document.
 
 Defined cases: a null text stays null and an empty one empty, with no lines; blank lines are never dropped; a document
-repeated in id and text is one document (all of its copies keep or lose the same lines); other columns pass through.
+repeated in id and text is one document (all of its copies keep or lose the same lines); an empty table gives no rows;
+lines of any length are taken whole; the smallest id, then the smallest hash of the row, decides who keeps a template; a
+column named as n_dropped gives way to it, others pass through.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ _KEY, _DROP = "__ns_row", "__ns_drop"
 
 
 def _row_key(doc_id: str, text: str) -> Column:
-    """Identity of a document: hash of id and text."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """Identity of a document: hash of id and text that tells nulls apart."""
+    return F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text))
 
 
 def _flat(line: Column) -> Column:
@@ -78,5 +80,5 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_dro
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_DROP))
     rest = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
     out = out.withColumn("__ns_text", F.when(F.col(_DROP).isNull(), F.col(text)).otherwise(rest))
-    names = [F.col("__ns_text").alias(text) if c == text else F.col(c) for c in df.columns]
+    names = [F.col("__ns_text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c != n_dropped]
     return out.select(*names, *([F.coalesce(F.size(_DROP), F.lit(0)).cast("long").alias(n_dropped)] if n_dropped else []))

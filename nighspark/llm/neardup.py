@@ -15,7 +15,10 @@ whole group. Every link counts only when verified on both full sets, recomputed
 With the default 28 bands of 4 a pair at the threshold 0.8 shares no bucket with probability (1 - 0.8^4)^28 < 4e-7.
 
 Defined cases: null or wordless texts have an empty set, are linked with nothing and stand for themselves; rows repeated
-in id and text are in one class; a null id never is the smallest; texts of any length are taken whole.
+in id and text are in one class; a null id never is the smallest; an empty table gives no rows; texts of any length are
+taken whole; other columns play no part in near_duplicates() and go through keep_one(), whatever their names.
+
+Classes are named by 64-bit hashes of their sets: of 10^9 distinct sets one pair in 37 such tables would share a name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import components, drop_written, map_texts, maybe_broadcast, mixed, shingles, word_hashes, words, written
+from nighspark.llm.common import components, drop_written, map_texts, maybe_broadcast, mixed, row_key, shingles, word_hashes, words, written
 
 BANDS, ROWS = 28, 4
 #: Rounds before the last in which a class meets some of a component's classes, and how many for a shingle.
@@ -40,26 +43,36 @@ def shingle_set(text, width: int) -> np.ndarray:
     return shingles(word_hashes(words(text)), width) if text else np.empty(0, np.uint64)
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """[set, band] hashes of min-max signatures; sets must not be empty."""
+def min_max(flat: np.ndarray, first: np.ndarray, last: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[value, set] min-max signatures of the sets flat[first[i]:last[i]], none of them empty; sets may overlap."""
     p = -(-bands * rows // 2)
     rng = np.random.default_rng(20240229)
     a = rng.integers(0, 1 << 63, p, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, p, dtype=np.uint64)
-    flat = np.concatenate(sets)
-    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    values = np.empty((2 * p, len(sets)), np.uint64)
+    values = np.empty((2 * p, len(first)), np.uint64)
+    bounds = np.stack([first, last], 1).ravel()
     for i in range(p):
-        h = flat * a[i] + b[i]
-        values[2 * i], values[2 * i + 1] = np.minimum.reduceat(h, first), np.maximum.reduceat(h, first)
+        h = np.append(flat * a[i] + b[i], np.uint64(0))
+        values[2 * i], values[2 * i + 1] = np.minimum.reduceat(h, bounds)[::2], np.maximum.reduceat(h, bounds)[::2]
     # a band takes values of different functions: minima and maxima of one function lie p values apart
-    values = np.concatenate([values[::2], values[1::2]])[: bands * rows].reshape(bands, rows, len(sets))
+    return np.concatenate([values[::2], values[1::2]])[: bands * rows]
+
+
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[set, band] hashes of the bands of signatures."""
+    values = values.reshape(bands, rows, -1)
     key = np.arange(1, bands + 1, dtype=np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)
     for r in range(rows):
         key = mixed(key ^ values[:, r]) + np.uint64(r)
     return np.ascontiguousarray(key.T)
 
 
+def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """[set, band] hashes of min-max signatures; sets must not be empty."""
+    ends = np.cumsum([len(s) for s in sets])
+    return band_keys(min_max(np.concatenate(sets), ends - [len(s) for s in sets], ends, bands, rows), bands, rows)
+
+
 def _signed(df: DataFrame, id_col: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
     """row, id, n (set size), class (hash of the set), bands."""
 
@@ -75,12 +88,15 @@ def _signed(df: DataFrame, id_col: str, text: str, width: int, bands: int, rows:
 
         return each
 
-    rows_of = df.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows_of = df.select(row_key(df, id_col, text).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
     return map_texts(rows_of, "text", "n long, class long, bands array<long>", make, keep=["row", "id"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
+    """Those of the pairs (a, b) of classes whose full sets reach the threshold, as (smaller, larger).
+
+    The text of a rides to the shuffle by b, so b should be the class that many pairs have.
+    """
 
     def run(batches):
         last: dict[int, np.ndarray] = {}
@@ -99,11 +115,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 p, q = of(x, s), of(y, t)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _prefixes(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -153,7 +169,7 @@ def _prefix_pairs(prefixes: DataFrame, components_of: DataFrame, percent: int, s
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) links between classes, enough to join every two classes that links within buckets join.
 
     buckets: (key, class) with at least two classes a key; sizes: (class, n).
@@ -164,9 +180,10 @@ def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
     top = ranked.groupBy("key").agg(F.max("place").alias("top"))
     # of the centres of its buckets a class takes the one it meets most often, not one that an odd bucket brings
     met = ranked.join(top, "key").groupBy("class", "top").agg(F.count("*").alias("times")).where("top.class <> class")
-    star = met.groupBy("class").agg(F.max(F.struct("times", "top")).alias("t")).select(F.col("t.top.class").alias("a"), F.col("class").alias("b"))
-    tested = written(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-    links = written(_verified(tested, texts, width, percent), "links")
+    star = met.groupBy("class").agg(F.max(F.struct("times", "top")).alias("t")).select(F.col("class").alias("a"), F.col("t.top.class").alias("b"))
+    star = written(star, "star")
+    links = written(_verified(star, texts, width, percent), "links")
+    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     prefixes = None
     # a few of each component's classes first: what they join needs no further pairs; then all that are left
     for seed in (*range(ROUNDS), None):
@@ -186,7 +203,7 @@ def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
 
 
 def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of df: row (hash of id and text), id, n_shingles, component_id (the smallest id of its group)."""
+    """One row per row of df: row (hash of id and text), id, n_shingles, root (its group), component_id (the smallest id of its group)."""
     signed = written(_signed(df, id_col, text, width, bands, rows), "signed")
     classes = signed.where("class is not null")
     keyed = classes.groupBy("class").agg(F.first("bands").alias("bands")).select("class", F.explode("bands").alias("key"))
@@ -194,18 +211,18 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     buckets = written(keyed.join(shared, "key", "left_semi").select("key", "class"), "buckets")
     in_bucket = buckets.select("class").distinct()
     wanted = written(classes.groupBy("class").agg(F.min("row").alias("want"), F.first("n").alias("n")).join(in_bucket, "class", "left_semi"), "wanted")
-    source = df.select(F.xxhash64(id_col, text).alias("want"), F.col(text).alias("text"))
+    source = df.select(row_key(df, id_col, text).alias("want"), F.col(text).alias("text"))
     texts = written(source.join(maybe_broadcast(wanted.select("want", "class"), wanted.count(), BROADCAST_CLASSES), "want").dropDuplicates(["class"]).select("class", "text"), "texts")
-    links = _links(buckets, wanted.select("class", "n"), texts, width, percent)
+    links = links_of(buckets, wanted.select("class", "n"), texts, width, percent)
     joined = components(links).withColumnsRenamed({"id": "class", "component": "root"})
     drop_written(texts)
     # the smallest id of each class, then of each group of classes; rows get it through their class
     lows = classes.groupBy("class").agg(F.min("id").alias("low"))
     rooted = lows.join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))
     group = rooted.groupBy("root").agg(F.min("low").alias("group_low"))
-    low_of = rooted.join(group, "root").select("class", "group_low")
+    low_of = rooted.join(group, "root").select("class", "root", "group_low")
     out = signed.select("row", "id", "n", "class").join(low_of, "class", "left")
-    return out.select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("group_low", "id").alias("component_id"))
+    return out.select("row", "id", F.col("n").alias("n_shingles"), "root", F.coalesce("group_low", "id").alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -215,8 +232,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """df with one row of each group of near duplicates, that of the smallest id; rows without words all stay."""
+    """df with one row of each group of near duplicates: of the rows of the smallest id that of the smallest hash over
+    all columns. Rows without words, and rows of groups without any id, stand for themselves: the former all stay."""
+    row, all_ = "__ns_row", "__ns_all"
     found = duplicate_classes(df, id_col, text, **how)
-    mine = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__ns_row")).distinct()
-    out = df.withColumn("__ns_row", F.xxhash64(id_col, text)).join(mine, "__ns_row", "left_semi")
-    return out.dropDuplicates(["__ns_row"]).select(*df.columns)
+    # rows of one id in one group differ in text or further columns: the smallest of their hashes stays
+    firsts = found.where("n_shingles > 0 and id <=> component_id").select(F.col("row").alias(row), F.col("component_id").alias("__ns_group"), "root").distinct()
+    mine = firsts.groupBy("root").agg(F.min(row).alias(row)).select(row)
+    out = df.withColumns({row: row_key(df, id_col, text), all_: row_key(df)}).withColumn("__ns_words", F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    with_words = out.where("__ns_words").join(mine, row, "left_semi")
+    least = with_words.groupBy(row).agg(F.min(all_).alias(all_))
+    one = with_words.join(least, [row, all_], "left_semi").dropDuplicates([row])
+    return one.unionByName(out.where("not __ns_words")).select(*df.columns)

@@ -1,19 +1,27 @@
-"""Substring dedup: near-duplicate paragraphs by MinHash banding, and verbatim passages inside longer ones.
-
-Two kinds of unit are compared across documents.
- * Paragraphs (lines) of `paragraph_words` words or more: banded min-max signatures of their 5-word shingles, colliding
-   paragraphs joined, Jaccard similarity 0.8 verified on full sets (nighspark.llm.neardup; 12 bands of 3 rows miss a pair
-   at the threshold with probability 2e-4).
- * Segments of `segment_words` words that start at anchors. An anchor is a 5-word run whose hash is smallest in a window
-   of `window` such runs, so it depends on the words alone. Any run of segment_words + window - 1 words (51 by default)
-   that two documents share holds a whole anchored segment of both, wherever paragraphs break; equal segments are
-   grouped by hash.
-
-A unit found in two documents or more is a hit. Its document of smallest id keeps it; it is removed from the others.
-Hits of a document that overlap or adjoin form spans, and spans that share units are one cluster (connected components).
+"""Substring dedup: paragraphs and passages compared across documents by MinHash banding.
+
+The units compared are
+ * paragraphs (lines) of `paragraph_words` words or more, and
+ * passages: runs of `passage_words` words from anchors on, wherever paragraphs break. An anchor is a 5-word run whose hash
+   is smallest in a window of `window` such runs, so it depends on the words alone. Any run of
+   passage_words + window - 1 words (51 by default) that two documents share holds a whole passage of both.
+Every unit has a min-max signature of its 5-word shingles, banded into buckets. Units of equal words are one class from
+the start; classes that meet in a bucket are joined and their exact Jaccard similarity (0.8) is verified on full shingle
+sets; links make components (nighspark.llm.neardup). The default 6 bands of 2 miss a pair at the threshold with
+probability (1 - 0.8^2)^6 = 0.002, and none of equal shingles.
+
+A component found in two documents or more is a hit. Its document of smallest id keeps it (rows that share this id all
+do); it is removed from the others. Hits of a document that overlap or adjoin form spans, and spans that share
+components are one cluster.
+
+What travels: one row (key, class, mark of the document) for each band of each class that a slice of texts holds, one narrow row for each unit,
+and the texts of documents that hold the first unit of a class that shares a bucket. Components of a thousandth of all
+hits or more are joined by broadcast (at most a thousand of them), so no task gets one of them whole.
 
 Defined cases: null and empty texts have no units; units that repeat only within one document are left alone; documents
-repeated in id and text are one document; a null id sorts last; texts are taken whole.
+repeated in id and text are one document; a null id sorts last, and documents without id all keep what only they hold;
+an empty table gives no rows; texts are taken whole, whatever their length; other columns play no part in
+repeated_spans() and go through remove_repeats().
 """
 
 from __future__ import annotations
@@ -22,16 +30,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import components, map_texts, maybe_broadcast, mixed, word_hashes, words, written
-from nighspark.llm.neardup import duplicate_classes
+from nighspark.llm.common import components, drop_written, joined_by, map_texts, mixed, row_key, runs_of, utf8, word_hashes, words, written
+from nighspark.llm.neardup import band_keys, links_of, min_max, shingle_set
 
-SEGMENT_WORDS, WINDOW, SHINGLE = 40, 12, 5
+PASSAGE_WORDS, WINDOW, SHINGLE, PERCENT = 26, 26, 5, 80
 #: Least words of a paragraph: the shingle and a few more, so that one has several shingles.
 PARAGRAPH_WORDS = SHINGLE + 5
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 6, 2
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -43,101 +52,174 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of `width` words, each in constant time: differences of sums of words times falling powers."""
-    if len(h) < width:
-        return np.empty(0, np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BACK, len(h)), dtype=np.uint64)))
-    return mixed((sums[width:] - sums[:-width]) * _powers(_STEP, len(h))[: len(h) - width + 1])
-
-
-def anchors(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the 5-word runs that are smallest (the last of equals) in a window of such runs."""
-    runs = run_hashes(h, SHINGLE)
+def anchors(runs: np.ndarray, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Positions smallest (the last of equals) in a window of `runs`; document d has runs first[d] to first[d] + count[d] - 1."""
     if len(runs) < window:
         return np.empty(0, np.int64)
-    seen = np.lib.stride_tricks.sliding_window_view(runs[::-1], window)
-    at = seen.argmin(1) + np.arange(len(seen))
-    return np.unique(len(runs) - 1 - at)
-
-
-def segments(text, segment_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each anchored segment."""
-    h = word_hashes(words(text)) if text else np.empty(0, np.uint64)
-    if len(h) < segment_words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at = anchors(h, window)
-    at = at[at + segment_words <= len(h)]
-    return at, run_hashes(h, segment_words)[at]
-
-
-def _segment_hits(docs: DataFrame, segment_words: int, window: int) -> DataFrame:
-    """row, id, start, n, unit, keeper for segments found in several documents."""
+    seen = np.lib.stride_tricks.sliding_window_view(runs, window)
+    left = np.maximum(count - window + 1, 0)
+    at = np.repeat(first, left) + np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left)
+    return np.unique(at + window - 1 - seen[at, ::-1].argmin(1))
+
+
+class Units:
+    """The units of several texts laid end to end: document, first word, words, class and place of each."""
+
+    def __init__(self, texts: list, paragraph_words: int, passage_words: int, window: int):
+        found, size, docs, starts, counts = [], [], [], [], []
+        for d, t in enumerate(texts):
+            at = 0
+            for line in (t or "").split("\n"):
+                own = words(line)
+                if len(own) >= paragraph_words:
+                    docs.append(d)
+                    starts.append(at)
+                    counts.append(len(own))
+                at += len(own)
+                found += own
+            size.append(at)
+        size = np.array(size, np.int64)
+        first = np.cumsum(size) - size
+        h = word_hashes(found)
+        self.shingles = runs_of(h, SHINGLE)  # runs that cross documents are in no unit
+        at = anchors(self.shingles, first, np.maximum(size - SHINGLE + 1, 0), window)
+        of = np.searchsorted(first + size, at, side="right")
+        whole = at + passage_words <= (first + size)[of]
+        at, of = at[whole], of[whole]
+        doc = np.concatenate([np.array(docs, np.int64), of])
+        place = np.concatenate([first[np.array(docs, np.int64)] + np.array(starts, np.int64), at])
+        n = np.concatenate([np.array(counts, np.int64), np.full(len(at), passage_words, np.int64)])
+        order = np.argsort(doc, kind="stable")
+        self.doc, self.place, self.n = doc[order], place[order], n[order]
+        self.start = self.place - first[self.doc]
+        # hash of a unit's words from sums of word hashes times falling powers, whatever its length
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BACK, len(h)), dtype=np.uint64)))
+        value = (sums[self.place + self.n] - sums[self.place]) * _powers(_STEP, len(h) + 1)[self.place]
+        self.name = mixed(value + self.n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def keys(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """[unit, band] bucket keys of the units `which`."""
+        if not len(which):
+            return np.empty((0, bands), np.uint64)
+        a = self.place[which]
+        return band_keys(min_max(self.shingles, a, a + self.n[which] - SHINGLE + 1, bands, rows), bands, rows)
+
+
+def _units(docs: DataFrame, paragraph_words: int, passage_words: int, window: int, bands: int, rows: int) -> DataFrame:
+    """row, id, starts, counts, classes; and of the units whose class a slice of texts has first: class (new), mark, bands.
+
+    mark is 0 where several documents of the slice hold the class, else a number of its document.
+    """
 
     def make():
         def each(texts):
-            found = [segments(t, segment_words, window) for t in texts]
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(a) for a, _ in found]))), pa.int32())
-            first = pa.array(np.concatenate([a for a, _ in found]), pa.int32())
-            unit = pa.array(np.concatenate([u for _, u in found]).view(np.int64))
-            return [pa.ListArray.from_arrays(offsets, first), pa.ListArray.from_arrays(offsets, unit)]
+            u = Units(texts, paragraph_words, passage_words, window)
+            new, of = np.unique(u.name, return_index=True, return_inverse=True)[1:]
+            alone = np.ones(len(new), bool)
+            alone[of[u.doc != u.doc[new][of]]] = False
+            order = np.argsort(new)
+            new, alone = new[order], alone[order]
+            # any number serves that differs from slice to slice and text to text
+            digest = np.array([xxhash.xxh32_intdigest(utf8(t or "")) | 1 for t in texts], np.uint32)
+            per, fresh = np.bincount(u.doc, minlength=len(texts)), np.bincount(u.doc[new], minlength=len(texts))
+            ends = lambda size: pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+            lists = [(per, pa.array(u.start, pa.int32())), (per, pa.array(u.n, pa.int32())), (per, pa.array(u.name.view(np.int64)))]
+            lists += [(fresh, pa.array(u.name[new].view(np.int64))), (fresh, pa.array(np.where(alone, digest[u.doc[new]], 0).astype(np.uint32).view(np.int32)))]
+            lists.append((fresh * bands, pa.array(u.keys(new, bands, rows).ravel().view(np.int64))))
+            return [pa.ListArray.from_arrays(ends(size), values) for size, values in lists]
 
         return each
 
-    found = written(map_texts(docs, "text", "starts array<int>, units array<long>", make, keep=["row", "id"]), "segments")
-    each = found.select("row", "id", F.explode(F.arrays_zip("starts", "units")).alias("z")).select("row", "id", F.col("z.starts").alias("start"), F.col("z.units").alias("unit"))
-    # a unit of one document (the usual case) ends here; a frequent one is one partial row a task
-    several = each.groupBy("unit").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("unit")
-    several = written(several, "units")
-    hits = written(each.join(maybe_broadcast(several, several.count()), "unit", "left_semi"), "segment-hits")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    keepers = hits.groupBy("unit").agg(F.min(order).alias("k")).select("unit", F.col("k.row").alias("keeper"))
-    return hits.join(keepers, "unit").select("row", "id", "start", F.lit(segment_words).alias("n"), "unit", "keeper")
+    return map_texts(docs, "text", "starts array<int>, counts array<int>, classes array<long>, new array<long>, marks array<int>, bands array<long>", make, keep=["row", "id"])
 
 
-def _paragraph_hits(docs: DataFrame, paragraph_words: int, bands: int, rows: int) -> DataFrame:
-    """row, id, start, n, unit, keeper for near-duplicate paragraphs of several documents."""
+def _buckets(units: DataFrame, bands: int) -> DataFrame:
+    """(key, class), each once, for keys that several classes of several documents have.
 
-    def make():
-        def each(texts):
-            out = []
-            for t in texts:
-                at, found = 0, []
-                for line in (t or "").split("\n"):
-                    n = len(words(line))
-                    if n >= paragraph_words:
-                        found.append({"start": at, "n": n, "line": line})
-                    at += n
-                out.append(found)
-            return [pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("line", pa.string())])))]
+    A document's own units overlap, so most keys that classes share are of one document.
+    """
 
-        return each
+    def keyed(batches):
+        for batch in batches:
+            name, mark, key = (c.flatten().to_numpy() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(name, bands)), pa.array(np.repeat(mark, bands))], names=["key", "class", "mark"])
+
+    def shared(batches):
+        # sorted rows; of the last key that is held which is not yet to go on: some classes of one document, or one class
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        passed = None
+        for batch in batches:
+            key, name, mark = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
+            if not len(key):
+                continue
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1]))))
+            low, high = np.minimum.reduceat(mark, new), np.maximum.reduceat(mark, new)
+            key, name, mark = key[new], name[new], np.where(low == high, low, 0)
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            several = (np.minimum.reduceat(mark, first) != np.maximum.reduceat(mark, first)) | (np.add.reduceat(mark == 0, first) > 0)
+            good = (size > 1) & several
+            if passed is not None and key[0] == passed:
+                good[0] = True
+            keep = np.repeat(good, size)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep])], names=["key", "class"])
+            passed = key[-1] if good[-1] else None
+            # a class that ends the batch may begin the next one, and is then given twice
+            held = [x[:0] if good[-1] else x[first[-1] :] for x in (key, name, mark)]
+
+    rows = units.where("size(new) > 0").select("new", "marks", "bands").mapInArrow(keyed, "key long, class long, mark int")
+    return rows.repartition("key").sortWithinPartitions("key", "class").mapInArrow(shared, "key long, class long").distinct()
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, n (set size), text (words and blanks) of the wanted units (class, want, start, n)."""
+    lists = written(wanted.groupBy("want").agg(F.collect_list(F.struct("class", "start", "n")).alias("units")), "wanted")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = words(text)
+                for u in units:
+                    unit = b" ".join(own[u["start"] : u["start"] + u["n"]]).decode("utf-8", "surrogatepass")
+                    out.append((u["class"], len(shingle_set(unit, SHINGLE)), unit))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["class", "n", "text"])
 
-    split = map_texts(docs, "text", "p array<struct<start:int,n:int,line:string>>", make, keep=["row", "id"])
-    # the paragraph's place is its id, so that the smallest id of a group of paragraphs names its keeper
-    of = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"), F.col("p.start").alias("start"), F.col("p.n").alias("n"))
-    paragraphs = split.select("row", "id", F.explode("p").alias("p")).select(of.alias("place"), F.col("p.line").alias("line"))
-    found = duplicate_classes(paragraphs, "place", "line", width=SHINGLE, percent=80, bands=bands, rows=rows)
-    found = found.select(F.col("id.row").alias("row"), F.col("id.id").alias("id"), F.col("id.start").alias("start"), F.col("id.n").alias("n"), F.xxhash64("component_id").alias("unit"), F.col("component_id.row").alias("keeper"))
-    found = written(found, "paragraphs")
-    several = found.groupBy("unit").agg(F.max((F.col("row") != F.col("keeper"))).alias("several")).where("several").select("unit")
-    return found.join(several, "unit", "left_semi")
+    found = docs.join(lists, docs["row"] == lists["want"]).select("text", "units").mapInArrow(run, "class long, n long, text string")
+    return found.dropDuplicates(["class"])
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS, window: int = WINDOW, bands: int = BANDS, rows: int = ROWS, paragraph_words: int = PARAGRAPH_WORDS) -> DataFrame:
+def repeated_spans(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS, window: int = WINDOW, bands: int = BANDS, rows: int = ROWS, paragraph_words: int = PARAGRAPH_WORDS
+) -> DataFrame:
     """One row per repeated span: row (document), id, start, n_words, cluster_id, removed.
 
     start counts the document's words from 0. removed tells whether the span goes (an earlier document keeps it).
     """
-    docs = df.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    hits = _segment_hits(docs, segment_words, window).unionByName(_paragraph_hits(docs, paragraph_words, bands, rows))
-    hits = written(hits.select("row", "id", "start", "n", "unit", (F.col("row") != F.col("keeper")).alias("removed")).distinct(), "hits")
+    if min(paragraph_words, passage_words) < SHINGLE:
+        raise ValueError(f"units need {SHINGLE} words at least")
+    docs = df.select(row_key(df, id_col, text).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    units = written(_units(docs, paragraph_words, passage_words, window, bands, rows), "units")
+    buckets = written(_buckets(units, bands), "buckets")
+    each = units.select("row", "id", F.explode(F.arrays_zip("starts", "counts", "classes")).alias("z"))
+    each = each.select("row", "id", F.col("z.starts").alias("start"), F.col("z.counts").alias("n"), F.col("z.classes").alias("class"))
+    figures = each.groupBy("class").agg(F.first("row").alias("want"), F.first("start").alias("start"), F.first("n").alias("n"), F.count("*").alias("c"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("id").alias("low"))
+    met = buckets.select("class").distinct().withColumn("met", F.lit(True))
+    classes = written(figures.join(met, "class", "left").where("met or lo <> hi"), "classes")
+    texts = written(_texts(docs, classes.where("met").select("class", "want", "start", "n")), "texts")
+    links = links_of(buckets, texts.select("class", "n"), texts.select("class", "text"), SHINGLE, PERCENT)
+    joined = components(links).withColumnsRenamed({"id": "class", "component": "unit"})
+    held = classes.select("class", "c", "lo", "hi", "low").join(joined, "class", "left").withColumn("unit", F.coalesce("unit", "class"))
+    several = held.groupBy("unit").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.min("low").alias("keeper")).where("a <> b").select("unit", "keeper")
+    repeated = written(held.select("class", "c", "unit").join(several, "unit").select("class", "c", "unit", "keeper"), "repeated")
+    hits = joined_by(each, repeated, "class", "c").select("row", "id", "start", "n", "unit", (~F.col("id").eqNullSafe(F.col("keeper"))).alias("removed"))
     by = Window.partitionBy("row", "removed").orderBy("start", "n")
     reach = F.max(F.col("start") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = hits.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     marked = written(marked.select("row", "id", "removed", "start", "n", "unit", F.xxhash64("row", "removed", "k").alias("span")), "spans")
-    first = marked.groupBy("unit").agg(F.min("span").alias("first"))
-    joined = components(marked.select("unit", "span").join(first, "unit").select(F.col("span").alias("a"), F.col("first").alias("b")))
+    drop_written(units, buckets, classes, texts, repeated)
+    first = written(marked.groupBy("unit").agg(F.min("span").alias("first"), F.count("*").alias("c")), "firsts")
+    joined = components(joined_by(marked.select("unit", "span"), first, "unit", "c").select(F.col("span").alias("a"), F.col("first").alias("b")))
     spans = marked.groupBy("span").agg(F.first("row").alias("row"), F.first("id").alias("id"), F.first("removed").alias("removed"), F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
     spans = spans.join(joined.withColumnsRenamed({"id": "span", "component": "c"}), "span", "left")
     return spans.select("row", "id", F.col("start").cast("long"), (F.col("end") - F.col("start")).cast("long").alias("n_words"), F.coalesce("c", "span").alias("cluster_id"), "removed")
@@ -154,7 +236,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", **
 
         return pd.Series([_without(t, [(c["start"], c["n_words"]) for c in ([] if cs is None else cs)]) for t, cs in zip(texts, cuts_of)], dtype=object)
 
-    out = df.withColumn("__ns_row", F.xxhash64(id_col, text)).join(cuts, "__ns_row", "left")
+    out = df.withColumn("__ns_row", row_key(df, id_col, text)).join(cuts, "__ns_row", "left")
     return out.withColumn(text, F.when(F.col("__ns_cuts").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__ns_cuts")))).select(*df.columns)
 
 
