@@ -87,3 +87,50 @@ def base_scores(texts, train):
         w = [*words(t), None]
         out[i] = (len(w), sum(counts[x] > 0 for x in w), sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
     return out, n
+
+
+def passages(texts, paragraph_words, passage_words, window, order):
+    """Clusters of (id, first word, words, removed) of repeated units, by all pairs; order(five words) ranks runs for anchors."""
+    units = []
+    for i, t in texts.items():
+        w, at = words(t), 0
+        for line in (t or "").split("\n"):
+            n = len(words(line))
+            if n >= paragraph_words:
+                units.append((i, at, n, tuple(w[at : at + n])))
+            at += n
+        rank = [order(w[k : k + 5]) for k in range(len(w) - 4)]
+        found = {min(range(k, k + window), key=lambda x: (rank[x], -x)) for k in range(len(rank) - window + 1)}
+        units += [(i, k, passage_words, tuple(w[k : k + passage_words])) for k in sorted(found) if k + passage_words <= len(w)]
+    names = sorted({u[3] for u in units})
+    number = {x: k for k, x in enumerate(names)}
+    sets = [frozenset(x[k : k + 5] for k in range(len(x) - 4)) for x in names]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low, docs = components(range(len(sets)), links), {}
+    for i, _, _, x in units:
+        docs.setdefault(low[number[x]], set()).add(i)
+    hits = sorted((i, i != min(docs[u]), at, n, u) for i, at, n, x in units for u in [low[number[x]]] if len(docs[u]) > 1)
+    spans, of = [], {}
+    for i, gone, at, n, u in hits:
+        if spans and spans[-1][:2] == [i, gone] and at <= spans[-1][3]:
+            spans[-1][3] = max(spans[-1][3], at + n)
+        else:
+            spans.append([i, gone, at, at + n])
+        of.setdefault(u, []).append(len(spans) - 1)
+    joined = components(range(len(spans)), [(x[0], y) for x in of.values() for y in x])
+    out = {}
+    for k, (i, gone, a, b) in enumerate(spans):
+        out.setdefault(joined[k], set()).add((i, a, b - a, gone))
+    return {frozenset(x) for x in out.values()}
+
+
+def hidden_path(word_scores, letters, langs, penalty):
+    """(language, letters of it) by trying every labelling of the words."""
+    import itertools
+
+    best = max(itertools.product(range(len(langs)), repeat=len(word_scores)), key=lambda p: sum(s[x] for s, x in zip(word_scores, p)) - penalty * sum(a != b for a, b in zip(p, p[1:])))
+    share = Counter()
+    for x, n in zip(best, letters):
+        share[x] += n
+    top = max(range(len(langs)), key=lambda x: (share[x], -x))
+    return langs[top], share[top]

@@ -63,14 +63,14 @@ def test_layout(spark):
 def test_packing_keeps_every_token(spark):
     from tokenizers import Tokenizer
 
-    from nighspark.llm.packing import pack_documents
+    from nighspark.llm.packing import added_tokens, pack_documents
 
     rng = random.Random(2)
-    texts = [*EDGES, "<|endoftext|> end", *(prose(rng, rng.randrange(1, 900)) for _ in range(60))]
+    texts = [*EDGES, "<|endoftext|> end", "hello <|endoftext|> x<|endoftext|>", "<|endoftext", *(prose(rng, rng.randrange(1, 900)) for _ in range(60))]
     docs = documents(spark, texts)
-    got = pack_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, group_pieces=40).collect()
+    added = added_tokens(P.path("byte_bpe_50k.json"))
+    got = pack_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, added, group_pieces=40).collect()
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         pieces = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
@@ -86,7 +86,7 @@ def test_packing_keeps_every_token(spark):
         assert [o for o, _ in sorted(held)] == [0, *itertools.accumulate(n for _, n in sorted(held))][:-1]
         assert sum(n for _, n in held) <= 1024
     assert len(sequences) <= 1.05 * sum(r["length"] for r in got) / 1024 + 2
-    assert pack_documents(docs.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert pack_documents(docs.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, added).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -94,7 +94,9 @@ def test_packing_keeps_every_token(spark):
 def test_search_packs_within_bounds(lengths):
     from nighspark.llm.packing import Bins, pack_lengths
 
-    which, offset, n = pack_lengths(np.array(lengths), 50)
+    which, offset, fill = pack_lengths(np.array(lengths), 50)
+    n = len(fill)
+    assert fill.tolist() == np.bincount(which, weights=lengths).tolist()
     for b in range(n):
         held = sorted((o, s) for w, o, s in zip(which.tolist(), offset.tolist(), lengths) if w == b)
         assert [o for o, _ in held] == [0, *itertools.accumulate(s for _, s in held)][:-1] and sum(s for _, s in held) <= 50
@@ -118,6 +120,17 @@ def test_swaps_empty_a_bin():
     assert sum(f > 0 for f in bins.fill) == 2
 
 
+def test_search_over_many_equal_pieces_is_short():
+    import time
+
+    from nighspark.llm.packing import pack_lengths
+
+    began = time.time()
+    which, _, fill = pack_lengths(np.array([1023] * 3000 + [2] * 4000), 1024)
+    assert len(fill) == 3008 and fill.max() <= 1024 and len(which) == 7000
+    assert time.time() - began < 8
+
+
 # ---- languages
 
 
@@ -133,11 +146,13 @@ def test_languages(spark):
 
     rows, make = labelled(spark)
     model = train(rows)
-    assert model.langs == ["aa", "bb", "cc"]
-    texts = ["the thing and other", "schon auch nicht der", "когда это", None, "", "12 34 !?", "日本語", "the " * 9000, " ".join(make["aa"] * 4 + make["bb"] * 3), "Ⅷ"]
+    assert model.langs == ["", "aa", "bb", "cc"]
+    texts = ["the thing and other", "schon auch nicht der", "когда это", None, "", "12 34 !?", "日本語", "the " * 9000, " ".join(make["aa"] * 4 + make["bb"] * 3), "Ⅷ", "\U00030000\U00030001", "\u0301 \u093e", "th\u0301e the"]
     got = identify(documents(spark, texts), model, spans=True).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in got][:6] == ["aa", "bb", "cc", "und", "und", "und"]
     assert got[6]["lang_pred"] in model.langs and got[7]["lang_pred"] == "aa" and got[8]["lang_pred"] == "aa"
+    # letters of the third supplementary plane are letters, marks alone are none
+    assert got[10]["lang_pred"] in model.langs and got[11]["lang_pred"] == "und" and got[12]["lang_pred"] == "aa"
     assert all(0 <= r["score"] <= 1 for r in got) and all(r["score"] == 0 for r in got[3:6])
     assert [s["lang"] for s in got[8]["spans"]] == ["aa", "bb"] and got[8]["spans"][0]["last"] == 19
     assert got[0]["source"] == "s"
@@ -205,18 +220,51 @@ def test_passages_anywhere_in_a_text(spark):
     assert repeated_spans(docs.limit(0)).count() == 0
 
 
-def test_equal_documents_are_one_and_each_passage_holds_a_segment(spark):
-    from nighspark.llm.common import word_hashes, words
-    from nighspark.llm.substring import SEGMENT_WORDS, WINDOW, repeated_spans, segments
+def test_equal_documents_are_one_and_each_long_run_holds_a_passage(spark):
+    from nighspark.llm.substring import PARAGRAPH_WORDS, PASSAGE_WORDS, WINDOW, Units, repeated_spans
 
     rng = random.Random(5)
     text = prose(rng, 120)
     assert repeated_spans(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).count() == 0
     assert {r["id"] for r in repeated_spans(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()} == {1, 2}
-    passage = prose(rng, SEGMENT_WORDS + WINDOW - 1)
-    units = [set(segments(f"{prose(rng, a)} {passage} {prose(rng, b)}", SEGMENT_WORDS, WINDOW)[1].tolist()) for a, b in ((0, 0), (1, 9), (30, 2), (77, 50))]
-    assert set.intersection(*units)
-    assert len(word_hashes(words(passage))) == 51
+    passage = prose(rng, PASSAGE_WORDS + WINDOW - 1)
+    u = Units([f"{prose(rng, a)} {passage} {prose(rng, b)}" for a, b in ((0, 0), (1, 9), (30, 2), (77, 50))], 10**6, PASSAGE_WORDS, WINDOW)
+    assert set.intersection(*(set(u.name[u.doc == d].tolist()) for d in range(4)))
+    assert len(passage.split()) == 51 and PARAGRAPH_WORDS == 10
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_passages_match_all_pairs(spark, few, monkeypatch):
+    from nighspark.llm import substring
+    from nighspark.llm.common import runs_of, word_hashes
+
+    rng = random.Random(19)
+    monkeypatch.setattr(substring, "components", lambda edges, own=substring.components: own(edges, few=few))
+    pool = [prose(rng, rng.randrange(8, 80)).split() for _ in range(10)]
+    texts = list(EDGES[:4])
+    for _ in range(26):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            line = list(rng.choice(pool)) if rng.random() < 0.6 else prose(rng, rng.randrange(3, 70)).split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                line[rng.randrange(len(line))] = rng.choice("xyz")
+            lines.append(" ".join(line))
+        texts.append(rng.choice(["\n", " "]).join(lines))
+    got = {}
+    for r in substring.repeated_spans(documents(spark, texts), bands=24, paragraph_words=7, passage_words=12, window=8).collect():
+        got.setdefault(r["cluster_id"], set()).add((r["id"], r["start"], r["n_words"], r["removed"]))
+    want = plain.passages(dict(enumerate(texts)), 7, 12, 8, lambda w: int(runs_of(word_hashes(w), 5)[0]))
+    assert len(want) > 3 and {frozenset(x) for x in got.values()} == want
+
+
+def test_stars_of_long_chains(spark):
+    from nighspark.llm.common import components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {i: low for i, low in plain.components({x for e in edges for x in e}, edges).items()}
+    for few in (0, 1000):
+        assert {r["id"]: r["component"] for r in components(df, few=few).collect()} == want
 
 
 def test_short_paragraphs_that_recur(spark):
@@ -257,6 +305,19 @@ def test_near_duplicates_match_all_pairs(spark, width):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_one_row_of_each_group_stays(spark):
+    from nighspark.llm.neardup import keep_one
+
+    text = "a b c d e f g"
+    rows = [(1, text, "x"), (1, text, "y"), (1, text, "y"), (2, text, "x"), (3, None, "x"), (3, None, "x"), (None, "q r s", "x"), (None, None, "x"), (1, "a b c d e f g a", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __ns_c string")
+    got = keep_one(df, width=2)
+    assert got.columns == df.columns
+    held = [tuple(r) for r in got.collect()]
+    assert len([r for r in held if r[0] == 1]) == 1 and len(held) == 5 and held.count((3, None, "x")) == 2 and (None, "q r s", "x") in held
+    assert sorted(map(str, keep_one(df.repartition(3, "__ns_c"), width=2).collect())) == sorted(map(str, got.collect()))
+
+
 def test_near_duplicates_of_odd_tables(spark):
     from nighspark.llm.neardup import keep_one, near_duplicates
 
@@ -516,3 +577,16 @@ def test_contamination_matches_plain_windows(spark, group_words):
     assert cut[len(EDGES) + 31].split() == ["q", ",", "w"] and cut[0] is None
     assert contamination(docs, bench.limit(0)).where("size(hit_spans) > 0").count() == 0
     assert judged(contamination(docs.limit(0), bench)).count() == 0
+
+
+def test_items_that_share_an_id(spark):
+    from nighspark.llm.decontam import contamination, judged
+
+    rows = [("zz d e zz",), ("a b c d e",), ("f g",), ("x f g a b c d",)]
+    texts = [t for t, in rows]
+    for items in ([("X", "a b c d e"), ("X", "f g")], [(None, "a b c d e"), (None, "f g")], [("X", "a b c d e"), ("Y", "d e"), ("X", "c d e")]):
+        bench = spark.createDataFrame(items, "item_id string, text string")
+        got = {r["doc_id"]: r for r in judged(contamination(documents(spark, texts), bench)).collect()}
+        for i, t in enumerate(texts):
+            n, hit, found = plain.contamination(t, [("" if x is None else x, y) for x, y in items])
+            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (n, hit, len(found)), (items, t)
