@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of documents. Defined cases are those of the operators; a stage's docs may be empty
-and may have further columns, which go through.
+and may have further columns of any name, which go through.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import small_batches, table, written
+from nighspark.llm.common import boxed, drop_written, small_batches, table, unboxed, written
 from nighspark.llm.decontam import decontaminate
 from nighspark.llm.langid import UNKNOWN, identify, train
 from nighspark.llm.linededup import dedup_lines
 from nighspark.llm.neardup import keep_one
-from nighspark.llm.packing import pack_documents
+from nighspark.llm.packing import added_tokens, pack_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the labels teach; those without any letter (und) go."""
     small_batches(spark)
     model = train(docs.select("text", "lang"))
-    found = identify(docs.withColumn("__ns_text", F.col("text")), model, text="__ns_text")
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    found = identify(boxed(docs), model, text="__ns_all.text")
+    return unboxed(found.where(F.col("lang_pred") != UNKNOWN))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
@@ -61,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)
