@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import components, drop_written, map_texts, maybe_broadcast, mixed, row_key, shingles, word_hashes, words, written
+from nighspark.llm.common import components, drop_written, joined_by, map_texts, maybe_broadcast, mixed, row_key, shingles, word_hashes, words, written
 
 BANDS, ROWS = 28, 4
 #: Rounds before the last in which a class meets some of a component's classes, and how many for a shingle.
@@ -157,8 +157,8 @@ def _prefix_pairs(prefixes: DataFrame, components_of: DataFrame, percent: int, s
     rows = prefixes.join(components_of, "class")
     mixed_up = rows.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("shingle", "least")
     rows = rows.join(mixed_up, "shingle").where(F.col("left") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
-    large = components_of.groupBy("c").agg(F.count("*").alias("members"))
-    rows = rows.join(large, "c").withColumn("rank", F.struct("members", "c"))
+    large = written(components_of.groupBy("c").agg(F.count("*").alias("members")), "members")
+    rows = joined_by(rows, large, "c", "members").withColumn("rank", F.struct("members", "c"))
     side = lambda df, x: df.select("shingle", F.col("class").alias(x), F.col("rank").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"l{x}"))
     left, right = side(rows, "a"), side(rows, "b")
     if seed is not None:
@@ -181,7 +181,10 @@ def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int,
     # of the centres of its buckets a class takes the one it meets most often, not one that an odd bucket brings
     met = ranked.join(top, "key").groupBy("class", "top").agg(F.count("*").alias("times")).where("top.class <> class")
     star = met.groupBy("class").agg(F.max(F.struct("times", "top")).alias("t")).select(F.col("class").alias("a"), F.col("t.top.class").alias("b"))
-    star = written(star, "star")
+    # of a bucket of two its one pair: such buckets are done with
+    sizes_of = sized.groupBy("key").agg(F.first("size").alias("size"), F.min("class").alias("a"), F.max("class").alias("b"))
+    star = written(star.unionAll(sizes_of.where("size = 2").join(star, ["a", "b"], "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "star")
+    buckets = written(sized.where("size > 2").select("key", "class"), "large")
     links = written(_verified(star, texts, width, percent), "links")
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     prefixes = None

@@ -5,10 +5,11 @@ The units compared are
  * passages: runs of `passage_words` words from anchors on, wherever paragraphs break. An anchor is a 5-word run whose hash
    is smallest in a window of `window` such runs, so it depends on the words alone. Any run of
    passage_words + window - 1 words (51 by default) that two documents share holds a whole passage of both.
-Every unit has a min-max signature of its 5-word shingles, banded into buckets. Units of equal words are one class from
-the start; classes that meet in a bucket are joined and their exact Jaccard similarity (0.8) is verified on full shingle
-sets; links make components (nighspark.llm.neardup). The default 6 bands of 2 miss a pair at the threshold with
-probability (1 - 0.8^2)^6 = 0.002, and none of equal shingles.
+Every unit has a min-max signature of its 5-word shingles, banded into buckets; paragraphs meet paragraphs and passages
+meet passages. Units of equal words are one class from the start; classes that meet in a bucket are joined and their exact
+Jaccard similarity (0.8) is verified on full shingle sets; links make components (nighspark.llm.neardup). Paragraphs have 6
+bands of 2, which miss a pair at the threshold with probability (1 - 0.8^2)^6 = 0.002. Passages are there for verbatim
+runs, which are equal and never missed, and have 2 bands of 3; an edit inside 26 words leaves them below 0.8 anyhow.
 
 A component found in two documents or more is a hit. Its document of smallest id keeps it (rows that share this id all
 do); it is removed from the others. Hits of a document that overlap or adjoin form spans, and spans that share
@@ -40,7 +41,8 @@ from nighspark.llm.neardup import band_keys, links_of, min_max, shingle_set
 PASSAGE_WORDS, WINDOW, SHINGLE, PERCENT = 26, 26, 5, 80
 #: Least words of a paragraph: the shingle and a few more, so that one has several shingles.
 PARAGRAPH_WORDS = SHINGLE + 5
-BANDS, ROWS = 6, 2
+#: Bands and rows of paragraphs and of passages.
+BANDS, PASSAGE_BANDS = (6, 2), (2, 3)
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -90,23 +92,29 @@ class Units:
         place = np.concatenate([first[np.array(docs, np.int64)] + np.array(starts, np.int64), at])
         n = np.concatenate([np.array(counts, np.int64), np.full(len(at), passage_words, np.int64)])
         order = np.argsort(doc, kind="stable")
-        self.doc, self.place, self.n = doc[order], place[order], n[order]
+        self.doc, self.place, self.n, self.inner = doc[order], place[order], n[order], (np.arange(len(doc)) >= len(docs))[order]
         self.start = self.place - first[self.doc]
         # hash of a unit's words from sums of word hashes times falling powers, whatever its length
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_BACK, len(h)), dtype=np.uint64)))
         value = (sums[self.place + self.n] - sums[self.place]) * _powers(_STEP, len(h) + 1)[self.place]
-        self.name = mixed(value + self.n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        self.name = mixed(value + (2 * self.n + self.inner).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
-    def keys(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
-        """[unit, band] bucket keys of the units `which`."""
-        if not len(which):
-            return np.empty((0, bands), np.uint64)
-        a = self.place[which]
-        return band_keys(min_max(self.shingles, a, a + self.n[which] - SHINGLE + 1, bands, rows), bands, rows)
+    def keys(self, which: np.ndarray, bands: tuple, passage_bands: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Number of bucket keys of each of the units `which`, and the keys."""
+        inner = self.inner[which]
+        count = np.where(inner, passage_bands[0], bands[0])
+        out, first = np.empty(int(count.sum()), np.uint64), np.cumsum(count) - count
+        for kind, (b, r) in enumerate((bands, passage_bands)):
+            at = np.flatnonzero(inner == bool(kind))
+            if len(at):
+                a = self.place[which[at]]
+                keys = band_keys(min_max(self.shingles, a, a + self.n[which[at]] - SHINGLE + 1, b, r), b, r)
+                out[first[at][:, None] + np.arange(b)] = keys ^ np.uint64(kind * _STEP)
+        return count, out
 
 
-def _units(docs: DataFrame, paragraph_words: int, passage_words: int, window: int, bands: int, rows: int) -> DataFrame:
-    """row, id, starts, counts, classes; and of the units whose class a slice of texts has first: class (new), mark, bands.
+def _units(docs: DataFrame, paragraph_words: int, passage_words: int, window: int, bands: tuple, passage_bands: tuple) -> DataFrame:
+    """row, id, starts, counts, classes; and of the units whose class a slice of texts has first: class (new), mark, number of keys; keys.
 
     mark is 0 where several documents of the slice hold the class, else a number of its document.
     """
@@ -125,15 +133,17 @@ def _units(docs: DataFrame, paragraph_words: int, passage_words: int, window: in
             ends = lambda size: pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
             lists = [(per, pa.array(u.start, pa.int32())), (per, pa.array(u.n, pa.int32())), (per, pa.array(u.name.view(np.int64)))]
             lists += [(fresh, pa.array(u.name[new].view(np.int64))), (fresh, pa.array(np.where(alone, digest[u.doc[new]], 0).astype(np.uint32).view(np.int32)))]
-            lists.append((fresh * bands, pa.array(u.keys(new, bands, rows).ravel().view(np.int64))))
+            count, keys = u.keys(new, bands, passage_bands)
+            lists.append((fresh, pa.array(count, pa.int32())))
+            lists.append((np.bincount(u.doc[new], weights=count, minlength=len(texts)).astype(np.int64), pa.array(keys.view(np.int64))))
             return [pa.ListArray.from_arrays(ends(size), values) for size, values in lists]
 
         return each
 
-    return map_texts(docs, "text", "starts array<int>, counts array<int>, classes array<long>, new array<long>, marks array<int>, bands array<long>", make, keep=["row", "id"])
+    return map_texts(docs, "text", "starts array<int>, counts array<int>, classes array<long>, new array<long>, marks array<int>, sizes array<int>, keys array<long>", make, keep=["row", "id"])
 
 
-def _buckets(units: DataFrame, bands: int) -> DataFrame:
+def _buckets(units: DataFrame) -> DataFrame:
     """(key, class), each once, for keys that several classes of several documents have.
 
     A document's own units overlap, so most keys that classes share are of one document.
@@ -141,34 +151,32 @@ def _buckets(units: DataFrame, bands: int) -> DataFrame:
 
     def keyed(batches):
         for batch in batches:
-            name, mark, key = (c.flatten().to_numpy() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(name, bands)), pa.array(np.repeat(mark, bands))], names=["key", "class", "mark"])
+            name, mark, size, key = (c.flatten().to_numpy() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(name, size)), pa.array(np.repeat(mark, size))], names=["key", "class", "mark"])
 
     def shared(batches):
-        # sorted rows; of the last key that is held which is not yet to go on: some classes of one document, or one class
+        # rows sorted by key; of the last key those are held that do not yet make it go on: one class, or classes of one document
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         passed = None
         for batch in batches:
             key, name, mark = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
             if not len(key):
                 continue
-            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1]))))
-            low, high = np.minimum.reduceat(mark, new), np.maximum.reduceat(mark, new)
-            key, name, mark = key[new], name[new], np.where(low == high, low, 0)
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(first, len(key)))
             several = (np.minimum.reduceat(mark, first) != np.maximum.reduceat(mark, first)) | (np.add.reduceat(mark == 0, first) > 0)
-            good = (size > 1) & several
-            if passed is not None and key[0] == passed:
-                good[0] = True
+            good = several & (np.minimum.reduceat(name, first) != np.maximum.reduceat(name, first))
+            good[0] |= passed is not None and key[0] == passed
             keep = np.repeat(good, size)
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep])], names=["key", "class"])
             passed = key[-1] if good[-1] else None
-            # a class that ends the batch may begin the next one, and is then given twice
-            held = [x[:0] if good[-1] else x[first[-1] :] for x in (key, name, mark)]
+            last = slice(first[-1], len(key))
+            name, at = np.unique(name[last], return_index=True)
+            mark = np.where(several[-1], 0, mark[last][at]).astype(np.int32)
+            held = [x[: 0 if good[-1] else len(x)] for x in (np.full(len(name), key[-1]), name, mark)]
 
-    rows = units.where("size(new) > 0").select("new", "marks", "bands").mapInArrow(keyed, "key long, class long, mark int")
-    return rows.repartition("key").sortWithinPartitions("key", "class").mapInArrow(shared, "key long, class long").distinct()
+    rows = units.where("size(new) > 0").select("new", "marks", "sizes", "keys").mapInArrow(keyed, "key long, class long, mark int")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, class long").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -190,7 +198,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_spans(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS, window: int = WINDOW, bands: int = BANDS, rows: int = ROWS, paragraph_words: int = PARAGRAPH_WORDS
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", passage_words: int = PASSAGE_WORDS, window: int = WINDOW, bands: tuple = BANDS, passage_bands: tuple = PASSAGE_BANDS, paragraph_words: int = PARAGRAPH_WORDS
 ) -> DataFrame:
     """One row per repeated span: row (document), id, start, n_words, cluster_id, removed.
 
@@ -199,8 +207,8 @@ def repeated_spans(
     if min(paragraph_words, passage_words) < SHINGLE:
         raise ValueError(f"units need {SHINGLE} words at least")
     docs = df.select(row_key(df, id_col, text).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    units = written(_units(docs, paragraph_words, passage_words, window, bands, rows), "units")
-    buckets = written(_buckets(units, bands), "buckets")
+    units = written(_units(docs, paragraph_words, passage_words, window, bands, passage_bands), "units")
+    buckets = written(_buckets(units), "buckets")
     each = units.select("row", "id", F.explode(F.arrays_zip("starts", "counts", "classes")).alias("z"))
     each = each.select("row", "id", F.col("z.starts").alias("start"), F.col("z.counts").alias("n"), F.col("z.classes").alias("class"))
     figures = each.groupBy("class").agg(F.first("row").alias("want"), F.first("start").alias("start"), F.first("n").alias("n"), F.count("*").alias("c"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("id").alias("low"))
