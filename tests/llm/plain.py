@@ -97,14 +97,14 @@ def passages(texts, paragraph_words, passage_words, window, order):
         for line in (t or "").split("\n"):
             n = len(words(line))
             if n >= paragraph_words:
-                units.append((i, at, n, tuple(w[at : at + n])))
+                units.append((i, at, n, (0, *w[at : at + n])))
             at += n
         rank = [order(w[k : k + 5]) for k in range(len(w) - 4)]
         found = {min(range(k, k + window), key=lambda x: (rank[x], -x)) for k in range(len(rank) - window + 1)}
-        units += [(i, k, passage_words, tuple(w[k : k + passage_words])) for k in sorted(found) if k + passage_words <= len(w)]
-    names = sorted({u[3] for u in units})
+        units += [(i, k, passage_words, (1, *w[k : k + passage_words])) for k in sorted(found) if k + passage_words <= len(w)]
+    names = sorted({u[3] for u in units})  # paragraphs (0) and passages (1) are compared apart
     number = {x: k for k, x in enumerate(names)}
-    sets = [frozenset(x[k : k + 5] for k in range(len(x) - 4)) for x in names]
+    sets = [frozenset((x[0], *x[k : k + 5]) for k in range(1, len(x) - 4)) for x in names]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     low, docs = components(range(len(sets)), links), {}
     for i, _, _, x in units:

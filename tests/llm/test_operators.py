@@ -251,7 +251,7 @@ def test_passages_match_all_pairs(spark, few, monkeypatch):
             lines.append(" ".join(line))
         texts.append(rng.choice(["\n", " "]).join(lines))
     got = {}
-    for r in substring.repeated_spans(documents(spark, texts), bands=24, paragraph_words=7, passage_words=12, window=8).collect():
+    for r in substring.repeated_spans(documents(spark, texts), bands=(24, 2), passage_bands=(24, 2), paragraph_words=7, passage_words=12, window=8).collect():
         got.setdefault(r["cluster_id"], set()).add((r["id"], r["start"], r["n_words"], r["removed"]))
     want = plain.passages(dict(enumerate(texts)), 7, 12, 8, lambda w: int(runs_of(word_hashes(w), 5)[0]))
     assert len(want) > 3 and {frozenset(x) for x in got.values()} == want
