@@ -2,7 +2,8 @@
 
 Vectors are compared within their label only. Equal vectors are one node. The first lists of k neighbours come from
 blocks of nodes that fall on the same side of random hyperplanes; then, round by round, every node introduces the nodes
-of its list and those that list it to each other, and each keeps its k best, until few lists change. A node whose list
+of its list and those that list it to each other, and each keeps its k best, until few lists change; after the first
+round only nodes with a new neighbour on either side do so. A node whose list
 is saturated (even its last neighbour is within the threshold) needs a longer one: its list is enlarged to all nodes
 of such clusters in its label. The nodes of a cluster (those that chains of links reach) are dealt into groups of a
 bounded number, each with a centre and the largest angle from it; two groups whose centres are further apart than both
@@ -11,7 +12,9 @@ Recall is audited on a bounded set of queries against all nodes, as the mean ove
 starts new rounds, and where it stays low all nodes of a label are compared. All cosines are worked out in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and those without label, link with
-nothing and stand for themselves; vectors of different length do not link; repeated ids are nodes by their vector.
+nothing and stand for themselves; vectors of different length do not link; repeated ids are nodes by their vector; equal
+similarities in a list go to the larger node; an empty table gives no rows; vectors of any length are taken whole; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import components, written
+from nighspark.llm.common import components, drop_written, joined_by, written
 
-K, TABLES, BLOCK, TILE = 10, 6, 384, 512
+K, TABLES, BLOCK, TILE = 10, 6, 32, 512
 ROUNDS, CHANGED, AUDIT_QUERIES, AUDIT_RECALL, RETRIES = 5, 0.002, 128, 0.98, 2
 #: Members of a node's introduction handled together; more are split by hash.
 MEMBERS = 96
@@ -60,11 +63,42 @@ def _rows(node: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, keep: np.ndarray
     return [pa.array(node[some]), pa.ListArray.from_arrays(offsets, pa.array(nbrs[keep])), pa.ListArray.from_arrays(offsets, pa.array(sims[keep]))]
 
 
+def _best(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, k: int):
+    """The k best distinct neighbours of each node, by node and falling similarity."""
+    at = np.lexsort((-sim, nbr, node))
+    node, nbr, sim = node[at], nbr[at], sim[at]
+    one = np.concatenate(([True], (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])))[: len(node)]
+    node, nbr, sim = node[one], nbr[one], sim[one]
+    at = np.lexsort((-nbr, -sim, node))
+    node, nbr, sim = node[at], nbr[at], sim[at]
+    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))[: len(node)]
+    rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+    return node[rank < k], nbr[rank < k], sim[rank < k]
+
+
 def _merged(lists: DataFrame, k: int) -> DataFrame:
     """One list of the k best distinct neighbours for each node."""
-    each = lists.select("node", F.explode(F.arrays_zip("nbrs", "sims")).alias("z")).groupBy("node", F.col("z.nbrs").alias("b")).agg(F.max("z.sims").alias("s"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("s", "b")), asc=False), 1, k)
-    return each.groupBy("node").agg(best.alias("p")).select("node", F.col("p.b").alias("nbrs"), F.col("p.s").alias("sims"))
+
+    def listed(node, nbr, sim):
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))[: len(node)]
+        offsets = pa.array(np.append(first, len(node)), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(node[first]), pa.ListArray.from_arrays(offsets, pa.array(nbr)), pa.ListArray.from_arrays(offsets, pa.array(sim))], names=["node", "nbrs", "sims"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            node, nbrs, sims = batch.columns
+            flat = (np.repeat(node.to_numpy(), np.diff(nbrs.offsets.to_numpy())), nbrs.flatten().to_numpy(), sims.flatten().to_numpy())
+            flat = _best(*(flat if held is None else map(np.concatenate, zip(held, flat))), k)
+            if len(flat[0]):
+                # the last node may go on in the next batch
+                last = int(np.searchsorted(flat[0], flat[0][-1]))
+                yield listed(*(x[:last] for x in flat))
+                held = [x[last:] for x in flat]
+        if held is not None:
+            yield listed(*held)
+
+    return lists.select("node", "nbrs", "sims").repartition("node").sortWithinPartitions("node").mapInArrow(run, _LIST)
 
 
 def _block_lists(nodes: DataFrame, seed: int, k: int, tables: int, block: int) -> DataFrame:
@@ -106,14 +140,19 @@ def _block_lists(nodes: DataFrame, seed: int, k: int, tables: int, block: int) -
     return each.select("key", "sub", "node", "v").groupBy("key", "sub").applyInArrow(lists, _LIST)
 
 
-def _introduced(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Better neighbours found among the neighbours (both ways) of each node: lists of what beats a node's last one."""
+def _introduced(graph: DataFrame, nodes: DataFrame, k: int, turn: int, active: DataFrame | None) -> DataFrame:
+    """Better neighbours found among the neighbours (both ways) of each (active) node: lists of what beats a node's last one.
+
+    The neighbours of a node that very many list are dealt into parts by a hash that each turn changes.
+    """
     edge = graph.select("node", F.explode("nbrs").alias("nbr"))
     meets = edge.select(F.col("node").alias("at"), F.col("nbr").alias("node")).unionAll(edge.select(F.col("nbr").alias("at"), "node")).distinct()
+    if active is not None:
+        meets = meets.join(active, "at", "left_semi")
     floor = F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(-2.0))
     known = nodes.join(graph.select("node", floor.alias("floor")), "node", "left").select("node", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
     degree = meets.groupBy("at").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    meets = meets.join(degree, "at").withColumn("sub", F.pmod(F.xxhash64("node", "at"), "parts")).join(known, "node")
+    meets = meets.join(degree, "at").withColumn("sub", F.pmod(F.xxhash64("node", "at", F.lit(turn)), "parts")).join(known, "node")
 
     def run(batches):
         held = None
@@ -151,16 +190,18 @@ def _introduced(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def _found(nodes: DataFrame, k: int, tables: int, block: int, rounds: int, seed: int, old: DataFrame | None) -> DataFrame:
     lists = _block_lists(nodes, seed, k, tables, block)
-    graph = written(_merged(lists if old is None else lists.unionByName(old), k), "graph")
+    graph, active = written(_merged(lists if old is None else lists.unionByName(old), k), "graph"), None
     n = graph.count()
-    for _ in range(rounds):
-        new = written(_introduced(graph, nodes, k), "met")
-        fresh = _merged(graph.unionByName(new), k)
-        fresh = written(fresh, "graph")
-        changed = fresh.select("node", F.explode("nbrs").alias("b")).join(graph.select("node", F.explode("nbrs").alias("b")), ["node", "b"], "left_anti").count()
+    for turn in range(rounds):
+        new = written(_introduced(graph, nodes, k, seed * 1000 + turn, active), "met")
+        fresh = written(_merged(graph.unionByName(new), k), "graph")
+        added = fresh.select("node", F.explode("nbrs").alias("b")).join(graph.select("node", F.explode("nbrs").alias("b")), ["node", "b"], "left_anti")
+        added = written(added, "added")
+        drop_written(graph, new)
         graph = fresh
-        if changed <= CHANGED * n * k:
+        if added.count() <= CHANGED * n * k:
             break
+        active = added.select(F.col("node").alias("at")).unionAll(added.select(F.col("b").alias("at"))).distinct()
     return graph
 
 
@@ -237,8 +278,8 @@ def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
     queries = linked.unionByName(plain).select("node", "part", "v", "n").collect()
     if not queries:
         return 1.0
-    plainly = [(q["node"], q["part"], np.asarray(q["v"], np.float64), q["n"]) for q in queries]
-    shared = nodes.sparkSession.sparkContext.broadcast([(a, p, v / np.sqrt(v @ v)) for a, p, v, _ in plainly])
+    plainly = [(q["node"], q["part"], _matrix(pa.array([q["v"]], pa.list_(pa.float64())))[0], q["n"]) for q in queries]
+    shared = nodes.sparkSession.sparkContext.broadcast([q[:3] for q in plainly])
 
     def run(batches):
         truth: dict[int, int] = {}
