@@ -226,11 +226,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc", fe
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
 
-def slices(sizes: list):
-    """(from, to) of runs of rows within SLICE_ROWS and SLICE_BYTES."""
+def slices(sizes: list, most: int = SLICE_BYTES):
+    """(from, to) of runs of rows within SLICE_ROWS and `most` bytes."""
     at = held = 0
     for i, size in enumerate(sizes):
-        if i > at and (i - at >= SLICE_ROWS or held + size > SLICE_BYTES):
+        if i > at and (i - at >= SLICE_ROWS or held + size > most):
             yield at, i
             at, held = i, 0
         held += size

@@ -22,8 +22,9 @@ What travels: weights, and one row per distinct word and per distinct 6-byte str
 hold about `block_bytes` of text; a block meets the corpus figures of its own words and strings only, so no task or driver
 ever holds the vocabulary.
 
-Defined cases: a null text counts as empty (one token, the end); words are compared by 64-bit hash; repeated rows are
-scored each; with no training text the baseline has N = V = 0 and the mixing model is uniform.
+Defined cases: a null text counts as empty (one token, the end); texts of any length are scored whole, each within one task;
+words are compared by 64-bit hash; repeated rows are scored each; an empty table gives no rows; with no training text the
+baseline has N = V = 0 and the mixing model is uniform; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import mixed, slices, word_hashes, words, written
+from nighspark.llm.common import drop_written, mixed, slices, utf8, word_hashes, words, written
 
 #: Bytes of each context, the bytes kept of a position (the longest context and the byte itself).
 CONTEXTS = (0, 1, 2, 3, 4, 5)
@@ -43,6 +44,8 @@ ORDERS, WIDTH = len(CONTEXTS), max(CONTEXTS) + 1
 BUCKET_GRAMS, LEAST_BUCKETS = 100_000, 24
 BLOCK_BYTES = 16_000_000
 RATE, EPOCHS, ROUNDS, BUCKETS = 0.02, 4, 2, 33
+#: Bytes of text whose strings of 6 bytes are held at once: each byte takes about 50.
+SLICE = 500_000
 #: Hash standing for the end token.
 END = np.uint64(0x5DEECE66D1234567)
 WORD_WEIGHT = 0.7
@@ -109,15 +112,15 @@ class Mixer:
         return out
 
     def inputs(self, runs: np.ndarray, gram: np.ndarray, k: int, without: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Logits by order and the gate; `without` leaves one occurrence of the bit itself out of the counts."""
+        """Logits by order and how many orders know the context; `without` leaves one occurrence of the bit itself out of the counts."""
         own, other = runs[:, k + 1], runs[:, k] - runs[:, k + 1]
         if without:
             own = np.maximum(own - 1, 0)
         logit = np.log((own + np.float32(0.3)) / (other + np.float32(0.3))) * np.where(_bit(gram, k) == 1, 1, -1).astype(np.float32)
-        return np.ascontiguousarray(logit.T), k * (ORDERS + 1) + (own + other > 0).sum(0)
+        return np.ascontiguousarray(logit.T), (own + other > 0).sum(0)
 
-    def mix(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((logit * self.weights[gate]).sum(1), -13, 13)
+    def mix(self, logit: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
+        return np.clip((logit * self.weights[k * (ORDERS + 1) + known]).sum(1), -13, 13)
 
     def refined(self, z: np.ndarray, gram: np.ndarray, k: int) -> np.ndarray:
         p = _squash(z)
@@ -130,8 +133,8 @@ class Mixer:
         """log10 probability of the last byte of each gram of a bucket."""
         total, runs = np.zeros(len(gram)), self.runs(gram, n)
         for k in range(8):
-            logit, gate = self.inputs(runs, gram, k)
-            p = self.refined(self.mix(logit, gate), gram, k)
+            logit, known = self.inputs(runs, gram, k)
+            p = self.refined(self.mix(logit, known, k), gram, k)
             total += np.log10(np.where(_bit(gram, k) == 1, p, 1 - p))
         return total
 
@@ -144,20 +147,20 @@ class Mixer:
 
     def learn(self, gram: np.ndarray, n: np.ndarray, runs: np.ndarray, step: int = 512) -> np.ndarray:
         """Online descent through the grams in order; the bits seen by each gate."""
-        seen = np.zeros(len(self.weights))
+        seen = np.zeros((8, ORDERS + 1))
+        gates = np.arange(ORDERS + 1)[:, None]
         for k in range(8):
             bit = _bit(gram, k)
-            logit, gate = self.inputs(runs, gram, k, without=True)
-            np.add.at(seen, gate, n)
-            for epoch in range(EPOCHS):
+            logit, known = self.inputs(runs, gram, k, without=True)
+            seen[k] = np.bincount(known, weights=n, minlength=ORDERS + 1)
+            own = self.weights[k * (ORDERS + 1) : (k + 1) * (ORDERS + 1)]
+            for _ in range(EPOCHS):
                 for at in range(0, len(gram), step):
-                    x, g, w = logit[at : at + step], gate[at : at + step], n[at : at + step]
-                    error = (bit[at : at + step] - _squash(self.mix(x, g))) * w
-                    slope, mass = np.zeros_like(self.weights), np.zeros(len(self.weights))
-                    np.add.at(slope, g, error[:, None] * x)
-                    np.add.at(mass, g, w)
-                    self.weights += RATE * slope / np.maximum(mass, 1)[:, None]
-        return seen
+                    x, g, w = logit[at : at + step], known[at : at + step], n[at : at + step]
+                    error = (bit[at : at + step] - _squash(np.clip((x * own[g]).sum(1), -13, 13))) * w
+                    of = (g == gates).astype(np.float64)
+                    own += RATE * (of @ (error[:, None] * x)) / np.maximum(of @ w, 1)[:, None]
+        return seen.ravel()
 
 
 def _node(gram: np.ndarray, k: int) -> np.ndarray:
@@ -180,7 +183,7 @@ def _grams_of(train: DataFrame, text: str, most: int = 3_000_000) -> DataFrame:
         keys, counts, held = [], [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for at, to in slices([len(t or "") for t in texts]):
+            for at, to in slices([len(t or "") for t in texts], SLICE):
                 found = pc.value_counts(pa.array(grams(texts[at:to])[0]))
                 keys.append(found.field(0).to_numpy())
                 counts.append(found.field(1).to_numpy())
@@ -241,7 +244,8 @@ def fitted(cells: DataFrame) -> Mixer:
             own.weights = own.weights.copy()
             gram, n = _arrays(table)
             order = np.argsort(mixed(gram))
-            seen = own.learn(gram[order], n[order].astype(np.float64), own.runs(gram, n)[:, :, order])
+            gram, n = gram[order], n[order]
+            seen = own.learn(gram, n.astype(np.float64), own.runs(gram, n))
             total = own.weights * seen[:, None]
             gate = np.arange(own.weights.size) // ORDERS
             return pa.table([pa.array(np.arange(own.weights.size)), pa.array(total.ravel()), pa.array(seen[gate])], names=["at", "w", "n"])
@@ -254,14 +258,15 @@ def fitted(cells: DataFrame) -> Mixer:
     shared = spark.sparkContext.broadcast(mixer.state())
 
     def refine(table):
-        own, cell = _mixer(shared.value), np.zeros((256, BUCKETS, 2))
+        own, cell = _mixer(shared.value), np.zeros(256 * BUCKETS * 2)
         gram, n = _arrays(table)
         runs = own.runs(gram, n)
         for k in range(8):
-            logit, gate = own.inputs(runs, gram, k, without=True)
-            np.add.at(cell, (_node(gram, k), _bucket(own.mix(logit, gate)), _bit(gram, k)), n)
+            logit, known = own.inputs(runs, gram, k, without=True)
+            at = (_node(gram, k) * BUCKETS + _bucket(own.mix(logit, known, k))) * 2 + _bit(gram, k)
+            cell += np.bincount(at, weights=n, minlength=len(cell))
         at = np.flatnonzero(cell)
-        return pa.table([pa.array(at), pa.array(cell.ravel()[at].astype(np.int64))], names=["at", "n"])
+        return pa.table([pa.array(at), pa.array(cell[at].astype(np.int64))], names=["at", "n"])
 
     table = np.zeros(256 * BUCKETS * 2)
     for r in held.applyInArrow(refine, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
@@ -278,7 +283,7 @@ def _mixer(state: dict) -> Mixer:
 
 def _word_slices(texts: list):
     """(from, to, hash of each token of the slice, tokens of each text); every text ends with the end token."""
-    for at, to in slices([len(t or "") for t in texts]):
+    for at, to in slices([len(t or "") for t in texts], SLICE):
         found = [words(t or "") for t in texts[at:to]]
         size = np.array([len(w) + 1 for w in found], np.int64)
         hashes = np.empty(int(size.sum()), np.uint64)
@@ -312,7 +317,7 @@ def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of df."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (of the text) for every row of df."""
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(24, -(-size // block_bytes))
@@ -323,6 +328,7 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
     cells = written(spelled.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     mixer = fitted(cells)
     costs = written(gram_costs(mixer, cells), "costs")
+    drop_written(cells)
     # every block's row of a word gets the word's count over all of them; a word has as many rows as blocks hold it
     word = Window.partitionBy("word")
     counts = written(own.select("block", "word", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("one")), "words")
@@ -334,7 +340,7 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
         (key, c), (gram, cost_of) = (_by_key(keys_of.filter(pc.equal(keys_of["spelled"], x))) for x in (False, True))
         gain, known = np.log10(c + 0.1), c > 0
         texts = docs_of["text"].to_pylist()
-        cols = [[], [], [], [], []]
+        cols = [[], [], [], []]
         for at, to, hashes, size in _word_slices(texts):
             found = pc.dictionary_encode(pa.array(hashes))
             where = np.searchsorted(key, found.dictionary.to_numpy())
@@ -355,10 +361,9 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
             unseen = np.log10(1 - seen_share) + spelled
             token = np.where(share > 0, np.log10(10.0 ** np.maximum(unseen, -300) + seen_share * share), unseen)
             cols[3].append(np.add.reduceat(token, first))
-            cols[4].append(length)
         joined = [np.concatenate(x) for x in cols]
-        bits = -joined[3] / np.log10(2) / joined[4]
-        return pa.table([docs_of["id"], docs_of["held_out"], *(pa.array(x) for x in joined[:4]), pa.array(bits)], names=["id", "held_out", "n_tokens", "n_known", "gain", "score", "bits_per_byte"])
+        bits = -joined[3] / np.log10(2) / np.array([max(1, len(utf8(t or ""))) for t in texts])
+        return pa.table([docs_of["id"], docs_of["held_out"], *(pa.array(x) for x in joined), pa.array(bits)], names=["id", "held_out", "n_tokens", "n_known", "gain", "score", "bits_per_byte"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, gain double, score double, bits_per_byte double"
