@@ -356,7 +356,10 @@ def test_scores(spark):
     for i, r in got.items():
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), *want[i][:2], n)
         assert r["base_score"] == pytest.approx(want[i][2]) and r["score"] <= 0
-        assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / (sum(len(w) + 1 for w in plain.words(texts[i])) + 1))
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / max(1, len((texts[i] or "").encode())))
+    # where and beside which rows a text is scored plays no part
+    again = score_texts(docs.repartition(7, "n", "text"), "doc_id", "text", rule, block_bytes=900).collect()
+    assert all(r["score"] == pytest.approx(got[r["doc_id"]]["score"], rel=1e-9) for r in again) and len(again) == len(got)
     usual = [got[i]["bits_per_byte"] for i in texts if held(i) and len(texts[i] or "") > 200 and i > 6]
     assert usual and np.mean(usual) < 4
     assert score_texts(docs.limit(0), "doc_id", "text", rule).count() == 0
