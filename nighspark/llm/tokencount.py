@@ -1,89 +1,148 @@
 """Token counts under a unigram model, worked out once for every shared prefix of the distinct pre-tokens.
 
-The pieces and their order come from a public vocabulary; a piece's score is its log probability under Zipf's law on
-its rank (byte pieces serve only as fallback for characters no piece covers). A pre-token is a run of characters
-between white space [\\x20\\x09-\\x0D] with the word mark in front; its segmentation is the one of highest score, ties
-going to fewer pieces. The distinct pre-tokens of a slice form a trie, walked depth first: sorted order is that walk,
-and the stack of forward scores up to the common prefix with the one before is kept, so a prefix shared by many
-pre-tokens is scored once. What a terminal node stores (pieces, score) is looked up for each occurrence.
+The pieces come from a public vocabulary. A piece's score is its log probability under a unigram model learned from the
+whole table: how often the public tokenizer itself uses the piece (with half an occurrence more for each). Byte pieces serve
+only as fallback for characters no piece covers. A pre-token is a run of characters between white space [\\x20\\x09-\\x0D]
+with the word mark in front; its segmentation is the one of highest score, ties going to fewer pieces.
 
-Each task has its own trie and forgets terminals beyond `most_terminals`, so memory is bounded and nothing is shuffled.
+Distinct pre-tokens are inserted in a trie that a task keeps from slice to slice. A node holds the forward score and the
+number of pieces of the best segmentation of its prefix, worked out once from those of the nodes above it, so a prefix that
+many pre-tokens share is scored once. The counts of terminal nodes are looked up for each occurrence.
 
-Defined cases: null and empty texts have 0 words and 0 tokens; words of any length are scored in time linear in them.
+Each task has its own trie and starts a new one beyond `most_nodes`, so memory is bounded whatever the vocabulary of the
+corpus; the model is a row per piece. Nothing is shuffled but partial counts of pieces.
+
+Defined cases: null and empty texts have 0 words and 0 tokens; words of any length are scored in time linear in them; an
+empty table gives no rows; repeated rows are counted each; columns named as the new ones give way to them, others pass.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from nighspark.llm.common import map_texts, utf8
+from nighspark.llm.common import map_texts, slices, utf8
 
 MARK = "▁"
-MOST_TERMINALS = 300_000
-#: Log probability of one fallback byte, below that of any piece.
+MOST_NODES = 600_000
+#: Distinct pre-tokens that a task counts before it tokenises them and starts anew.
+MOST_WORDS = 200_000
+#: Log probability of one fallback byte.
 BYTE_SCORE = -20.0
 
 
-def piece_scores(model_file: str) -> dict[str, float]:
-    """Score of each ordinary piece: -ln(rank + 1) - ln(sum of 1/(rank + 1))."""
+def _vocabulary(model_file: str):
+    """The tokenizer and its ordinary pieces by id."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    total = math.log(sum(1 / (r + 1) for r in range(len(pieces))))
-    return {p: -math.log(r + 1) - total for r, p in enumerate(pieces)}
+    return sp, {i: sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+
+
+def piece_counts(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
+    """(piece, n): how often the tokenizer uses each piece (by id) for the pre-tokens of all rows."""
+
+    def run(batches):
+        sp, _ = _vocabulary(model_file)
+        sums: Counter[int] = Counter()
+        held: Counter[bytes] = Counter()
+
+        def flush():
+            found = list(held)
+            for at in range(0, len(found), 10_000):
+                part = found[at : at + 10_000]
+                for w, ids in zip(part, sp.encode([w.decode("utf-8", "replace") for w in part], num_threads=1)):
+                    n = held[w]
+                    for i in ids:
+                        sums[i] += n
+            held.clear()
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for at, to in slices([len(t or "") for t in texts]):
+                for t in texts[at:to]:
+                    if t:
+                        held.update(utf8(t).split())
+                if len(held) > MOST_WORDS:
+                    flush()
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["piece", "n"])
+
+    return df.select(text).mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def piece_scores(model_file: str, counts: dict[int, int]) -> dict[str, float]:
+    """Natural log probability of each ordinary piece by the counts of pieces."""
+    _, pieces = _vocabulary(model_file)
+    total = math.log(sum(counts.get(i, 0) for i in pieces) + 0.5 * len(pieces))
+    return {p: math.log(counts.get(i, 0) + 0.5) - total for i, p in pieces.items()}
 
 
 class Trie:
-    """Forward scores over the trie of pre-tokens, walked in sorted order."""
+    """Pre-tokens as paths; nodes hold the forward score and the number of pieces of their prefix."""
 
-    def __init__(self, scores: dict[str, float], most: int = MOST_TERMINALS):
+    def __init__(self, scores: dict[str, float], most: int = MOST_NODES):
         self.scores, self.longest, self.most = scores, max(map(len, scores)), most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.next: dict[int, int] = {}
+        self.best, self.count = [0.0], [0]
         self.terminals: dict[bytes, tuple[int, float]] = {}
-        self.nodes = 0
+
+    @property
+    def nodes(self) -> int:
+        return len(self.best) - 1
 
     def insert(self, tokens) -> None:
-        """Scores the tokens that have no terminal yet."""
-        if len(self.terminals) > self.most:
-            self.terminals = {}
-        new = sorted(MARK + t.decode("utf-8", "surrogatepass") for t in tokens if t not in self.terminals)
-        scores, longest, path = self.scores, self.longest, ""
-        best, count = [0.0], [0]
-        for word in new:
-            shared = 0
-            for a, b in zip(path, word):
-                if a != b:
+        """Adds the tokens that have no terminal yet; a full trie is left for a new one first."""
+        if self.nodes > self.most:
+            self._empty()
+        follow, best, count, scores, longest = self.next, self.best, self.count, self.scores, self.longest
+        for t in tokens:
+            if t in self.terminals:
+                continue
+            word, node, path = MARK + t.decode("utf-8", "surrogatepass"), 0, [0]
+            for c in word:
+                node = follow.get(node << 21 | ord(c))
+                if node is None:
                     break
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
+                path.append(node)
+            for end in range(len(path), len(word) + 1):
                 top, pieces = None, 0
                 for start in range(max(0, end - longest), end):
                     s = scores.get(word[start:end])
                     if s is not None:
-                        s += best[start]
-                        if top is None or s > top or (s == top and count[start] + 1 < pieces):
-                            top, pieces = s, count[start] + 1
+                        s += best[path[start]]
+                        if top is None or s > top or (s == top and count[path[start]] + 1 < pieces):
+                            top, pieces = s, count[path[start]] + 1
                 if word[end - 1] not in scores:
                     n = len(utf8(word[end - 1]))
-                    s = best[end - 1] + n * BYTE_SCORE
+                    s = best[path[end - 1]] + n * BYTE_SCORE
                     if top is None or s > top:
-                        top, pieces = s, count[end - 1] + n
+                        top, pieces = s, count[path[end - 1]] + n
+                follow[path[-1] << 21 | ord(word[end - 1])] = len(best)
+                path.append(len(best))
                 best.append(top)
                 count.append(pieces)
-            self.nodes += len(word) - shared
-            self.terminals[utf8(word[1:])] = (count[-1], best[-1])
-            path = word
+            self.terminals[t] = (count[path[-1]], best[path[-1]])
+
 
+def count_tokens(df: DataFrame, model_file: str, text: str = "text", scores: dict[str, float] | None = None) -> DataFrame:
+    """df with n_words, n_tokens (long) and token_score (double, the natural log probability of the segmentation).
 
-def count_tokens(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """df with n_words, n_tokens (long) and token_score (double, the natural log probability of the segmentation)."""
+    Without scores of pieces they are learned from df, in a pass of its own.
+    """
+    if scores is None:
+        scores = piece_scores(model_file, {r["piece"]: r["n"] for r in piece_counts(df, model_file, text).collect()})
+    shared = df.sparkSession.sparkContext.broadcast(scores)
 
     def make():
-        trie = Trie(piece_scores(model_file))
+        trie = Trie(shared.value)
 
         def each(texts):
             split = [utf8(t).split() if t else [] for t in texts]

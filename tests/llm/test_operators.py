@@ -527,16 +527,28 @@ def test_audit_is_a_mean_over_queries(spark):
 
 
 def test_token_counts_match_plain_segmentation(spark):
-    from nighspark.llm.tokencount import BYTE_SCORE, MARK, count_tokens, piece_scores
+    import sentencepiece
+
+    from nighspark.llm.tokencount import BYTE_SCORE, MARK, count_tokens
 
     model = P.path("piece_bpe_32k.model")
-    scores, rng = piece_scores(model), random.Random(12)
+    rng = random.Random(12)
     texts = [*EDGES[:5], "unbelievable unbelievably believe 𝔘nter", *(prose(rng, 30) for _ in range(4)), "a" * 300]
+    split = [[x.decode() for x in (t or "").encode().split()] for t in texts]
+    sp, seen = sentencepiece.SentencePieceProcessor(model_file=model), {}
+    for i in (i for found in split for w in found for i in sp.encode(w)):
+        seen[i] = seen.get(i, 0) + 1
+    ids = [i for i in range(32000) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    total = sum(seen.get(i, 0) + 0.5 for i in ids)
+    scores = {sp.id_to_piece(i): math.log((seen.get(i, 0) + 0.5) / total) for i in ids}
     got = count_tokens(documents(spark, texts), model).orderBy("doc_id").collect()
-    for t, r in zip(texts, got):
-        each = [plain.best_segmentation(MARK + w, scores, BYTE_SCORE) for w in (x.decode() for x in (t or "").encode().split())]
+    for found, r in zip(split, got):
+        each = [plain.best_segmentation(MARK + w, scores, BYTE_SCORE) for w in found]
         assert (r["n_words"], r["n_tokens"]) == (len(each), sum(n for n, _ in each))
         assert r["token_score"] == pytest.approx(sum(s for _, s in each))
+    clash = documents(spark, texts).withColumnRenamed("n", "n_words").withColumnRenamed("source", "token_score")
+    assert [tuple(r) for r in count_tokens(clash, model).orderBy("doc_id").select("n_words", "n_tokens").collect()] == [(r["n_words"], r["n_tokens"]) for r in got]
+    assert count_tokens(clash.limit(0), model).count() == 0
 
 
 def test_trie_scores_shared_prefixes_once():
@@ -545,6 +557,8 @@ def test_trie_scores_shared_prefixes_once():
     trie = Trie({"a": -1.0, "b": -1.0, "ab": -1.5, "▁": -1.0})
     trie.insert([b"abab", b"abaa", b"ab"])
     assert trie.nodes == len({"▁", "▁a", "▁ab", "▁aba", "▁abab", "▁abaa"}) and trie.terminals[b"abab"] == (3, -4.0)
+    trie.insert([b"abb"])  # a later slice goes on from the nodes there are
+    assert trie.nodes == 7 and trie.terminals[b"abb"] == (3, -3.5)
     trie.most = 0
     trie.insert([b"b"])
     assert list(trie.terminals) == [b"b"]
