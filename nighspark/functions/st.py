@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,14 +26,24 @@ def _struct(found: list) -> pd.DataFrame:
     return out.astype({"kind": "Int8", **dict.fromkeys(("minx", "miny", "maxx", "maxy"), "float64")})
 
 
+def _read(read, given):
+    """The geometry of a text or binary form; null where it is null or none."""
+    if given is None:
+        return None
+    try:
+        return read(given)
+    except (ValueError, IndexError, struct.error):
+        return None
+
+
 @F.pandas_udf(GEOMETRY)
 def _from_wkt(texts: pd.Series) -> pd.DataFrame:
-    return _struct([None if t is None else G.from_wkt(t) for t in texts])
+    return _struct([_read(G.from_wkt, t) for t in texts])
 
 
 @F.pandas_udf(GEOMETRY)
 def _from_wkb(data: pd.Series) -> pd.DataFrame:
-    return _struct([None if d is None else G.from_wkb(bytes(d)) for d in data])
+    return _struct([_read(G.from_wkb, None if d is None else bytes(d)) for d in data])
 
 
 @F.pandas_udf(T.StringType())
@@ -70,10 +82,12 @@ def wkb_predicate(name: str):
 
 
 def st_from_wkt(text) -> Column:
+    """Geometry of a text; null, which matches nothing, where the text is null or no geometry."""
     return _from_wkt(text)
 
 
 def st_from_wkb(data) -> Column:
+    """Geometry of a binary form; null, which matches nothing, where it is null or no geometry."""
     return _from_wkb(data)
 
 
@@ -94,11 +108,11 @@ _POINT = r"^\s*[Pp][Oo][Ii][Nn][Tt]\s*\(\s*(\S+)\s+([^\s)]+)\s*\)\s*$"
 
 
 def st_point_x(text) -> Column:
-    return F.regexp_extract(_col(text), _POINT, 1).cast("double")
+    return F.regexp_extract(_col(text), _POINT, 1).try_cast("double")
 
 
 def st_point_y(text) -> Column:
-    return F.regexp_extract(_col(text), _POINT, 2).cast("double")
+    return F.regexp_extract(_col(text), _POINT, 2).try_cast("double")
 
 
 def st_envelope(geom) -> Column:

@@ -83,6 +83,10 @@ def _candidates(left: DataFrame, right: DataFrame, left_geom, right_geom, distan
     for n in ENVELOPE:
         l = l.withColumn(f"__w{n}", F.col(f"__l{n}") + (-pad if n.startswith("min") else pad))
     cell = cell or _side_of_cell(ls, rs, pad)
+    if lk == rk == POINT and not distance:
+        # equal points, wherever they lie: no grid
+        same = (F.col("__lminx") == F.col("__rminx")) & (F.col("__lminy") == F.col("__rminy"))
+        return l, l.join(r, same), lk, rk
     levels = ([0], [0])
     if (ls.most + 2 * pad) > 2 * cell or rs.most > 2 * cell:
         found = [sorted(x[0] for x in df.select(_level(p, cell)).distinct().collect()) for df, p in ((l, "__w"), (r, "__r"))]
@@ -169,33 +173,35 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate="intersects", left
         elif SHAPE in (lk, rk):
             pairs = pairs.where(wkb_predicate(predicate)(shape("__l", lk), shape("__r", rk)))
         else:
-            pairs = pairs.where(_box_predicate(predicate, lk, rk))
+            pairs = pairs.where(_box_predicate(predicate))
     return _finish(left, right, l, pairs, how, False, suffix)
 
 
-def _box_predicate(name: str, lk: str, rk: str) -> Column:
-    """The named predicate for points and solid boxes (of any width and height, zero too), as comparisons."""
+def _box_predicate(name: str) -> Column:
+    """The named predicate for points and boxes (of any width and height, zero too), as comparisons.
+
+    Boxes are products of closed intervals, so inner parts (a point's or a line's too) meet if they do on both axes.
+    """
     c = lambda p, n: F.col(f"__{p}{n}")
     flat = lambda p, axis: c(p, f"min{axis}") == c(p, f"max{axis}")
-
-    def inside(p: str, q: str) -> Column:
-        """q in p, closed."""
-        return (c(p, "minx") <= c(q, "minx")) & (c(q, "maxx") <= c(p, "maxx")) & (c(p, "miny") <= c(q, "miny")) & (c(q, "maxy") <= c(p, "maxy"))
-
-    if name == "intersects":
-        return F.lit(True)
-    if name == "covers":
-        return inside("l", "r")
-    if name == "covered_by":
-        return inside("r", "l")
-    if name == "equals":
-        return inside("l", "r") & inside("r", "l")
-    if (name in ("contains", "within")) and POINT in (lk, rk):
-        p, q = ("l", "r") if name == "contains" else ("r", "l")
-        # a point (or flat box) must meet the interior: not only the edge of a solid box, nor the end of a flat one
-        strict = lambda axis: flat(p, axis) | (c(p, f"min{axis}") < c(q, f"max{axis}")) & (c(q, f"min{axis}") < c(p, f"max{axis}"))
-        return inside(p, q) & strict("x") & strict("y")
-    return wkb_predicate(name)(shape("__l", lk), shape("__r", rk))
+    within = lambda p, q: (c(p, "minx") <= c(q, "minx")) & (c(q, "maxx") <= c(p, "maxx")) & (c(p, "miny") <= c(q, "miny")) & (c(q, "maxy") <= c(p, "maxy"))
+    open_ = lambda axis: F.when(flat("l", axis) & flat("r", axis), c("l", f"min{axis}") == c("r", f"min{axis}")).otherwise((c("l", f"min{axis}") < c("r", f"max{axis}")) & (c("r", f"min{axis}") < c("l", f"max{axis}")))
+    dim = lambda p: F.when(flat(p, "x"), 0).otherwise(1) + F.when(flat(p, "y"), 0).otherwise(1)
+    inner, covers, covered = open_("x") & open_("y"), within("l", "r"), within("r", "l")
+    # of two lines: along one axis (they share a stretch) or across (they share a point)
+    along = flat("l", "x") == flat("r", "x")
+    a, b = dim("l"), dim("r")
+    return {
+        "intersects": F.lit(True),
+        "covers": covers,
+        "covered_by": covered,
+        "equals": covers & covered,
+        "contains": covers & inner,
+        "within": covered & inner,
+        "touches": ~inner,
+        "overlaps": (a == b) & inner & ~covers & ~covered & ((a != 1) | along),
+        "crosses": inner & F.when(a < b, ~covered).when(a > b, ~covers).otherwise((a == 1) & ~along),
+    }[name]
 
 
 def self_distance_join(df: DataFrame, distance: float, geom=("x", "y"), key: str | None = None, include_self: bool = True, ordered: bool = True, with_distance: bool = True, suffix: str = "_right", cell: float | None = None) -> DataFrame:

@@ -1,16 +1,20 @@
 """Exact nearest-neighbour joins, plain and with a time tolerance.
 
-Phase A bounds each left row's radius. Right rows are counted in the finest cells of a grid and the counts rolled up
-through coarser levels; any cell that holds a left row's centre and k right rows bounds the distance to its k-th
-neighbour by the cell's diagonal (plus half-sizes for boxes and shapes). Left rows of a cell share that bound, so the
-search for it runs over cells, not rows. With times, only right rows that start in time buckets wholly inside a left
-row's window count, which is a lower bound of those eligible.
+The grid has as many levels (each a quarter of the cells above) as a bounded sample of the right side says the densest rows
+need; levels on which nothing divides further are left out, so that a far row or a dense city costs a level, not a scan.
+
+Phase A bounds each left row's radius. Right rows are counted in the finest cells and the counts rolled up through coarser
+levels; any cell that holds a left row's centre and k right rows bounds the distance to its k-th neighbour by the cell's
+diagonal (plus half-sizes for boxes and shapes). Left rows of a cell share that bound, so the search for it runs over cells,
+not rows. With times, only right rows that start in time buckets wholly inside a left row's window count, which is a lower
+bound of those eligible; the buckets' width doubles with the window's, so any window is a bounded number of them.
 
 Phase B gathers. A left row is exploded over the cells its circle meets, on the level where these are few; right rows
 sit in one cell (that of their centre) of every level in use. Right rows are classed by half-size, so one huge geometry
-widens the search only for its class. With times both sides also join on a time bucket, and a pair counts only in the
-bucket of the later start. Left rows without a bound join on time alone (or, if there are fewer than k right rows, on
-the whole small right side).
+widens the search only for its class. With times both sides also join on a time bucket whose width follows the longer of
+the two intervals by doubling, and a pair counts only in the bucket of the later start, so one long interval costs few
+rows. Left rows without a bound have fewer than k eligible right rows in the buckets inside their window; they join on time
+alone (or, if there are fewer than k right rows at all, on the whole small right side).
 
 Phase C ranks by distance, then right key, with row_number() <= k, which Spark turns into a per-group limit.
 """
@@ -26,18 +30,41 @@ from nighspark.plans.geoms import ENVELOPE, POINT, SHAPE, exact, gap, side, stat
 from nighspark.plans.shared import checkpointed
 from nighspark.plans.times import window_of
 
-MAX_LEVEL = 20
-#: Counting buckets per typical window, and buckets of one window that are summed at most (fewer is still a bound).
+MAX_LEVEL = 40
+#: Counting buckets per typical window, and about how many buckets one window is summed from at most.
 COUNT_SPLIT, MOST_BUCKETS = 8, 64
-
-
-def _levels_for(n_right: int, k: int) -> int:
-    return max(0, min(MAX_LEVEL, math.ceil(math.log(max(1.0, n_right / k), 4)) + 1))
+#: Rows, about, from which the levels of the grid are chosen (two numbers each); they decide on speed, not on results.
+SAMPLE = 100_000
+
+
+def _levels(r: DataFrame, n: int, k: int, minx: float, miny: float, span: float) -> list[int]:
+    """The levels of the grid: down to where a right row shares its cell with about 2k, without those that divide nothing."""
+    import numpy as np
+
+    share = min(1.0, SAMPLE / n)
+    picked = r.select(((F.col("__rminx") + F.col("__rmaxx")) / 2).alias("x"), ((F.col("__rminy") + F.col("__rmaxy")) / 2).alias("y"), "__rkey")
+    rows = picked.where(F.pmod(F.xxhash64("x", "y", "__rkey"), F.lit(1 << 30)) < share * (1 << 30)).select("x", "y").toArrow()
+    if not len(rows):
+        return [0]
+    at = [np.clip(np.floor((rows[c].to_numpy() - low) / span * (1 << MAX_LEVEL)), 0, (1 << MAX_LEVEL) - 1).astype(np.int64) for c, low in (("x", minx), ("y", miny))]
+    found, last = [0], None
+    for level in range(MAX_LEVEL + 1):
+        x, y = (v >> (MAX_LEVEL - level) for v in at)
+        c = np.unique(x * 0x5851F42D4C957F2D + y, return_counts=True)[1].astype(float)  # products wrap
+        beside = (c * (c - 1)).sum() / len(rows) / share + 1  # rows in the cell of a row, on the mean
+        if last is not None and beside < 0.7 * last:
+            found.append(level)
+        last = beside if last is None or level == found[-1] else last
+        if beside <= 2 * k or beside * share < 3:
+            # where the sample is spent, what it cannot see is taken to be even
+            more = math.ceil(math.log(max(1.0, beside / (2 * k)), 4))
+            return sorted({*found, *range(level, min(MAX_LEVEL, level + more) + 1)})
+    return sorted({*found, MAX_LEVEL}) if found != [0] else [0]
 
 
 class _Grid:
-    def __init__(self, minx: float, miny: float, span: float, top: int):
-        self.minx, self.miny, self.span, self.top = minx, miny, span or 1.0, top
+    def __init__(self, minx: float, miny: float, span: float, levels: list[int]):
+        self.minx, self.miny, self.span, self.levels, self.top = minx, miny, span or 1.0, levels, levels[-1]
 
     def cell(self, value, low: float, level=None):
         """Cell number at a level (column or number; the finest by default), kept within the grid."""
@@ -55,37 +82,34 @@ def _centred(df: DataFrame, p: str, grid: _Grid) -> DataFrame:
 
 def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None) -> DataFrame:
     """l with __radius: no smaller than the distance to the k-th eligible right row, null where no bound was found."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(grid.top)))
-    keys = ["fx", "fy"]
-    right = r.select(F.col("__rfx").alias("fx"), F.col("__rfy").alias("fy"), F.col("__rhalf").alias("half"), *([F.floor(F.col("__rlo") / bucket).alias("tb")] if bucket else []))
-    held = ["level", "cx", "cy", *(["tb"] if bucket else [])]
+    levels = F.explode(F.array(*(F.lit(x) for x in grid.levels)))
+    keys, held = ["fx", "fy"], ["level", "cx", "cy"]
+    right = r.select(F.col("__rfx").alias("fx"), F.col("__rfy").alias("fy"), F.col("__rhalf").alias("half"), *([F.col("__rlo").alias("lo")] if bucket else []))
+    if bucket:
+        # a window of very many buckets is counted in buckets twice, four times .. as wide
+        many = F.floor((F.col("__lhi") + 1) / bucket) - F.ceil(F.col("__llo") / bucket)
+        l = l.withColumn("__ltl", F.when(many <= MOST_BUCKETS, F.lit(0)).otherwise(F.ceil(F.log2(many / MOST_BUCKETS))).cast("int"))
+        width = lambda c: F.lit(bucket) * F.pow(F.lit(2.0), F.col(c))
+        l = l.withColumns({"__lb0": F.ceil(F.col("__llo") / width("__ltl")), "__lb1": F.floor((F.col("__lhi") + 1) / width("__ltl")) - 1})
+        used = sorted(x[0] for x in l.select("__ltl").distinct().collect())
+        right = right.withColumn("tl", F.explode(F.array(*(F.lit(x) for x in used)))).withColumn("tb", F.floor(F.col("lo") / width("tl")))
+        held += ["tl", "tb"]
     counts = right.groupBy(*keys, *held[3:]).agg(F.count("*").alias("n"), F.max("half").alias("half")).withColumn("level", levels)
     up = lambda df: df.withColumn("cx", F.expr(f"shiftright(fx, {grid.top} - level)")).withColumn("cy", F.expr(f"shiftright(fy, {grid.top} - level)"))
     counts = up(counts).groupBy(*held).agg(F.sum("n").alias("n"), F.max("half").alias("half"))
-    left = l.select(F.col("__lfx").alias("fx"), F.col("__lfy").alias("fy"), *([_first_bucket(bucket).alias("b0"), _last_bucket(bucket).alias("b1")] if bucket else []))
+    left = l.select(F.col("__lfx").alias("fx"), F.col("__lfy").alias("fy"), *([F.col("__ltl").alias("tl"), F.col("__lb0").alias("b0"), F.col("__lb1").alias("b1")] if bucket else []))
     if bucket:
-        keys += ["b0", "b1"]
-        asked = up(left.where("b0 <= b1").distinct().withColumn("level", levels))
-        asked = asked.withColumn("tb", F.explode(F.sequence("b0", F.least(F.col("b1"), F.col("b0") + MOST_BUCKETS - 1))))
+        keys += ["tl", "b0", "b1"]
+        asked = up(left.where("b0 <= b1").distinct().withColumn("level", levels)).withColumn("tb", F.explode(F.sequence("b0", "b1")))
         enough = asked.join(counts, held).groupBy(*keys, "level").agg(F.sum("n").alias("n"), F.max("half").alias("half")).where(F.col("n") >= k)
     else:
         enough = up(left.distinct().withColumn("level", levels)).join(counts.where(F.col("n") >= k), held)
     bound = F.lit(grid.span * math.sqrt(2)) / F.pow(F.lit(2.0), "level") + F.col("half")
     best = enough.groupBy(*keys).agg(F.min(bound).alias("bound"))
-    names = {"fx": "__lfx", "fy": "__lfy"} | ({"b0": "__lb0", "b1": "__lb1"} if bucket else {})
-    if bucket:
-        l = l.withColumn("__lb0", _first_bucket(bucket)).withColumn("__lb1", _last_bucket(bucket))
+    names = {"fx": "__lfx", "fy": "__lfy"} | ({"tl": "__ltl", "b0": "__lb0", "b1": "__lb1"} if bucket else {})
     out = l.join(best.withColumnsRenamed(names), list(names.values()), "left")
     # cells are numbered with rounding; a little more radius makes up for it
-    return out.withColumn("__radius", (F.col("bound") + F.col("__lhalf")) * (1 + 1e-9) + grid.span * 2.0**-40).drop("bound")
-
-
-def _first_bucket(bucket: int):
-    return F.ceil(F.col("__llo") / bucket)
-
-
-def _last_bucket(bucket: int):
-    return F.floor((F.col("__lhi") + 1) / bucket) - 1
+    return out.withColumn("__radius", (F.col("bound") + F.col("__lhalf")) * (1 + 1e-9) + grid.span * 2.0**-48).drop("bound")
 
 
 def _gathered(l: DataFrame, r: DataFrame, lk: str, rk: str, grid: _Grid, bucket: int | None) -> DataFrame:
@@ -101,7 +125,11 @@ def _gathered(l: DataFrame, r: DataFrame, lk: str, rk: str, grid: _Grid, bucket:
     classes = F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(m).alias("m")) for c, m in sorted(sizes.items())))
     l = l.withColumn("s", F.explode(classes)).withColumn("reach", F.col("__radius") + F.col("s.m"))
     wide = F.col("reach") + F.greatest(F.col("__lmaxx") - F.col("__lminx"), F.col("__lmaxy") - F.col("__lminy")) / 2
-    level = F.greatest(F.lit(0), F.least(F.lit(grid.top), F.floor(F.log2(F.lit(2 * grid.span) / wide)))).cast("int")
+    fine = F.floor(F.log2(F.lit(2 * grid.span) / wide))
+    level = F.greatest(F.lit(0), *(F.when(fine >= x, F.lit(x)).otherwise(F.lit(0)) for x in grid.levels))
+    if bucket:
+        steps = lambda p: F.when(F.col(f"{p}hi") - F.col(f"{p}lo") <= bucket, F.lit(0)).otherwise(F.ceil(F.log2((F.col(f"{p}hi") - F.col(f"{p}lo")) / bucket))).cast("int")
+        l, r = l.withColumn("__lti", steps("__l")), r.withColumn("__rti", steps("__r"))
     l = checkpointed(l.select("*", F.col("s.cls").alias("cls"), F.when(F.col("__radius").isNull(), F.lit(-1)).otherwise(level).alias("level")).drop("s"))
     used = sorted(x[0] for x in l.select("level").distinct().collect())
     width = F.greatest(F.col("level"), F.lit(0))
@@ -120,19 +148,30 @@ def _gathered(l: DataFrame, r: DataFrame, lk: str, rk: str, grid: _Grid, bucket:
     on = ["cls", "level", "cx", "cy"]
     near = F.lit(True)
     if bucket:
-        buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket)))
-        left, right = left.withColumn("tb", buckets("__llo", "__lhi")), right.withColumn("tb", buckets("__rlo", "__rhi"))
-        on.append("tb")
-        near = (F.col("__rlo") <= F.col("__lhi")) & (F.col("__rhi") >= F.col("__llo")) & (F.floor(F.greatest("__llo", "__rlo") / bucket) == left["tb"])
+        # a pair meets on the step of its longer interval: each side goes to its own step and to the other side's wider ones
+        width = F.lit(bucket) * F.pow(F.lit(2.0), F.col("ti"))
+        own = {p: sorted(x[0] for x in df.select(f"{p}ti").distinct().collect()) for p, df in (("__l", l), ("__r", r))}
+
+        def timed(df, p, other):
+            wider = F.filter(F.array(*(F.lit(x) for x in own[other])), lambda x: x > F.col(f"{p}ti"))
+            df = df.withColumn("ti", F.explode(F.concat(F.array(f"{p}ti"), wider)))
+            return df.withColumn("tb", F.explode(F.sequence(F.floor(F.col(f"{p}lo") / width), F.floor(F.col(f"{p}hi") / width))))
+
+        left, right = timed(left, "__l", "__r"), timed(right, "__r", "__l")
+        on += ["ti", "tb"]
+        near = (F.col("__rlo") <= F.col("__lhi")) & (F.col("__rhi") >= F.col("__llo")) & (left["ti"] == F.greatest("__lti", "__rti"))
+        near = near & (F.floor(F.greatest("__llo", "__rlo") / (F.lit(bucket) * F.pow(F.lit(2.0), left["ti"]))) == left["tb"])
     equal = F.lit(True)
     for c in on:
         equal = equal & (left[c] == right[c])
     near = near & (F.col("__radius").isNull() | (gap("__l", "__r", lk, rk) <= F.col("__radius")))
-    return left.join(right, equal & near)
+    pairs = left.join(right, equal & near)
+    pairs._nighspark_sides = left, right
+    return pairs
 
 
 def _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms=None, left_time=None, right_time=None):
-    """(left key, right key, distance, rank) of each left row's neighbours."""
+    """(lrow, lkey, rkey, distance, rank) of each left row's neighbours; lrow numbers left rows, whose keys may repeat."""
     if k < 1:
         raise ValueError("k must be at least 1")
     timed = delta_ms is not None
@@ -153,7 +192,9 @@ def _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms
         return None
     minx, miny = min(ls.minx, rs.minx), min(ls.miny, rs.miny)
     span = max(max(ls.maxx, rs.maxx) - minx, max(ls.maxy, rs.maxy) - miny)
-    grid = _Grid(minx, miny, span, _levels_for(rs.n, k) if span else 0)
+    grid = _Grid(minx, miny, span, _levels(r, rs.n, k, minx, miny, span) if span else [0])
+    # fixed by the checkpoint of _gathered
+    l = l.withColumn("__lrow", F.monotonically_increasing_id())
     l, r = _centred(l, "__l", grid), _centred(r, "__r", grid)
     window = None
     if timed:
@@ -161,16 +202,27 @@ def _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms
         l = _radius(l, r, grid, k, max(1, int(ls.mean) // COUNT_SPLIT))
     else:
         l = _radius(l, r, grid, k, None)
-    pairs = _gathered(l, r, lk, rk, grid, window).withColumn("distance", exact("__l", "__r", lk, rk))
-    pairs = pairs.select(F.col("__lkey").alias("lkey"), F.col("__rkey").alias("rkey"), "distance")
-    rank = F.row_number().over(Window.partitionBy("lkey").orderBy("distance", "rkey"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    met = _gathered(l, r, lk, rk, grid, window)
+    pairs = met.withColumn("distance", exact("__l", "__r", lk, rk)).select(F.col("__lrow").alias("lrow"), F.col("__lkey").alias("lkey"), F.col("__rkey").alias("rkey"), "distance")
+    rank = F.row_number().over(Window.partitionBy("lrow").orderBy("distance", "rkey"))
+    out = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    out._nighspark_sides = met._nighspark_sides
+    return out
+
+
+def _unique(df: DataFrame, key: str) -> None:
+    if not df.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"the values of {key} repeat: only plain inner results can be told apart then")
 
 
 def _shaped(left: DataFrame, right: DataFrame, ranked: DataFrame | None, left_key: str, right_key: str, how: str, nested: bool, columns: bool, suffix: str) -> DataFrame:
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     rkey = right_key + suffix if right_key == left_key else right_key
+    if nested or columns or how == "left":
+        _unique(left, left_key)
+    if columns:
+        _unique(right, right_key)
     if ranked is None:
         kinds = f"`lkey` {left.schema[left_key].dataType.simpleString()}, `rkey` {right.schema[right_key].dataType.simpleString()}, distance double, rank int"
         ranked = left.sparkSession.createDataFrame([], kinds)
@@ -192,8 +244,9 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_geom=("x", "y"), ri
     """For each left row its k nearest right rows: left key, right key (with the suffix if of the same name), distance, rank.
 
     nested gives one row per left row with an array of (rank, right key, distance), empty if there is none; columns adds
-    all columns of both sides; how="left" keeps left rows without neighbours. Ties go to the smaller right key. Keys must
-    be unique. Right rows without geometry are nobody's neighbours; left rows without geometry have none.
+    all columns of both sides; how="left" keeps left rows without neighbours. Ties go to the smaller right key. Left rows of
+    one key each have their own neighbours; nested, columns and how="left", which go by the key, refuse keys that repeat.
+    Right rows without geometry are nobody's neighbours; left rows without geometry have none.
     """
     ranked = _ranked(left, right, k, left_geom, right_geom, left_key, right_key)
     return _shaped(left, right, ranked, left_key, right_key, how, nested, columns, suffix)
@@ -212,10 +265,29 @@ def st_knn_join(left: DataFrame, right: DataFrame, k: int, delta_ms: int, left_t
 
 def join_stats(left: DataFrame, right: DataFrame, k: int, left_geom=("x", "y"), right_geom=("x", "y"), left_key: str = "id", right_key: str = "id", delta_ms: int | None = None, left_time=None, right_time=None) -> DataFrame:
     """One row: left_num, right_num, pair_num, hit_num (left rows with k neighbours) and hit_rate."""
-    ranked = _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms, left_time, right_time)
-    per = ranked.groupBy("lkey").agg(F.count("*").alias("n")) if ranked is not None else left.sparkSession.createDataFrame([], "lkey long, n long")
+    return _counted(left, right, k, _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms, left_time, right_time))
+
+
+def _counted(left: DataFrame, right: DataFrame, k: int, ranked: DataFrame | None) -> DataFrame:
+    per = ranked.groupBy("lrow").agg(F.count("*").alias("n")) if ranked is not None else left.sparkSession.createDataFrame([], "lrow long, n long")
     found = per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("pair_num"), F.count(F.when(F.col("n") == k, 1)).alias("hit_num"))
     n_left, n_right = (df.agg(F.count("*").alias(c)) for df, c in ((left, "left_num"), (right, "right_num")))
     # three single rows side by side
     out = n_left.join(n_right).join(found)
     return out.withColumn("hit_rate", F.when(F.col("left_num") > 0, F.col("hit_num") / F.col("left_num")).otherwise(F.lit(0.0)))
+
+
+def run_stats(left: DataFrame, right: DataFrame, k: int, **how) -> DataFrame:
+    """The row of join_stats() with left_copy_num and right_copy_num (rows either side sends to cells), their rates to the
+    rows of the side, and total_time (seconds). It runs the join and takes the arguments of join_stats()."""
+    import time
+
+    given = {"left_geom": ("x", "y"), "right_geom": ("x", "y"), "left_key": "id", "right_key": "id", "delta_ms": None, "left_time": None, "right_time": None} | how
+    began = time.time()
+    ranked = _ranked(left, right, k, *given.values())
+    row = _counted(left, right, k, ranked).first().asDict()
+    row["total_time"] = time.time() - began
+    for name, sent in zip(("left", "right"), ranked._nighspark_sides if ranked is not None else (left.limit(0),) * 2):
+        row[f"{name}_copy_num"] = sent.count()
+        row[f"{name}_copy_rate"] = row[f"{name}_copy_num"] / row[f"{name}_num"] if row[f"{name}_num"] else 0.0
+    return left.sparkSession.createDataFrame([row], ", ".join(f"{c} {'double' if c.endswith(('rate', 'time')) else 'long'}" for c in row))

@@ -3,16 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where none is set and the master is local, a temporary one of our own."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="nighspark-"))
+    return shared_folder(spark)
+
+
+def own_folder(spark: SparkSession, tag: str) -> str:
+    """A new path within the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df by checkpoint() in the folder of spark.checkpoint.dir; only where none is set, a temporary one of our own."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nighspark-"))
+    """df by checkpoint() in the shared folder.
+
+    Spark deletes checkpoints that nothing refers to any more if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

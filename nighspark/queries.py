@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from nighspark.functions import envelope as E
 from nighspark.functions import interval as I
-from nighspark.functions.st import st_as_wkt, st_distance, st_from_wkb, st_from_wkt, st_as_wkb, st_point_wkt, st_point_x, st_point_y
+from nighspark.functions.st import st_as_wkt, st_distance, st_from_wkb, st_from_wkt, st_as_wkb, st_point_wkt, st_point_x, st_point_y, wkb_distance
 from nighspark.operators.distance import distance_join, interval_join, self_distance_join, spatial_join
-from nighspark.operators.knn import join_stats, knn_join, st_knn_join
+from nighspark.operators.knn import join_stats, knn_join, run_stats, st_knn_join
+from nighspark.plans.shared import own_folder
+from nighspark.sources.readers import read_points_csv, read_wkt_tsv, stats_line, write_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 BOX = ("minx", "miny", "maxx", "maxy")
@@ -22,12 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark, sf_dir, kind):
-    return _table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), "ts")
+def _events(spark, sf_dir, kind=None):
+    events = _table(spark, sf_dir, "events")
+    return (events if kind is None else events.where(F.col("event_type") == kind)).select(F.col("event_id").alias("id"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), "ts")
 
 
-def _events_sql(kind):
-    return f"(SELECT event_id AS id, value AS x, CAST(user_id AS DOUBLE) AS y, ts FROM events WHERE event_type = '{kind}')"
+def _events_sql(kind=None):
+    where = "" if kind is None else f" WHERE event_type = '{kind}'"
+    return f"(SELECT event_id AS id, value AS x, CAST(user_id AS DOUBLE) AS y, ts FROM events{where})"
 
 
 def _customers(spark, sf_dir):
@@ -59,14 +63,16 @@ def _boxes_sql(large=None):
     return f"(SELECT p_partkey AS id, {x} AS minx, {y} AS miny, {x} + p_size AS maxx, {y} + 1 + p_size % 3 AS maxy FROM part{where})"
 
 
-def _orders(spark, sf_dir, priority):
-    o = _table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == priority)
+def _orders(spark, sf_dir, priority=None):
+    o = _table(spark, sf_dir, "orders")
+    o = o if priority is None else o.where(F.col("o_orderpriority") == priority)
     end = F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 10).cast("int"))
     return o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("x"), (F.col("o_custkey") % 100).cast("double").alias("y"), F.col("o_orderdate").alias("s"), end.alias("e"))
 
 
-def _orders_sql(priority):
-    return f"(SELECT o_orderkey AS id, o_totalprice / 1000 AS x, CAST(o_custkey % 100 AS DOUBLE) AS y, o_orderdate AS s, o_orderdate + to_days(CAST(o_orderkey % 10 AS INTEGER)) AS e FROM orders WHERE o_orderpriority = '{priority}')"
+def _orders_sql(priority=None):
+    where = "" if priority is None else f" WHERE o_orderpriority = '{priority}'"
+    return f"(SELECT o_orderkey AS id, o_totalprice / 1000 AS x, CAST(o_custkey % 100 AS DOUBLE) AS y, o_orderdate AS s, o_orderdate + to_days(CAST(o_orderkey % 10 AS INTEGER)) AS e FROM orders{where})"
 
 
 _HIGH, _URGENT = "2-HIGH", "1-URGENT"
@@ -109,6 +115,94 @@ def _predicate(name):
     return lambda s, d: _ids(spatial_join(_shapes(_boxes(s, d, False)), _shapes(_boxes(s, d, True)), name, "g", "g"))
 
 
+def _corner(x: str, y: str):
+    return F.concat(F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))
+
+
+def _ring(low: str = "minx", high: str = "maxx", bottom: str = "miny", top: str = "maxy"):
+    return F.concat(F.lit("("), F.concat_ws(", ", _corner(low, bottom), _corner(high, bottom), _corner(high, top), _corner(low, top), _corner(low, bottom)), F.lit(")"))
+
+
+def _drawn(boxes: DataFrame, kind: str, *parts) -> DataFrame:
+    return boxes.select("id", st_from_wkt(F.concat(F.lit(f"{kind} ("), F.concat_ws(", ", *parts), F.lit(")"))).alias("g"))
+
+
+def _frames(boxes: DataFrame) -> DataFrame:
+    """Polygons around each rectangle, 4 wide, with the rectangle as a hole."""
+    wide = boxes.withColumns({"ax": F.col("minx") - 4, "ay": F.col("miny") - 4, "bx": F.col("maxx") + 4, "by": F.col("maxy") + 4})
+    return _drawn(wide, "POLYGON", _ring("ax", "bx", "ay", "by"), _ring())
+
+
+def _twins(boxes: DataFrame) -> DataFrame:
+    """Each rectangle and one 100 to the right of it as one geometry."""
+    far = boxes.withColumns({"ax": F.col("minx") + 100, "bx": F.col("maxx") + 100})
+    return _drawn(far, "MULTIPOLYGON", F.concat(F.lit("("), _ring(), F.lit(")")), F.concat(F.lit("("), _ring("ax", "bx"), F.lit(")")))
+
+
+def _redrawn(boxes: DataFrame) -> DataFrame:
+    """Rectangles drawn the other way round, with one corner more on a side."""
+    mid = boxes.withColumn("mx", (F.col("minx") + F.col("maxx")) / 2)
+    return _drawn(mid, "POLYGON", F.concat(F.lit("("), F.concat_ws(", ", _corner("maxx", "maxy"), _corner("maxx", "miny"), _corner("mx", "miny"), _corner("minx", "miny"), _corner("minx", "maxy"), _corner("maxx", "maxy")), F.lit(")")))
+
+
+def _bottoms(boxes: DataFrame) -> DataFrame:
+    return _drawn(boxes, "LINESTRING", _corner("minx", "miny"), _corner("maxx", "miny"))
+
+
+def _shape_join(left, right, predicate):
+    return lambda s, d: _ids(spatial_join(left(s, d), right(s, d), predicate, "g", "g"))
+
+
+def _point_shapes(s, d):
+    return _point_left(s, d).select("id", st_from_wkt(st_point_wkt("x", "y")).alias("g"))
+
+
+def _point_file(s, d, timed):
+    """Events as a point file, read again."""
+    path = own_folder(s, "points")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    _events(s, d).select(F.lit("0"), F.col("y").cast("string"), F.col("id").cast("string"), stamp, st_point_wkt("x", "y")).toDF("a", "b", "c", "d", "e").write.csv(path)
+    out = read_points_csv(s, path, time_field=3 if timed else None, id_field=2)
+    return out.select("id", "x", "y", *(["time"] if timed else []))
+
+
+def _shape_file(s, d):
+    """Orders' places as lines with their times in a shape file, read again."""
+    path = own_folder(s, "shapes")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    line = F.concat(F.lit("LINESTRING ("), _corner("x", "y"), F.lit(", "), F.concat((F.col("x") + 1).cast("string"), F.lit(" "), F.col("y").cast("string")), F.lit(")"))
+    _orders(s, d).select(line.alias("a"), text("s").alias("b"), text("e").alias("c")).write.option("sep", "\t").option("quote", "").csv(path)
+    out = read_wkt_tsv(s, path)
+    return out.groupBy("start", "end").agg(F.count("*").alias("n"), F.round(F.min("geom.minx"), 6).alias("minx"), F.round(F.max("geom.maxx"), 6).alias("maxx"), F.max("geom.maxy").alias("maxy"))
+
+
+def _sunk(s, d):
+    path = own_folder(s, "stats")
+    write_stats(_stats(s, d), path)
+    return s.read.json(path).select("left_num", "right_num", "pair_num", "hit_num", "hit_rate")
+
+
+def _line_of(s, d):
+    return s.createDataFrame([(stats_line(_stats(s, d)),)], "line string")
+
+
+def _run_stats(s, d):
+    out = run_stats(_events(s, d, "view"), _events(s, d, "purchase"), 5, delta_ms=6 * 3_600_000, left_time="ts", right_time="ts")
+    sent = lambda side: F.col(f"{side}_copy_num") > 0
+    return out.select("left_num", "right_num", "pair_num", "hit_num", F.round("hit_rate", 6).alias("hit_rate"), (sent("left") & sent("right") & (F.col("total_time") > 0)).alias("counted"))
+
+
+def _interval_tests(s, d):
+    o = _orders(s, d).withColumns({"p": F.col("s") + F.make_dt_interval((F.col("id") % 4).cast("int")), "q": F.col("s") + F.make_dt_interval((F.col("id") % 13).cast("int"))})
+    return o.select("id", I.contains(F.col("s"), F.col("e"), F.col("q")).alias("holds"), I.within(F.col("p"), F.col("q"), F.col("s"), F.col("e")).alias("inside"))
+
+
+def _unions(s, d):
+    own = F.struct(*BOX)
+    u = E.union(own, E.envelope(*_FIXED))
+    return _boxes(s, d).select("id", *(u[c].alias(c) for c in BOX), E.contains_point(own, F.lit(110.0), F.lit(30.0)).alias("holds"))
+
+
 def _diagonals(boxes: DataFrame) -> DataFrame:
     """Each rectangle's diagonal from its lower corner as a line."""
     corner = lambda x, y: F.concat(F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))
@@ -185,7 +279,7 @@ def _against_fixed(s, d):
 
 
 def _reference(s, d):
-    o = _orders(s, d, _URGENT)
+    o = _orders(s, d)
     other_s = F.col("s") + F.make_dt_interval((F.col("id") % 7).cast("int"))
     other_e = other_s + F.make_dt_interval(F.lit(3))
     lo, hi = I.widened(F.col("s"), F.col("e"), DAY_MS)
@@ -193,7 +287,7 @@ def _reference(s, d):
 
 
 def _wkt(s, d):
-    p = _events(s, d, "view")
+    p = _events(s, d)
     text = st_point_wkt("x", "y")
     native = p.select("id", "x", "y", text.alias("wkt"))
     again = native.select("id", "wkt", "x", "y", st_from_wkb(st_as_wkb(st_from_wkt(F.col("wkt")))).alias("g"))
@@ -247,6 +341,29 @@ _CASES: dict[str, tuple[Query, str]] = {
         lambda s, d: _ids(spatial_join(_diagonals(_boxes(s, d, False)), _shapes(_boxes(s, d, True)), "crosses", "g", "g")),
         _pairs_sql(_boxes_sql(False), _boxes_sql(True), f"{_ENTERS} AND NOT ({_HELD})"),
     ),
+    "pred_contains_large": (_shape_join(lambda s, d: _shapes(_boxes(s, d, True)), lambda s, d: _shapes(_boxes(s, d, False)), "contains"), _pairs_sql(_boxes_sql(True), _boxes_sql(False), _HOLDS)),
+    "pred_covers_large": (_shape_join(lambda s, d: _shapes(_boxes(s, d, True)), lambda s, d: _shapes(_boxes(s, d, False)), "covers"), _pairs_sql(_boxes_sql(True), _boxes_sql(False), _HOLDS)),
+    "pred_equals_redrawn": (_shape_join(lambda s, d: _shapes(_boxes(s, d)), lambda s, d: _redrawn(_boxes(s, d)), "equals"), _pairs_sql(_boxes_sql(), _boxes_sql(), f"{_HOLDS} AND {_HELD}")),
+    "pred_contains_holes": (
+        _shape_join(lambda s, d: _frames(_boxes(s, d)), _point_shapes, "contains"),
+        _pairs_sql(_boxes_sql(), _events_sql("purchase"), "l.minx - 4 < r.x AND r.x < l.maxx + 4 AND l.miny - 4 < r.y AND r.y < l.maxy + 4 AND NOT (l.minx <= r.x AND r.x <= l.maxx AND l.miny <= r.y AND r.y <= l.maxy)"),
+    ),
+    "pred_intersects_multi": (
+        _shape_join(lambda s, d: _twins(_boxes(s, d, False)), lambda s, d: _shapes(_boxes(s, d, True)), "intersects"),
+        _pairs_sql(_boxes_sql(False), _boxes_sql(True), "((l.minx <= r.maxx AND r.minx <= l.maxx) OR (l.minx + 100 <= r.maxx AND r.minx <= l.maxx + 100)) AND l.miny <= r.maxy AND r.miny <= l.maxy"),
+    ),
+    "pred_touches_lines": (
+        _shape_join(lambda s, d: _bottoms(_boxes(s, d, False)), lambda s, d: _shapes(_boxes(s, d, True)), "touches"),
+        _pairs_sql(_boxes_sql(False), _boxes_sql(True), "l.minx <= r.maxx AND r.minx <= l.maxx AND r.miny <= l.miny AND l.miny <= r.maxy AND NOT (l.minx < r.maxx AND r.minx < l.maxx AND r.miny < l.miny AND l.miny < r.maxy)"),
+    ),
+    "pred_own": (_shape_join(lambda s, d: _shapes(_boxes(s, d, False)), lambda s, d: _shapes(_boxes(s, d, True)), lambda a, b: wkb_distance(a, b) <= 0), _pairs_sql(_boxes_sql(False), _boxes_sql(True), _MEET)),
+    **{
+        f"box_{name}": ((lambda name: lambda s, d: _ids(spatial_join(_boxes(s, d, True), _boxes(s, d, False), name, BOX, BOX)))(name), _pairs_sql(_boxes_sql(True), _boxes_sql(False), on))
+        for name, on in {"contains": _HOLDS, "within": _HELD, "touches": f"{_MEET} AND NOT ({_OPEN})", "overlaps": f"{_OPEN} AND NOT ({_HOLDS}) AND NOT ({_HELD})"}.items()
+    },
+    "source_points": (lambda s, d: _point_file(s, d, False), f"SELECT id, x, y FROM {_events_sql()}"),
+    "source_points_times": (lambda s, d: _point_file(s, d, True), f"SELECT id, x, y, ts AS time FROM {_events_sql()}"),
+    "source_shapes": (_shape_file, f'SELECT s AS start, e AS "end", count(*) AS n, round(min(x), 6) AS minx, round(max(x + 1), 6) AS maxx, max(y) AS maxy FROM {_orders_sql()} GROUP BY s, e'),
     "knn_k1": (_knn(1), _knn_sql(_events_sql("view"), _events_sql("purchase"), 1)),
     "knn_k5": (_knn(5), _knn_sql(_events_sql("view"), _events_sql("purchase"), 5)),
     "knn_k15": (_knn(15), _knn_sql(_events_sql("view"), _events_sql("purchase"), 15)),
@@ -272,6 +389,14 @@ _CASES: dict[str, tuple[Query, str]] = {
         a AS (SELECT (SELECT count(*) FROM {_events_sql('view')}) AS left_num, (SELECT count(*) FROM {_events_sql('purchase')}) AS right_num, (SELECT CAST(sum(n) AS BIGINT) FROM c) AS pair_num, (SELECT count(*) FROM c WHERE n = 5) AS hit_num)
         SELECT *, round(hit_num / left_num, 6) AS hit_rate FROM a""",
     ),
+    "stats_sink": (_sunk, "JOIN_STATS"),
+    "stats_line": (_line_of, "SELECT concat('left_num:', left_num, ';right_num:', right_num, ';pair_num:', pair_num, ';hit_num:', hit_num, ';hit_rate:', hit_rate) AS line FROM (JOIN_STATS)"),
+    "run_stats": (_run_stats, "SELECT *, TRUE AS counted FROM (JOIN_STATS)"),
+    "interval_tests": (
+        _interval_tests,
+        f"SELECT id, s <= q AND q <= e AS holds, p > s AND q < e AS inside FROM (SELECT *, s + to_days(CAST(id % 4 AS INTEGER)) AS p, s + to_days(CAST(id % 13 AS INTEGER)) AS q FROM {_orders_sql()})",
+    ),
+    "envelope_union": (_unions, f"SELECT id, least(minx, 100.0) AS minx, least(miny, 20.0) AS miny, greatest(maxx, 220.0) AS maxx, greatest(maxy, 40.0) AS maxy, minx <= 110 AND 110 <= maxx AND miny <= 30 AND 30 <= maxy AS holds FROM {_boxes_sql()}"),
     "extent_stats": (_extent, f"SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, count(*) AS n FROM {_boxes_sql()}"),
     "envelope_expand": (_expanded, f"SELECT id, minx - 2.5 AS minx, miny - 2.5 AS miny, maxx + 2.5 AS maxx, maxy + 2.5 AS maxy, (minx + maxx) / 2 AS cx, (miny + maxy) / 2 AS cy FROM {_boxes_sql()}"),
     "envelope_distance": (
@@ -282,9 +407,9 @@ _CASES: dict[str, tuple[Query, str]] = {
     "interval_reference_point": (
         _reference,
         f"""SELECT id, CASE WHEN s <= e2 AND s2 <= e THEN greatest(s, s2) END AS at, s <= e2 AND s2 <= e AS meets, s - {_micros(DAY_MS)} AS lo, e + {_micros(DAY_MS)} AS hi
-        FROM (SELECT id, s, e, s + to_days(CAST(id % 7 AS INTEGER)) AS s2, s + to_days(CAST(id % 7 AS INTEGER)) + to_days(3) AS e2 FROM {_orders_sql(_URGENT)})""",
+        FROM (SELECT id, s, e, s + to_days(CAST(id % 7 AS INTEGER)) AS s2, s + to_days(CAST(id % 7 AS INTEGER)) + to_days(3) AS e2 FROM {_orders_sql()})""",
     ),
-    "wkt_roundtrip": (_wkt, f"SELECT id, x, y, x AS gx, y AS gy, x AS tx FROM {_events_sql('view')}"),
+    "wkt_roundtrip": (_wkt, f"SELECT id, x, y, x AS gx, y AS gy, x AS tx FROM {_events_sql()}"),
     "shape_distance": (_scalar_distance, f"SELECT id, round({_BOX_GAP}, 6) AS distance FROM {_boxes_sql()} l, (SELECT 100.0::DOUBLE AS minx, 20.0::DOUBLE AS miny, 220.0::DOUBLE AS maxx, 20.0::DOUBLE AS maxy) r"),
 }
 
@@ -298,4 +423,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _CASES.items()}
+    return {name: sql.replace("JOIN_STATS", _CASES["join_stats"][1]) for name, (_, sql) in _CASES.items()}

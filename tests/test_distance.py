@@ -132,3 +132,27 @@ def test_plan_has_no_cartesian_product(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["contains", "within", "covers", "covered_by", "touches", "crosses", "overlaps", "equals"])
+def test_box_predicates_match_exact_geometry(spark, name):
+    from nighspark.functions import geometry as G
+
+    def shape(x0, y0, x1, y1):
+        if x0 == x1 and y0 == y1:
+            return G.from_wkt(f"POINT ({x0} {y0})")
+        if x0 == x1 or y0 == y1:
+            return G.from_wkt(f"LINESTRING ({x0} {y0}, {x1} {y1})")
+        return G.from_wkt(f"POLYGON (({x0} {y0}, {x1} {y0}, {x1} {y1}, {x0} {y1}, {x0} {y0}))")
+
+    rng = np.random.default_rng(12)
+    at = rng.integers(0, 4, (70, 2))
+    rows = np.concatenate([at, at + rng.integers(0, 3, (70, 2))], 1).astype(float)  # points, lines and solid boxes
+    shapes = [shape(*r) for r in rows.tolist()]
+    want = sorted((i, j) for i, p in enumerate(shapes) for j, q in enumerate(shapes) if G.test(name, p, q))
+    assert ids(spatial_join(boxes(spark, rows), boxes(spark, rows), name, BOX, BOX)) == want and want
+
+
+def test_equal_points_beside_a_far_one(spark):
+    rows = [(0, 0), (0, 0), (1e-9, 0), (1e9, 1e9), (-0.0, 0)]
+    assert ids(distance_join(points(spark, rows), points(spark, rows), 0.0)) == sorted((i, j) for i, p in enumerate(rows) for j, q in enumerate(rows) if p == q)

@@ -115,3 +115,55 @@ def test_candidates_stay_near_the_answer(spark):
     finally:
         K._gathered = plain
     assert seen[0].count() < 0.08 * 400 * 4000
+
+
+def candidates(run):
+    """Rows that the gathering phase of a join looks at."""
+    from nighspark.operators import knn as K
+
+    seen, plain = [], K._gathered
+    try:
+        K._gathered = lambda *x: seen.append(plain(*x)) or seen[-1]
+        rows = flat(run())
+    finally:
+        K._gathered = plain
+    return rows, seen[0].count()
+
+
+def test_a_dense_city_and_a_far_row(spark):
+    """Most rows in a billionth of the extent: the grid goes down to them."""
+    rng = np.random.default_rng(10)
+    city = lambda n: rng.normal(0, 1e-3, (n, 2))
+    a, b = np.concatenate([city(200), [[9e5, 9e5]]]), np.concatenate([city(1500), [[1e6, 1e6], [-5e5, 3.0]]])
+    got, looked = candidates(lambda: knn_join(points(spark, a), points(spark, b), 4))
+    assert got == brute(as_boxes(a), as_boxes(b), 4)
+    assert looked < 0.15 * len(a) * len(b)
+
+
+def test_one_long_interval_among_short_ones(spark):
+    rng = np.random.default_rng(11)
+    a, b = some_boxes(rng, 60), some_boxes(rng, 80)
+    ta, tb = (np.stack([s, s + rng.integers(0, 50, len(s))], 1) for s in (rng.integers(0, 200_000, 60), rng.integers(0, 200_000, 80)))
+    tb[3], ta[5] = (0, 300_000_000), (1000, 40_000_000)
+    got, looked = candidates(lambda: st_knn_join(timed(spark, a, ta), timed(spark, b, tb), 3, 40_000, ("s", "e"), ("s", "e"), BOX, BOX))
+    assert got == brute(a, b, 3, lambda i, j: tb[j][0] <= ta[i][1] + 40 and tb[j][1] >= ta[i][0] - 40)
+
+
+def test_left_keys_that_repeat(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 10.0), (1, 10.0, 10.0)], "id long, x double, y double")
+    b = points(spark, [(0, 0), (1, 0), (10, 10), (9, 10)])
+    rows = sorted((r["rank"], r["id_right"]) for r in knn_join(a, b, 2).collect())
+    assert rows == sorted([(1, 0), (2, 1)] + [(1, 2), (2, 3)] * 2)
+    assert join_stats(a, b, 2).first()["hit_num"] == 3
+    for how in ({"nested": True}, {"columns": True}, {"how": "left"}):
+        with pytest.raises(ValueError):
+            knn_join(a, b, 2, **how).collect()
+
+
+def test_run_stats(spark):
+    from nighspark.operators.knn import run_stats
+
+    a, b = points(spark, [(0, 0), (1, 0), (2, 0)]), points(spark, [(0, 0), (5, 5)])
+    row = run_stats(a, b, 2).first()
+    assert row["left_num"] == 3 and row["left_copy_num"] >= 3 and row["right_copy_rate"] == row["right_copy_num"] / 2 and row["total_time"] > 0
+    assert run_stats(a, b.limit(0), 2).first()["left_copy_num"] == 0

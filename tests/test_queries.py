@@ -36,5 +36,6 @@ def test_query(spark, con, name):
     assert sorted(tuple(map(_plain, r)) for r in df.select(*cols).collect()) == want
 
 
-def test_lines_cross_boxes(spark):
-    assert Q.queries()["pred_crosses_lines"](spark, SF).count() > 0
+@pytest.mark.parametrize("name", ["pred_crosses_lines", "pred_contains_holes", "pred_intersects_multi", "pred_equals_redrawn", "pred_own"])
+def test_predicates_that_hold(spark, name):
+    assert Q.queries()[name](spark, SF).count() > 0

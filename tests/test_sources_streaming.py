@@ -42,3 +42,18 @@ def test_stream_against_table(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("SELECT id, id_right FROM near").collect())) == sorted(map(tuple, want)) and want
     with pytest.raises(ValueError):
         stream_distance_join(stream, fixed, -1.0, 2.0)
+
+
+def test_malformed_rows_give_null(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("0,7,a,no time,POINT (x y)\n0,7,2,2024-01-01 00:01:00,POINT (1 2)\n")
+    rows = read_points_csv(spark, str(tmp_path / "p.csv"), time_field=3, id_field=2).select("id", "x", "y", "time").collect()
+    assert [None] * 4 in [list(r) for r in rows] and len(rows) == 2
+    (tmp_path / "s.tsv").write_text("POLYGON ((0 0, 1\t?\t2024-01-01 01:00:00\nPOINT (1 2)\t2024-01-02 00:00:00\t2024-01-02 00:00:00\n")
+    rows = read_wkt_tsv(spark, str(tmp_path / "s.tsv")).select("geom.minx", "start").collect()
+    assert sorted(r["minx"] is None for r in rows) == [False, True] and sum(r["start"] is None for r in rows) == 1
+    from pyspark.sql import functions as F
+
+    from nighspark.functions.st import st_from_wkb
+
+    bad = spark.createDataFrame([(b"\x01\x02",), (None,), (b"",)], "d binary").select(st_from_wkb(F.col("d"))["minx"].alias("x")).collect()
+    assert [r["x"] for r in bad] == [None] * 3
