@@ -33,6 +33,8 @@ from nighspark.plans.times import window_of
 MAX_LEVEL = 40
 #: Counting buckets per typical window, and about how many buckets one window is summed from at most.
 COUNT_SPLIT, MOST_BUCKETS = 8, 64
+#: Mean lengths from which an interval counts as long and goes to wider buckets.
+LONG = 4
 #: Rows, about, from which the levels of the grid are chosen (two numbers each); they decide on speed, not on results.
 SAMPLE = 100_000
 
@@ -80,7 +82,7 @@ def _centred(df: DataFrame, p: str, grid: _Grid) -> DataFrame:
     return out.withColumns({f"{p}fx": grid.cell(c("mx"), grid.minx), f"{p}fy": grid.cell(c("my"), grid.miny)})
 
 
-def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None) -> DataFrame:
+def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None, longest: int = 0) -> DataFrame:
     """l with __radius: no smaller than the distance to the k-th eligible right row, null where no bound was found."""
     levels = F.explode(F.array(*(F.lit(x) for x in grid.levels)))
     keys, held = ["fx", "fy"], ["level", "cx", "cy"]
@@ -91,7 +93,7 @@ def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None)
         l = l.withColumn("__ltl", F.when(many <= MOST_BUCKETS, F.lit(0)).otherwise(F.ceil(F.log2(many / MOST_BUCKETS))).cast("int"))
         width = lambda c: F.lit(bucket) * F.pow(F.lit(2.0), F.col(c))
         l = l.withColumns({"__lb0": F.ceil(F.col("__llo") / width("__ltl")), "__lb1": F.floor((F.col("__lhi") + 1) / width("__ltl")) - 1})
-        used = sorted(x[0] for x in l.select("__ltl").distinct().collect())
+        used = sorted(x[0] for x in l.select("__ltl").distinct().collect()) if longest >= MOST_BUCKETS * bucket else [0]
         right = right.withColumn("tl", F.explode(F.array(*(F.lit(x) for x in used)))).withColumn("tb", F.floor(F.col("lo") / width("tl")))
         held += ["tl", "tb"]
     counts = right.groupBy(*keys, *held[3:]).agg(F.count("*").alias("n"), F.max("half").alias("half")).withColumn("level", levels)
@@ -112,14 +114,14 @@ def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None)
     return out.withColumn("__radius", (F.col("bound") + F.col("__lhalf")) * (1 + 1e-9) + grid.span * 2.0**-48).drop("bound")
 
 
-def _gathered(l: DataFrame, r: DataFrame, lk: str, rk: str, grid: _Grid, bucket: int | None) -> DataFrame:
+def _gathered(l: DataFrame, r: DataFrame, lk: str, rk: str, grid: _Grid, bucket: int | None, longest: int = 0) -> DataFrame:
     """Candidate pairs: everything within the radius, each pair once."""
     if rk == POINT:
         sizes = {0: 0.0}
         r = r.withColumn("cls", F.lit(0))
     else:
         unit = grid.span / (1 << grid.top)
-        cls = F.when(F.col("__rhalf") <= unit, F.lit(0)).otherwise(F.ceil(F.log2(F.col("__rhalf") / unit))).cast("int")
+        cls = F.when(F.col("__rhalf") <= unit, F.lit(0)).otherwise(F.ceil(F.log2(F.col("__rhalf") / unit) / 2)).cast("int")
         r = r.withColumn("cls", cls)
         sizes = {x["cls"]: x["m"] for x in r.groupBy("cls").agg(F.max("__rhalf").alias("m")).collect()}
     classes = F.array(*(F.struct(F.lit(c).alias("cls"), F.lit(m).alias("m")) for c, m in sorted(sizes.items())))
@@ -128,7 +130,8 @@ def _gathered(l: DataFrame, r: DataFrame, lk: str, rk: str, grid: _Grid, bucket:
     fine = F.floor(F.log2(F.lit(2 * grid.span) / wide))
     level = F.greatest(F.lit(0), *(F.when(fine >= x, F.lit(x)).otherwise(F.lit(0)) for x in grid.levels))
     if bucket:
-        steps = lambda p: F.when(F.col(f"{p}hi") - F.col(f"{p}lo") <= bucket, F.lit(0)).otherwise(F.ceil(F.log2((F.col(f"{p}hi") - F.col(f"{p}lo")) / bucket))).cast("int")
+        length = lambda p: (F.col(f"{p}hi") - F.col(f"{p}lo")) / (LONG * bucket)
+        steps = lambda p: F.when(length(p) <= 1, F.lit(0)).otherwise(F.ceil(F.log2(length(p)))).cast("int")
         l, r = l.withColumn("__lti", steps("__l")), r.withColumn("__rti", steps("__r"))
     l = checkpointed(l.select("*", F.col("s.cls").alias("cls"), F.when(F.col("__radius").isNull(), F.lit(-1)).otherwise(level).alias("level")).drop("s"))
     used = sorted(x[0] for x in l.select("level").distinct().collect())
@@ -150,7 +153,8 @@ def _gathered(l: DataFrame, r: DataFrame, lk: str, rk: str, grid: _Grid, bucket:
     if bucket:
         # a pair meets on the step of its longer interval: each side goes to its own step and to the other side's wider ones
         width = F.lit(bucket) * F.pow(F.lit(2.0), F.col("ti"))
-        own = {p: sorted(x[0] for x in df.select(f"{p}ti").distinct().collect()) for p, df in (("__l", l), ("__r", r))}
+        several = longest > LONG * bucket
+        own = {p: sorted(x[0] for x in df.select(f"{p}ti").distinct().collect()) if several else [0] for p, df in (("__l", l), ("__r", r))}
 
         def timed(df, p, other):
             wider = F.filter(F.array(*(F.lit(x) for x in own[other])), lambda x: x > F.col(f"{p}ti"))
@@ -182,7 +186,7 @@ def _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms
     l, r = l.select(*keep("__l", lk)), r.select(*keep("__r", rk))
     if timed:
         l, r = l.where("__llo is not null and __lhi is not null"), r.where("__rlo is not null and __rhi is not null")
-    more = lambda p: [F.min(f"{p}lo").alias("lo"), F.max(f"{p}hi").alias("hi"), F.avg(F.col(f"{p}hi") - F.col(f"{p}lo")).alias("mean")] if timed else []
+    more = lambda p: [F.min(f"{p}lo").alias("lo"), F.max(f"{p}hi").alias("hi"), F.avg(F.col(f"{p}hi") - F.col(f"{p}lo")).alias("mean"), F.max(F.col(f"{p}hi") - F.col(f"{p}lo")).alias("longest")] if timed else []
     ls = stats(l, "__l", *more("__l"))
     if timed and ls.n:
         # right rows outside every left window can be nobody's neighbour
@@ -196,13 +200,13 @@ def _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms
     # fixed by the checkpoint of _gathered
     l = l.withColumn("__lrow", F.monotonically_increasing_id())
     l, r = _centred(l, "__l", grid), _centred(r, "__r", grid)
-    window = None
+    window, longest = None, 0
     if timed:
-        window = max(1, int(max(ls.mean, rs.mean)))
-        l = _radius(l, r, grid, k, max(1, int(ls.mean) // COUNT_SPLIT))
+        window, longest = max(1, int(max(ls.mean, rs.mean))), max(ls.longest, rs.longest)
+        l = _radius(l, r, grid, k, max(1, int(ls.mean) // COUNT_SPLIT), ls.longest)
     else:
         l = _radius(l, r, grid, k, None)
-    met = _gathered(l, r, lk, rk, grid, window)
+    met = _gathered(l, r, lk, rk, grid, window, longest)
     pairs = met.withColumn("distance", exact("__l", "__r", lk, rk)).select(F.col("__lrow").alias("lrow"), F.col("__lkey").alias("lkey"), F.col("__rkey").alias("rkey"), "distance")
     rank = F.row_number().over(Window.partitionBy("lrow").orderBy("distance", "rkey"))
     out = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
