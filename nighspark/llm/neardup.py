@@ -10,7 +10,7 @@ verified links join into components. A group of copies however large thus costs
 of buckets that still hold several components may have links left. These are found by an exact prefix join among them:
 with shingles ordered by how many of these classes have them, two sets at the threshold share one of the rarest of each,
 at places that leave room for the overlap needed, so edited copies just below the threshold make no pairs with their
-whole group. Every link counts only when verified on both full sets, recomputed from the texts.
+whole group. Every link counts only when verified on both full sets, which are worked out once for each class of a bucket.
 
 With the default 28 bands of 4 a pair at the threshold 0.8 shares no bucket with probability (1 - 0.8^4)^28 < 4e-7.
 
@@ -92,53 +92,42 @@ def _signed(df: DataFrame, id_col: str, text: str, width: int, bands: int, rows:
     return map_texts(rows_of, "text", "n long, class long, bands array<long>", make, keep=["row", "id"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets reach the threshold, as (smaller, larger).
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """class, n and s, the full shingle set (sorted hashes), of (class, text)."""
 
-    The text of a rides to the shuffle by b, so b should be the class that many pairs have.
-    """
+    def make():
+        def each(found):
+            sets = [shingle_set(t, width) for t in found]
+            size = np.array([len(x) for x in sets], np.int64)
+            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            return [pa.array(size), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat))]
 
-    def run(batches):
-        last: dict[int, np.ndarray] = {}
+        return each
 
-        def of(name, text):
-            if name not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[name] = shingle_set(text, width)
-            return last[name]
+    return map_texts(texts, "text", "n long, s array<long>", make, keep=["class"])
 
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for x, y, s, t in zip(a, b, ta, tb):
-                p, q = of(x, s), of(y, t)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    left = texts.select(F.col("class").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose full sets reach the threshold, as (smaller, larger).
+
+    The set of a rides to the shuffle by b, so b should be the class that many pairs have.
+    """
+    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = 100 * both >= percent * (F.col("na") + F.col("nb") - both)
+    reach = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    found = pairs.select("a", "b").join(left, "a").join(right, "b").where(reach).where(near)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _prefixes(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _prefixes(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """class, n, left, shingle, df: the rarest shingles of each class (class, n) that every partner shares one of.
 
     Sets of n and m at the threshold share at least need = percent * (n + m) / (100 + percent) shingles, so under any
     common order of shingles their first common one leaves that many at and behind it (`left`) in both.
     """
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-            size = np.array([len(x) for x in sets])
-            for at in range(0, len(sets), 64):
-                flat = np.concatenate(sets[at : at + 64])
-                names = np.repeat(batch.column(0).to_numpy()[at : at + 64], size[at : at + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(flat.view(np.int64))], names=["class", "shingle"])
-
-    each = written(texts.join(classes.select("class"), "class", "left_semi").select("class", "text").mapInArrow(run, "class long, shingle long"), "shingles")
+    each = written(sets.join(classes.select("class"), "class", "left_semi").select("class", F.explode("s").alias("shingle")), "shingles")
     often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one class come first in the order and match nothing: only their number is needed, as an offset
     kept = each.join(often, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
@@ -169,10 +158,10 @@ def _prefix_pairs(prefixes: DataFrame, components_of: DataFrame, percent: int, s
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def links_of(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between classes, enough to join every two classes that links within buckets join.
 
-    buckets: (key, class) with at least two classes a key; sizes: (class, n).
+    buckets: (key, class) with at least two classes a key; sets: (class, n, s) by sets_of().
     """
     sized = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("size")), "key")
     degree = sized.groupBy("class").agg(F.sum("size").alias("degree"))
@@ -185,7 +174,7 @@ def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int,
     sizes_of = sized.groupBy("key").agg(F.first("size").alias("size"), F.min("class").alias("a"), F.max("class").alias("b"))
     star = written(star.unionAll(sizes_of.where("size = 2").join(star, ["a", "b"], "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "star")
     buckets = written(sized.where("size > 2").select("key", "class"), "large")
-    links = written(_verified(star, texts, width, percent), "links")
+    links = written(_verified(star, sets, percent), "links")
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     prefixes = None
     # a few of each component's classes first: what they join needs no further pairs; then all that are left
@@ -193,14 +182,14 @@ def links_of(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, width: int,
         found = components(links).withColumnsRenamed({"id": "class", "component": "c"})
         members = buckets.join(found, "class", "left").withColumn("c", F.coalesce("c", "class"))
         still = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        classes = written(members.join(still, "key", "left_semi").select("class", "c").distinct().join(sizes, "class"), "open")
+        classes = written(members.join(still, "key", "left_semi").select("class", "c").distinct().join(sets.select("class", "n"), "class"), "open")
         if classes.isEmpty():
             break
         if prefixes is None:
-            prefixes = _prefixes(classes, texts, width, percent)
+            prefixes = _prefixes(classes, sets, percent)
         pairs = _prefix_pairs(prefixes, classes.select("class", "c"), percent, seed).join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        links = written(links.unionAll(_verified(pairs, texts, width, percent)), "links")
+        links = written(links.unionAll(_verified(pairs, sets, percent)), "links")
         tested = tested.unionAll(pairs)
     return links
 
@@ -213,12 +202,12 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     buckets = written(keyed.join(shared, "key", "left_semi").select("key", "class"), "buckets")
     in_bucket = buckets.select("class").distinct()
-    wanted = written(classes.groupBy("class").agg(F.min("row").alias("want"), F.first("n").alias("n")).join(in_bucket, "class", "left_semi"), "wanted")
+    wanted = written(classes.groupBy("class").agg(F.min("row").alias("want")).join(in_bucket, "class", "left_semi"), "wanted")
     source = df.select(row_key(df, id_col, text).alias("want"), F.col(text).alias("text"))
-    texts = written(source.join(maybe_broadcast(wanted.select("want", "class"), wanted.count(), BROADCAST_CLASSES), "want").dropDuplicates(["class"]).select("class", "text"), "texts")
-    links = links_of(buckets, wanted.select("class", "n"), texts, width, percent)
+    sets = written(sets_of(source.join(maybe_broadcast(wanted.select("want", "class"), wanted.count(), BROADCAST_CLASSES), "want").dropDuplicates(["class"]).select("class", "text"), width), "sets")
+    links = links_of(buckets, sets, percent)
     joined = components(links).withColumnsRenamed({"id": "class", "component": "root"})
-    drop_written(texts)
+    drop_written(sets, buckets, wanted)
     # the smallest id of each class, then of each group of classes; rows get it through their class
     lows = classes.groupBy("class").agg(F.min("id").alias("low"))
     rooted = lows.join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nighspark.llm.common import components, drop_written, joined_by, map_texts, mixed, row_key, runs_of, utf8, word_hashes, words, written
-from nighspark.llm.neardup import band_keys, links_of, min_max, shingle_set
+from nighspark.llm.neardup import band_keys, links_of, min_max
 
 PASSAGE_WORDS, WINDOW, SHINGLE, PERCENT = 26, 26, 5, 80
 #: Least words of a paragraph: the shingle and a few more, so that one has several shingles.
@@ -179,21 +179,24 @@ def _buckets(units: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, class long").distinct()
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, n (set size), text (words and blanks) of the wanted units (class, want, start, n)."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, n and s (full shingle set) of the wanted units (class, want, start, n)."""
     lists = written(wanted.groupBy("want").agg(F.collect_list(F.struct("class", "start", "n")).alias("units")), "wanted")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = words(text)
-                for u in units:
-                    unit = b" ".join(own[u["start"] : u["start"] + u["n"]]).decode("utf-8", "surrogatepass")
-                    out.append((u["class"], len(shingle_set(unit, SHINGLE)), unit))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["class", "n", "text"])
-
-    found = docs.join(lists, docs["row"] == lists["want"]).select("text", "units").mapInArrow(run, "class long, n long, text string")
+            names, sets = [np.empty(0, np.int64)], []
+            for text, units in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = runs_of(word_hashes(words(text)), SHINGLE)
+                name, start, n = (c.to_numpy() for c in units.values.flatten())
+                names.append(name)
+                sets += [np.unique(found[a : a + k - SHINGLE + 1]) for a, k in zip(start.tolist(), n.tolist())]
+            size = np.array([len(x) for x in sets], np.int64)
+            flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(size), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["class", "n", "s"])
+
+    found = docs.join(lists, docs["row"] == lists["want"]).select("text", "units").mapInArrow(run, "class long, n long, s array<long>")
     return found.dropDuplicates(["class"])
 
 
@@ -214,8 +217,8 @@ def repeated_spans(
     figures = each.groupBy("class").agg(F.first("row").alias("want"), F.first("start").alias("start"), F.first("n").alias("n"), F.count("*").alias("c"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min("id").alias("low"))
     met = buckets.select("class").distinct().withColumn("met", F.lit(True))
     classes = written(figures.join(met, "class", "left").where("met or lo <> hi"), "classes")
-    texts = written(_texts(docs, classes.where("met").select("class", "want", "start", "n")), "texts")
-    links = links_of(buckets, texts.select("class", "n"), texts.select("class", "text"), SHINGLE, PERCENT)
+    sets = written(_sets(docs, classes.where("met").select("class", "want", "start", "n")), "sets")
+    links = links_of(buckets, sets, PERCENT)
     joined = components(links).withColumnsRenamed({"id": "class", "component": "unit"})
     held = classes.select("class", "c", "lo", "hi", "low").join(joined, "class", "left").withColumn("unit", F.coalesce("unit", "class"))
     several = held.groupBy("unit").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.min("low").alias("keeper")).where("a <> b").select("unit", "keeper")
@@ -225,7 +228,7 @@ def repeated_spans(
     reach = F.max(F.col("start") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = hits.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     marked = written(marked.select("row", "id", "removed", "start", "n", "unit", F.xxhash64("row", "removed", "k").alias("span")), "spans")
-    drop_written(units, buckets, classes, texts, repeated)
+    drop_written(units, buckets, classes, sets, repeated)
     first = written(marked.groupBy("unit").agg(F.min("span").alias("first"), F.count("*").alias("c")), "firsts")
     joined = components(joined_by(marked.select("unit", "span"), first, "unit", "c").select(F.col("span").alias("a"), F.col("first").alias("b")))
     spans = marked.groupBy("span").agg(F.first("row").alias("row"), F.first("id").alias("id"), F.first("removed").alias("removed"), F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
