@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import drop_written, mixed, slices, utf8, word_hashes, words, written
+from nighspark.llm.common import drop_written, mixed, slices, word_hashes, words, written
 
 #: Bytes of each context, the bytes kept of a position (the longest context and the byte itself).
 CONTEXTS = (0, 1, 2, 3, 4, 5)
@@ -172,31 +172,49 @@ def _bucket(z: np.ndarray) -> np.ndarray:
 
 
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, inverse = np.unique(keys, return_inverse=True)
-    return key, np.bincount(inverse, weights=counts, minlength=len(key)).astype(np.int64)
+    """The distinct keys in ascending order and the sum of the counts of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+class _Tally:
+    """Sums of counts by key; parts are merged whenever as much is pending as is held."""
+
+    def __init__(self):
+        self.key, self.n, self.parts, self.pending = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((key, n))
+        self.pending += len(key)
+        if self.pending > max(len(self.key), 200_000):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts:
+            keys, counts = zip((self.key, self.n), *self.parts)
+            self.parts, self.pending = [], 0
+            self.key, self.n = _counted(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+        return self.key, self.n
 
 
 def _grams_of(train: DataFrame, text: str, most: int = 3_000_000) -> DataFrame:
     """(gram, n) over the training texts; tasks flush what they hold beyond `most` distinct ones."""
 
     def run(batches):
-        keys, counts, held = [], [], 0
+        tally = _Tally()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(tally.key.view(np.int64)), pa.array(tally.n)], names=["gram", "n"])
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at, to in slices([len(t or "") for t in texts], SLICE):
                 found = pc.value_counts(pa.array(grams(texts[at:to])[0]))
-                keys.append(found.field(0).to_numpy())
-                counts.append(found.field(1).to_numpy())
-                held += len(keys[-1])
-                if held > most:
-                    key, n = _counted(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts, held = [key], [n], len(key)
-                    if held > most // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
-                        keys, counts, held = [], [], 0
-        if keys:
-            key, n = _counted(np.concatenate(keys), np.concatenate(counts))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["gram", "n"])
+                tally.add(found.field(0).to_numpy(), found.field(1).to_numpy())
+                if len(tally.merge()[0]) > most:
+                    yield out()
+                    tally = _Tally()
+        tally.merge()
+        yield out()
 
     return train.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -281,10 +299,12 @@ def _mixer(state: dict) -> Mixer:
     return own
 
 
-def _word_slices(texts: list):
-    """(from, to, hash of each token of the slice, tokens of each text); every text ends with the end token."""
-    for at, to in slices([len(t or "") for t in texts], SLICE):
-        found = [words(t or "") for t in texts[at:to]]
+def _word_slices(column):
+    """(texts, from, to, hash of each token of the slice, tokens of each text) of a column; every text ends with the end token."""
+    size_of = np.nan_to_num(pc.binary_length(column).to_numpy().astype(float)).tolist()
+    for at, to in slices(size_of, SLICE):
+        texts = column.slice(at, to - at).to_pylist()
+        found = [words(t or "") for t in texts]
         size = np.array([len(w) + 1 for w in found], np.int64)
         hashes = np.empty(int(size.sum()), np.uint64)
         ends = np.cumsum(size) - 1
@@ -292,19 +312,18 @@ def _word_slices(texts: list):
         inner[ends] = False
         hashes[inner] = word_hashes([w for f in found for w in f])
         hashes[ends] = END
-        yield at, to, hashes, size
+        yield texts, at, to, hashes, size
 
 
 def _block_keys(table: pa.Table) -> pa.Table:
     """(block, spelled, key, n) of one block: its distinct words and 6-byte strings (spelled), and how often its training texts have them."""
-    texts, held = table["text"].to_pylist(), table["held_out"].to_numpy()
-    keys, counts = ([], []), ([], [])
-    for at, to, hashes, size in _word_slices(texts):
-        for i, (found, each) in enumerate(((hashes, size), grams(texts[at:to]))):
+    held, tallies = table["held_out"].to_numpy(), (_Tally(), _Tally())
+    for texts, at, to, hashes, size in _word_slices(table["text"]):
+        for tally, (found, each) in zip(tallies, ((hashes, size), grams(texts))):
             seen = pc.dictionary_encode(pa.array(found))
-            keys[i].append(seen.dictionary.to_numpy())
-            counts[i].append(np.bincount(seen.indices.to_numpy(), weights=np.repeat(~held[at:to], each), minlength=len(keys[i][-1])))
-    (word, n), (gram, m) = (_counted(np.concatenate(k), np.concatenate(c)) for k, c in zip(keys, counts))
+            distinct = seen.dictionary.to_numpy()
+            tally.add(distinct, np.bincount(seen.indices.to_numpy(), weights=np.repeat(~held[at:to], each), minlength=len(distinct)).astype(np.int64))
+    (word, n), (gram, m) = (t.merge() for t in tallies)
     block = np.full(len(word) + len(gram), table["block"][0].as_py(), np.int32)
     return pa.table([pa.array(block), pa.array(np.arange(len(block)) >= len(word)), pa.array(np.concatenate([word, gram]).view(np.int64)), pa.array(np.concatenate([n, m]))], names=["block", "spelled", "key", "n"])
 
@@ -339,9 +358,8 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
     def score(docs_of: pa.Table, keys_of: pa.Table) -> pa.Table:
         (key, c), (gram, cost_of) = (_by_key(keys_of.filter(pc.equal(keys_of["spelled"], x))) for x in (False, True))
         gain, known = np.log10(c + 0.1), c > 0
-        texts = docs_of["text"].to_pylist()
-        cols = [[], [], [], []]
-        for at, to, hashes, size in _word_slices(texts):
+        cols, length_of = [[], [], [], []], np.nan_to_num(pc.binary_length(docs_of["text"]).to_numpy().astype(float))
+        for texts, _, _, hashes, size in _word_slices(docs_of["text"]):
             found = pc.dictionary_encode(pa.array(hashes))
             where = np.searchsorted(key, found.dictionary.to_numpy())
             index = found.indices.to_numpy()
@@ -349,7 +367,7 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
             cols[0].append(size)
             cols[1].append(np.add.reduceat(known[where][index].astype(np.int64), first))
             cols[2].append(np.add.reduceat(gain[where][index], first))
-            g, length = grams(texts[at:to])
+            g, length = grams(texts)
             seen = pc.dictionary_encode(pa.array(g))
             cost = cost_of[np.searchsorted(gram, seen.dictionary.to_numpy())][seen.indices.to_numpy()]
             # a token's bytes run to the space behind it; the end token is one byte
@@ -362,13 +380,13 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
             token = np.where(share > 0, np.log10(10.0 ** np.maximum(unseen, -300) + seen_share * share), unseen)
             cols[3].append(np.add.reduceat(token, first))
         joined = [np.concatenate(x) for x in cols]
-        bits = -joined[3] / np.log10(2) / np.array([max(1, len(utf8(t or ""))) for t in texts])
+        bits = -joined[3] / np.log10(2) / np.maximum(length_of, 1)
         return pa.table([docs_of["id"], docs_of["held_out"], *(pa.array(x) for x in joined), pa.array(bits)], names=["id", "held_out", "n_tokens", "n_known", "gain", "score", "bits_per_byte"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, gain double, score double, bits_per_byte double"
     figures = counts.select("block", F.lit(False).alias("spelled"), F.col("word").alias("key"), F.col("c").cast("double").alias("c"))
-    figures = figures.unionAll(spelled.join(costs, "gram").select("block", F.lit(True), "gram", "cost"))
+    figures = figures.unionAll(spelled.join(costs.hint("shuffle_hash"), "gram").select("block", F.lit(True), "gram", "cost"))
     out = docs.groupBy("block").cogroup(figures.groupBy("block")).applyInArrow(score, schema)
     norm = float(np.log10(n + 0.1 * (v + 1)))
     return out.select(
