@@ -328,9 +328,9 @@ def _block_keys(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(block), pa.array(np.arange(len(block)) >= len(word)), pa.array(np.concatenate([word, gram]).view(np.int64)), pa.array(np.concatenate([n, m]))], names=["block", "spelled", "key", "n"])
 
 
-def _by_key(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _by_key(table: pa.Table, figure: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys in ascending order and their figures."""
-    key, c = table["key"].to_numpy().view(np.uint64), table["c"].to_numpy()
+    key, c = table["key"].to_numpy().view(np.uint64), table[figure].to_numpy()
     order = np.argsort(key)
     return key[order], c[order]
 
@@ -356,7 +356,7 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
     seen_share = WORD_WEIGHT * (1 - total[2] / n) if n else 0.0
 
     def score(docs_of: pa.Table, keys_of: pa.Table) -> pa.Table:
-        (key, c), (gram, cost_of) = (_by_key(keys_of.filter(pc.equal(keys_of["spelled"], x))) for x in (False, True))
+        (key, c), (gram, cost_of) = (_by_key(keys_of.filter(pc.equal(keys_of["spelled"], x)), y) for x, y in ((False, "c"), (True, "cost")))
         gain, known = np.log10(c + 0.1), c > 0
         cols, length_of = [[], [], [], []], np.nan_to_num(pc.binary_length(docs_of["text"]).to_numpy().astype(float))
         for texts, _, _, hashes, size in _word_slices(docs_of["text"]):
@@ -374,7 +374,7 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
             ends = (g & np.uint64(0xFF)) == np.uint64(0x20)
             ends[np.cumsum(length) - 1] = True
             ends = np.flatnonzero(ends)
-            spelled = np.add.reduceat(cost, np.concatenate(([0], ends[:-1] + 1)))
+            spelled = np.add.reduceat(cost.astype(np.float64), np.concatenate(([0], ends[:-1] + 1)))
             share = (c[where] / max(n, 1))[index]
             unseen = np.log10(1 - seen_share) + spelled
             token = np.where(share > 0, np.log10(10.0 ** np.maximum(unseen, -300) + seen_share * share), unseen)
@@ -385,8 +385,8 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
 
     kind = df.schema[doc_id].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, gain double, score double, bits_per_byte double"
-    figures = counts.select("block", F.lit(False).alias("spelled"), F.col("word").alias("key"), F.col("c").cast("double").alias("c"))
-    figures = figures.unionAll(spelled.join(costs.hint("shuffle_hash"), "gram").select("block", F.lit(True), "gram", "cost"))
+    figures = counts.select("block", F.lit(False).alias("spelled"), F.col("word").alias("key"), F.col("c").cast("double").alias("c"), F.lit(None).cast("float").alias("cost"))
+    figures = figures.unionAll(spelled.join(costs.hint("shuffle_hash"), "gram").select("block", F.lit(True), "gram", F.lit(None).cast("double"), F.col("cost").cast("float")))
     out = docs.groupBy("block").cogroup(figures.groupBy("block")).applyInArrow(score, schema)
     norm = float(np.log10(n + 0.1 * (v + 1)))
     return out.select(
