@@ -21,16 +21,18 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nighspark.llm.common import map_texts, slices, utf8
 
 MARK = "▁"
-MOST_NODES = 600_000
+MOST_NODES = 1_200_000
 #: Distinct pre-tokens that a task counts before it tokenises them and starts anew.
-MOST_WORDS = 200_000
+MOST_WORDS = 600_000
 #: Log probability of one fallback byte.
 BYTE_SCORE = -20.0
 
@@ -43,6 +45,13 @@ def _vocabulary(model_file: str):
     return sp, {i: sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
 
 
+def _distinct(texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of the texts, the number of each one among them, and how many each text has."""
+    split = [utf8(t).split() if t else [] for t in texts]
+    coded = pc.dictionary_encode(pa.array([w for found in split for w in found], pa.binary()))
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.array([len(found) for found in split], np.int64)
+
+
 def piece_counts(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """(piece, n): how often the tokenizer uses each piece (by id) for the pre-tokens of all rows."""
 
@@ -64,9 +73,9 @@ def piece_counts(df: DataFrame, model_file: str, text: str = "text") -> DataFram
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at, to in slices([len(t or "") for t in texts]):
-                for t in texts[at:to]:
-                    if t:
-                        held.update(utf8(t).split())
+                seen, index, _ = _distinct(texts[at:to])
+                for w, n in zip(seen, np.bincount(index, minlength=len(seen)).tolist()):
+                    held[w] += n
                 if len(held) > MOST_WORDS:
                     flush()
         flush()
@@ -86,13 +95,17 @@ class Trie:
     """Pre-tokens as paths; nodes hold the forward score and the number of pieces of their prefix."""
 
     def __init__(self, scores: dict[str, float], most: int = MOST_NODES):
-        self.scores, self.longest, self.most = scores, max(map(len, scores)), most
+        # pieces and all ends of pieces, which have no score: what is neither ends no piece
+        self.ends: dict[str, float | None] = dict.fromkeys(p[i:] for p in scores for i in range(1, len(p)))
+        self.ends.update(scores)
+        self.single = {p for p in scores if len(p) == 1}
+        self.most = most
         self._empty()
 
     def _empty(self) -> None:
         self.next: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
-        self.terminals: dict[bytes, tuple[int, float]] = {}
+        self.terminals: dict[bytes, int] = {}
 
     @property
     def nodes(self) -> int:
@@ -102,7 +115,7 @@ class Trie:
         """Adds the tokens that have no terminal yet; a full trie is left for a new one first."""
         if self.nodes > self.most:
             self._empty()
-        follow, best, count, scores, longest = self.next, self.best, self.count, self.scores, self.longest
+        follow, best, count, ends, single, no_end = self.next, self.best, self.count, self.ends, self.single, self
         for t in tokens:
             if t in self.terminals:
                 continue
@@ -114,22 +127,30 @@ class Trie:
                 path.append(node)
             for end in range(len(path), len(word) + 1):
                 top, pieces = None, 0
-                for start in range(max(0, end - longest), end):
-                    s = scores.get(word[start:end])
+                for start in range(end - 1, -1, -1):
+                    s = ends.get(word[start:end], no_end)
+                    if s is no_end:
+                        break
                     if s is not None:
-                        s += best[path[start]]
-                        if top is None or s > top or (s == top and count[path[start]] + 1 < pieces):
-                            top, pieces = s, count[path[start]] + 1
-                if word[end - 1] not in scores:
-                    n = len(utf8(word[end - 1]))
-                    s = best[path[end - 1]] + n * BYTE_SCORE
+                        at = path[start]
+                        s += best[at]
+                        if top is None or s > top or (s == top and count[at] + 1 < pieces):
+                            top, pieces = s, count[at] + 1
+                c = word[end - 1]
+                if c not in single:
+                    n = len(utf8(c))
+                    s = best[path[-1]] + n * BYTE_SCORE
                     if top is None or s > top:
-                        top, pieces = s, count[path[end - 1]] + n
-                follow[path[-1] << 21 | ord(word[end - 1])] = len(best)
+                        top, pieces = s, count[path[-1]] + n
+                follow[path[-1] << 21 | ord(c)] = len(best)
                 path.append(len(best))
                 best.append(top)
                 count.append(pieces)
-            self.terminals[t] = (count[path[-1]], best[path[-1]])
+            self.terminals[t] = path[-1]
+
+    def figures(self, tokens) -> list[tuple[int, float]]:
+        """Pieces and score of tokens that were inserted."""
+        return [(self.count[n], self.best[n]) for n in map(self.terminals.__getitem__, tokens)]
 
 
 def count_tokens(df: DataFrame, model_file: str, text: str = "text", scores: dict[str, float] | None = None) -> DataFrame:
@@ -145,11 +166,16 @@ def count_tokens(df: DataFrame, model_file: str, text: str = "text", scores: dic
         trie = Trie(shared.value)
 
         def each(texts):
-            split = [utf8(t).split() if t else [] for t in texts]
-            trie.insert({w for found in split for w in found})
-            got = trie.terminals
-            sums = [(len(f), sum(got[w][0] for w in f), math.fsum(got[w][1] for w in f)) for f in split]
-            return [pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([s[2] for s in sums], pa.float64())]
+            seen, index, size = _distinct(texts)
+            trie.insert(sorted(seen))  # neighbours in the trie one after the other
+            got = trie.figures(seen)
+            pieces, score = np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.float64)
+            tokens, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            some = np.flatnonzero(size)
+            if len(some):
+                first = (np.cumsum(size) - size)[some]
+                tokens[some], total[some] = np.add.reduceat(pieces[index], first), np.add.reduceat(score[index], first)
+            return [pa.array(size), pa.array(tokens), pa.array(total)]
 
         return each
 
