@@ -359,8 +359,9 @@ _CASES: dict[str, tuple[Query, str]] = {
     "pred_own": (_shape_join(lambda s, d: _shapes(_boxes(s, d, False)), lambda s, d: _shapes(_boxes(s, d, True)), lambda a, b: wkb_distance(a, b) <= 0), _pairs_sql(_boxes_sql(False), _boxes_sql(True), _MEET)),
     **{
         f"box_{name}": ((lambda name: lambda s, d: _ids(spatial_join(_boxes(s, d, True), _boxes(s, d, False), name, BOX, BOX)))(name), _pairs_sql(_boxes_sql(True), _boxes_sql(False), on))
-        for name, on in {"contains": _HOLDS, "within": _HELD, "touches": f"{_MEET} AND NOT ({_OPEN})", "overlaps": f"{_OPEN} AND NOT ({_HOLDS}) AND NOT ({_HELD})"}.items()
+        for name, on in {"contains": _HOLDS, "touches": f"{_MEET} AND NOT ({_OPEN})", "overlaps": f"{_OPEN} AND NOT ({_HOLDS}) AND NOT ({_HELD})"}.items()
     },
+    "box_within": (lambda s, d: _ids(spatial_join(_boxes(s, d, False), _boxes(s, d, True), "within", BOX, BOX)), _pairs_sql(_boxes_sql(False), _boxes_sql(True), _HELD)),
     "source_points": (lambda s, d: _point_file(s, d, False), f"SELECT id, x, y FROM {_events_sql()}"),
     "source_points_times": (lambda s, d: _point_file(s, d, True), f"SELECT id, x, y, ts AS time FROM {_events_sql()}"),
     "source_shapes": (_shape_file, f'SELECT s AS start, e AS "end", count(*) AS n, round(min(x), 6) AS minx, round(max(x + 1), 6) AS maxx, max(y) AS maxy FROM {_orders_sql()} GROUP BY s, e'),
