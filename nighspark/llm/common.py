@@ -226,11 +226,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc", fe
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
 
-def slices(sizes: list, most: int = SLICE_BYTES):
-    """(from, to) of runs of rows within SLICE_ROWS and `most` bytes."""
+def slices(sizes: list, most: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """(from, to) of runs of rows within `rows` rows and `most` bytes."""
     at = held = 0
     for i, size in enumerate(sizes):
-        if i > at and (i - at >= SLICE_ROWS or held + size > most):
+        if i > at and (i - at >= rows or held + size > most):
             yield at, i
             at, held = i, 0
         held += size
@@ -238,7 +238,7 @@ def slices(sizes: list, most: int = SLICE_BYTES):
         yield at, len(sizes)
 
 
-def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None = None, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> DataFrame:
     """df (or its columns `keep`) with the columns of `ddl` worked out from one text column, batch by batch.
 
     make() gives, once a task, a function from a list of texts to a list of Arrow arrays. Every other column goes
@@ -257,7 +257,7 @@ def map_texts(df: DataFrame, text: str, ddl: str, make, keep: list[str] | None =
         each = make()
         for batch in batches:
             sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
-            for at, to in slices(np.nan_to_num(sizes).tolist()):
+            for at, to in slices(np.nan_to_num(sizes).tolist(), most, rows):
                 part = batch.slice(at, to - at)
                 made = each(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=names)

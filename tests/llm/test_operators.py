@@ -555,10 +555,11 @@ def test_trie_scores_shared_prefixes_once():
     from nighspark.llm.tokencount import Trie
 
     trie = Trie({"a": -1.0, "b": -1.0, "ab": -1.5, "▁": -1.0})
+    figures = lambda word: tuple(x.tolist()[0] for x in trie.figures([word]))
     trie.insert([b"abab", b"abaa", b"ab"])
-    assert trie.nodes == len({"▁", "▁a", "▁ab", "▁aba", "▁abab", "▁abaa"}) and trie.figures([b"abab"]) == [(3, -4.0)]
+    assert trie.nodes == len({"▁", "▁a", "▁ab", "▁aba", "▁abab", "▁abaa"}) and figures(b"abab") == (3, -4.0)
     trie.insert([b"abb"])  # a later slice goes on from the nodes there are
-    assert trie.nodes == 7 and trie.figures([b"abb"]) == [(3, -3.5)]
+    assert trie.nodes == 7 and figures(b"abb") == (3, -3.5)
     trie.most = 0
     trie.insert([b"b"])
     assert list(trie.terminals) == [b"b"]
