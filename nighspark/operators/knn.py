@@ -6,8 +6,9 @@ need; levels on which nothing divides further are left out, so that a far row or
 Phase A bounds each left row's radius. Right rows are counted in the finest cells and the counts rolled up through coarser
 levels; any cell that holds a left row's centre and k right rows bounds the distance to its k-th neighbour by the cell's
 diagonal (plus half-sizes for boxes and shapes). Left rows of a cell share that bound, so the search for it runs over cells,
-not rows. With times, only right rows that start in time buckets wholly inside a left row's window count, which is a lower
-bound of those eligible; the buckets' width doubles with the window's, so any window is a bounded number of them.
+not rows. With times, right rows count that start in time buckets wholly inside a left row's window, and long ones that
+cover the bucket in which it begins (one bucket for each doubling of their length): a lower bound of those eligible. The
+buckets' width doubles with the window's, so any window is a bounded number of them.
 
 Phase B gathers. A left row is exploded over the cells its circle meets, on the level where these are few; right rows
 sit in one cell (that of their centre) of every level in use. Right rows are classed by half-size, so one huge geometry
@@ -82,8 +83,9 @@ def _centred(df: DataFrame, p: str, grid: _Grid) -> DataFrame:
     return out.withColumns({f"{p}fx": grid.cell(c("mx"), grid.minx), f"{p}fy": grid.cell(c("my"), grid.miny)})
 
 
-def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None, longest: int = 0) -> DataFrame:
+def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None, longest: int = 0, right_longest: int = 0) -> DataFrame:
     """l with __radius: no smaller than the distance to the k-th eligible right row, null where no bound was found."""
+    steps: list[int] = []
     levels = F.explode(F.array(*(F.lit(x) for x in grid.levels)))
     keys, held = ["fx", "fy"], ["level", "cx", "cy"]
     right = r.select(F.col("__rfx").alias("fx"), F.col("__rfy").alias("fy"), F.col("__rhalf").alias("half"), *([F.col("__rlo").alias("lo")] if bucket else []))
@@ -94,21 +96,38 @@ def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None,
         width = lambda c: F.lit(bucket) * F.pow(F.lit(2.0), F.col(c))
         l = l.withColumns({"__lb0": F.ceil(F.col("__llo") / width("__ltl")), "__lb1": F.floor((F.col("__lhi") + 1) / width("__ltl")) - 1})
         used = sorted(x[0] for x in l.select("__ltl").distinct().collect()) if longest >= MOST_BUCKETS * bucket else [0]
-        right = right.withColumn("tl", F.explode(F.array(*(F.lit(x) for x in used)))).withColumn("tb", F.floor(F.col("lo") / width("tl")))
+        starts = right.withColumn("tl", F.explode(F.array(*(F.lit(x) for x in used)))).withColumn("tb", F.floor(F.col("lo") / width("tl")))
         held += ["tl", "tb"]
+        if right_longest >= 2 * bucket:
+            # a row at least two buckets long covers the whole bucket after that in which it starts
+            length = F.col("__rhi") - F.col("__rlo")
+            step = F.floor(F.log2(length / (2 * bucket)))
+            step = F.when(length < F.lit(2.0 * bucket) * F.pow(F.lit(2.0), step), step - 1).otherwise(step).cast("int")
+            long = r.where(length >= 2 * bucket).withColumn("step", step).where("step >= 0")
+            steps = sorted(x[0] for x in long.select("step").distinct().collect())
+            covers = (F.floor(F.col("__rlo") / width("step")) + 1).alias("tb")
+            long = long.select(F.col("__rfx").alias("fx"), F.col("__rfy").alias("fy"), F.col("__rhalf").alias("half"), (-1 - F.col("step")).alias("tl"), covers)
+            starts = starts.drop("lo").unionByName(long)
+            l = l.withColumn("__lbegin", F.floor(F.col("__llo") / bucket))
+        right = starts
     counts = right.groupBy(*keys, *held[3:]).agg(F.count("*").alias("n"), F.max("half").alias("half")).withColumn("level", levels)
     up = lambda df: df.withColumn("cx", F.expr(f"shiftright(fx, {grid.top} - level)")).withColumn("cy", F.expr(f"shiftright(fy, {grid.top} - level)"))
     counts = up(counts).groupBy(*held).agg(F.sum("n").alias("n"), F.max("half").alias("half"))
-    left = l.select(F.col("__lfx").alias("fx"), F.col("__lfy").alias("fy"), *([F.col("__ltl").alias("tl"), F.col("__lb0").alias("b0"), F.col("__lb1").alias("b1")] if bucket else []))
+    left = l.select(F.col("__lfx").alias("fx"), F.col("__lfy").alias("fy"), *([F.col("__ltl").alias("tl"), F.col("__lb0").alias("b0"), F.col("__lb1").alias("b1")] if bucket else []), *([F.col("__lbegin").alias("begin")] if steps else []))
     if bucket:
-        keys += ["tl", "b0", "b1"]
-        asked = up(left.where("b0 <= b1").distinct().withColumn("level", levels)).withColumn("tb", F.explode(F.sequence("b0", "b1")))
-        enough = asked.join(counts, held).groupBy(*keys, "level").agg(F.sum("n").alias("n"), F.max("half").alias("half")).where(F.col("n") >= k)
+        keys += ["tl", "b0", "b1", *(["begin"] if steps else [])]
+        inside = F.when(F.col("b0") <= F.col("b1"), F.transform(F.sequence(F.least("b0", "b1"), F.col("b1")), lambda b: F.struct(F.col("tl").alias("tl"), b.alias("tb"))))
+        covered = F.array(*(F.struct(F.lit(-1 - t).alias("tl"), F.shiftright("begin", t).alias("tb")) for t in steps))
+        asked = left.distinct().withColumn("ask", F.explode(F.concat(F.coalesce(inside, F.array().cast("array<struct<tl:int,tb:bigint>>")), covered) if steps else inside))
+        asked = up(asked.withColumn("level", levels)).alias("asked")
+        on = [F.col(f"asked.{c}") == F.col(f"counts.{c}") for c in held[:3]] + [F.col(f"asked.ask.{c}") == F.col(f"counts.{c}") for c in held[3:]]
+        met = asked.join(counts.alias("counts"), on).select(*(f"asked.{c}" for c in [*keys, "level"]), "counts.n", "counts.half")
+        enough = met.groupBy(*keys, "level").agg(F.sum("n").alias("n"), F.max("half").alias("half")).where(F.col("n") >= k)
     else:
         enough = up(left.distinct().withColumn("level", levels)).join(counts.where(F.col("n") >= k), held)
     bound = F.lit(grid.span * math.sqrt(2)) / F.pow(F.lit(2.0), "level") + F.col("half")
     best = enough.groupBy(*keys).agg(F.min(bound).alias("bound"))
-    names = {"fx": "__lfx", "fy": "__lfy"} | ({"tl": "__ltl", "b0": "__lb0", "b1": "__lb1"} if bucket else {})
+    names = {"fx": "__lfx", "fy": "__lfy"} | ({"tl": "__ltl", "b0": "__lb0", "b1": "__lb1"} if bucket else {}) | ({"begin": "__lbegin"} if steps else {})
     out = l.join(best.withColumnsRenamed(names), list(names.values()), "left")
     # cells are numbered with rounding; a little more radius makes up for it
     return out.withColumn("__radius", (F.col("bound") + F.col("__lhalf")) * (1 + 1e-9) + grid.span * 2.0**-48).drop("bound")
@@ -203,7 +222,7 @@ def _ranked(left, right, k, left_geom, right_geom, left_key, right_key, delta_ms
     window, longest = None, 0
     if timed:
         window, longest = max(1, int(max(ls.mean, rs.mean))), max(ls.longest, rs.longest)
-        l = _radius(l, r, grid, k, max(1, int(ls.mean) // COUNT_SPLIT), ls.longest)
+        l = _radius(l, r, grid, k, max(1, int(ls.mean) // COUNT_SPLIT), ls.longest, rs.longest)
     else:
         l = _radius(l, r, grid, k, None)
     met = _gathered(l, r, lk, rk, grid, window, longest)

@@ -149,6 +149,18 @@ def test_one_long_interval_among_short_ones(spark):
     assert got == brute(a, b, 3, lambda i, j: tb[j][0] <= ta[i][1] + 40 and tb[j][1] >= ta[i][0] - 40)
 
 
+@pytest.mark.parametrize("reach", [400_000, 5_000_000])
+def test_long_intervals_that_cover_short_windows(spark, reach):
+    """Right rows that begin long before any window bound the radius all the same."""
+    rng = np.random.default_rng(12)
+    a, b = as_boxes(rng.uniform(0, 1, (80, 2))), as_boxes(rng.uniform(0, 1, (2000, 2)))
+    ta = np.stack([s := rng.integers(0, 1000, 80), s + rng.integers(0, 30, 80)], 1)
+    tb = np.stack([s := -rng.integers(0, reach, 2000), s + rng.integers(reach // 2, reach, 2000)], 1)
+    got, looked = candidates(lambda: st_knn_join(timed(spark, a, ta), timed(spark, b, tb), 3, 5_000, ("s", "e"), ("s", "e"), BOX, BOX))
+    assert got == brute(a, b, 3, lambda i, j: tb[j][0] <= ta[i][1] + 5 and tb[j][1] >= ta[i][0] - 5)
+    assert looked < 0.1 * len(a) * len(b)
+
+
 def test_left_keys_that_repeat(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (1, 10.0, 10.0), (1, 10.0, 10.0)], "id long, x double, y double")
     b = points(spark, [(0, 0), (1, 0), (10, 10), (9, 10)])
