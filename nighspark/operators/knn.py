@@ -98,17 +98,20 @@ def _radius(l: DataFrame, r: DataFrame, grid: _Grid, k: int, bucket: int | None,
         used = sorted(x[0] for x in l.select("__ltl").distinct().collect()) if longest >= MOST_BUCKETS * bucket else [0]
         starts = right.withColumn("tl", F.explode(F.array(*(F.lit(x) for x in used)))).withColumn("tb", F.floor(F.col("lo") / width("tl")))
         held += ["tl", "tb"]
-        if right_longest >= 2 * bucket:
-            # a row at least two buckets long covers the whole bucket after that in which it starts
+        least = LONG * COUNT_SPLIT * bucket
+        if right_longest >= least:
+            # a row at least two buckets long covers the whole bucket after that in which it starts; only rows much longer
+            # than windows are counted by this, of others enough start inside
             length = F.col("__rhi") - F.col("__rlo")
             step = F.floor(F.log2(length / (2 * bucket)))
             step = F.when(length < F.lit(2.0 * bucket) * F.pow(F.lit(2.0), step), step - 1).otherwise(step).cast("int")
-            long = r.where(length >= 2 * bucket).withColumn("step", step).where("step >= 0")
-            steps = sorted(x[0] for x in long.select("step").distinct().collect())
+            long = r.where(length >= least).withColumn("step", step)
+            steps = sorted(x["step"] for x in long.groupBy("step").count().where(F.col("count") >= k).collect())
             covers = (F.floor(F.col("__rlo") / width("step")) + 1).alias("tb")
-            long = long.select(F.col("__rfx").alias("fx"), F.col("__rfy").alias("fy"), F.col("__rhalf").alias("half"), (-1 - F.col("step")).alias("tl"), covers)
-            starts = starts.drop("lo").unionByName(long)
-            l = l.withColumn("__lbegin", F.floor(F.col("__llo") / bucket))
+            long = long.select(F.col("__rfx").alias("fx"), F.col("__rfy").alias("fy"), F.col("__rhalf").alias("half"), (-1 - F.col("step")).alias("tl"), covers).where(F.col("tl").isin([-1 - t for t in steps]))
+            if steps:
+                starts = starts.drop("lo").unionByName(long)
+                l = l.withColumn("__lbegin", F.floor(F.col("__llo") / bucket))
         right = starts
     counts = right.groupBy(*keys, *held[3:]).agg(F.count("*").alias("n"), F.max("half").alias("half")).withColumn("level", levels)
     up = lambda df: df.withColumn("cx", F.expr(f"shiftright(fx, {grid.top} - level)")).withColumn("cy", F.expr(f"shiftright(fy, {grid.top} - level)"))
