@@ -22,7 +22,7 @@ docs AS (
 ), found AS (SELECT doc_id, b AS shard, CASE WHEN j = 40 THEN 40 ELSE b END AS grown_shard FROM jump WHERE j >= 40),
 mix AS (SELECT doc_id, min(key) AS key FROM jump WHERE b = -1 GROUP BY doc_id)
 SELECT d.doc_id, d.size, d.text_crc32, 'key' AS law, CAST(f.shard AS INTEGER) AS shard,
-  row_number() OVER (PARTITION BY f.shard ORDER BY ((m.key * CAST(2862933555777941757 AS HUGEINT) + 1) % 4294967296) // 65536, d.doc_id NULLS FIRST, d.text_crc32, d.size) - 1 AS slot,
+  row_number() OVER (PARTITION BY f.shard ORDER BY (((m.key * CAST(2862933555777941757 AS HUGEINT) + 1) % 4294967296) // 65536 + d.text_crc32) % 65536, d.doc_id NULLS FIRST, d.text_crc32, d.size) - 1 AS slot,
   CAST(f.grown_shard AS INTEGER) AS grown_shard
 FROM docs d JOIN found f ON d.doc_id IS NOT DISTINCT FROM f.doc_id JOIN mix m ON d.doc_id IS NOT DISTINCT FROM m.doc_id
 """

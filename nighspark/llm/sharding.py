@@ -76,15 +76,16 @@ def jump_shard(df: DataFrame, key: str, shards: int, shard_col: str = "shard", g
 def shard_layout(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", rows_per_bucket: int = 200_000) -> DataFrame:
     """One row per row of df: key, size, text_crc32, law, shard, slot, grown_shard.
 
-    Slots number each shard from 0 without gaps, ordered by 16 bits of the generator's low half, then key and digest.
-    They are counted per (shard, range of those bits), so no task ranks a whole shard; equal rows are counted before
-    the shuffle and spread out again after it, so a hot key is one row on the way.
+    Slots number each shard from 0 without gaps, ordered by 16 bits of the generator's low half and the text's digest, then
+    key and digest. They are counted per (shard, range of those bits), so no task ranks a whole shard or all texts of a hot
+    key; equal rows are counted before the shuffle and spread out again after it, so they are one row on the way.
     """
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     digest = df.select(F.col(key).alias("key"), (F.octet_length(raw) + SIZE_OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("crc"))
     each = digest.groupBy("key", "size", "crc").agg(F.count("*").alias("c"))
     each = jump_shard(each, "key", shards, "shard", "grown_shard")
-    mix = F.shiftright(_product(*_halves(F.col("key")))[1], 16)
+    # the digest keeps different texts of one hot key out of one task
+    mix = F.pmod(F.shiftright(_product(*_halves(F.col("key")))[1], 16) + F.col("crc"), _long(65536))
     buckets = max(1, min(65536, 1 << max(0, (df.count() // rows_per_bucket).bit_length())))
     each = each.withColumn("mix", mix).withColumn("bucket", F.floor(F.col("mix") * buckets / 65536).cast("int"))
     totals = each.groupBy("shard", "bucket").agg(F.sum("c").alias("t"))

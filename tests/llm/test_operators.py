@@ -43,17 +43,20 @@ def test_jump_matches_the_plain_loop(spark, shards):
 def test_layout(spark):
     from nighspark.llm.sharding import shard_layout
 
-    rows = [(i, f"t{i}") for i in range(300)] + [(5, "same")] * 40 + [(None, None), (None, "")]
+    rows = [(i, f"t{i}") for i in range(300)] + [(5, "same")] * 40 + [(7, f"text {i} of a hot key") for i in range(60)] + [(None, None), (None, "")]
     got = shard_layout(spark.createDataFrame(rows, "doc_id long, text string"), 6, rows_per_bucket=20).collect()
     assert len(got) == len(rows)
     for shard in range(6):
         slots = sorted(r["slot"] for r in got if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     for r in got:
-        if r["doc_id"] is not None and r["doc_id"] != 5:
+        if r["doc_id"] is not None and r["doc_id"] not in (5, 7):
             text = f"t{r['doc_id']}".encode()
             assert (r["size"], r["text_crc32"]) == (len(text) + 16, zlib.crc32(text))
     assert [(r["size"], r["text_crc32"]) for r in got if r["doc_id"] is None] == [(16, 0)] * 2
+    # the rows of a hot key lie in one shard but not next to each other
+    hot = sorted(r["slot"] for r in got if r["doc_id"] == 7)
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) == 1 and hot[-1] - hot[0] >= 60
     assert shard_layout(spark.createDataFrame([], "doc_id long, text string"), 6).count() == 0
 
 
