@@ -156,3 +156,37 @@ def test_box_predicates_match_exact_geometry(spark, name):
 def test_equal_points_beside_a_far_one(spark):
     rows = [(0, 0), (0, 0), (1e-9, 0), (1e9, 1e9), (-0.0, 0)]
     assert ids(distance_join(points(spark, rows), points(spark, rows), 0.0)) == sorted((i, j) for i, p in enumerate(rows) for j, q in enumerate(rows) if p == q)
+
+
+def test_flat_boxes_make_flat_cells():
+    from types import SimpleNamespace
+
+    from nighspark.operators.distance import _sides_of_cell
+
+    side = SimpleNamespace(n=10, w=40.0, h=2.0, minx=0.0, miny=0.0, maxx=1000.0, maxy=100.0)
+    assert _sides_of_cell(side, side, 0.0) == (40.0, 2.0) and _sides_of_cell(side, side, 3.0) == (40.0, 6.0)
+
+
+@pytest.mark.parametrize("name", ["intersects", "contains", "covered_by", "touches", "crosses", "overlaps", "equals"])
+def test_shapes_that_fill_their_envelopes_beside_others(spark, name):
+    from nighspark.functions import geometry as G
+    from tests.test_geometry import _some
+
+    rng = np.random.default_rng(8)
+    shapes = _some(rng)
+    rows = lambda held: spark.createDataFrame([(i, G.to_wkt(g)) for i, g in held], "id long, g string")
+    left, right = list(enumerate(shapes[::3])), list(enumerate(shapes[::4]))
+    want = sorted((i, j) for i, a in left for j, b in right if G.test(name, a, b))
+    assert ids(spatial_join(rows(left), rows(right), name, "g", "g")) == want
+
+
+def test_boxes_drawn_as_shapes_are_compared_in_the_jvm(spark):
+    from nighspark.functions.st import st_from_wkt
+    from nighspark.plans.shared import checkpointed
+
+    at = np.random.default_rng(9).integers(0, 9, (40, 2)).tolist()
+    texts = [(i, f"POLYGON (({x} {y}, {x + 3} {y}, {x + 3} {y + 1}, {x} {y + 1}, {x} {y}))") for i, (x, y) in enumerate(at)]
+    shapes = checkpointed(spark.createDataFrame(texts, "id long, t string").select("id", st_from_wkt(F.col("t")).alias("g")))
+    out = spatial_join(shapes, shapes, "overlaps", "g", "g")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert ids(out) == [(i, j) for i, (x, y) in enumerate(at) for j, (u, v) in enumerate(at) if (x, y) != (u, v) and y == v and abs(x - u) < 3]
