@@ -190,3 +190,22 @@ def test_boxes_drawn_as_shapes_are_compared_in_the_jvm(spark):
     out = spatial_join(shapes, shapes, "overlaps", "g", "g")
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     assert ids(out) == [(i, j) for i, (x, y) in enumerate(at) for j, (u, v) in enumerate(at) if (x, y) != (u, v) and y == v and abs(x - u) < 3]
+
+
+@pytest.mark.parametrize("d", [None, 0.5])
+@pytest.mark.parametrize("together", [256, 3])
+def test_copies_of_boxes_go_through_the_join_together(spark, monkeypatch, d, together):
+    from nighspark.operators import distance
+
+    monkeypatch.setattr(distance, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    a, b = np.tile(some_boxes(rng, 40), (9, 1)), np.concatenate([np.tile(some_boxes(rng, 30), (6, 1)), some_boxes(rng, 5)])
+    join = lambda l, r: spatial_join(l, r, "overlaps", BOX, BOX) if d is None else distance_join(l, r, d, BOX, BOX)
+    out = join(boxes(spark, a), boxes(spark, b))
+    assert "rows" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = ids(out)
+    monkeypatch.setattr(distance, "COPIES", 1000)
+    plain = join(boxes(spark, a), boxes(spark, b))
+    assert out.schema == plain.schema and got == ids(plain)
+    if d is not None:
+        assert got == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if gap(p, q) <= d)
