@@ -202,7 +202,8 @@ def test_copies_of_boxes_go_through_the_join_together(spark, monkeypatch, d, tog
     a, b = np.tile(some_boxes(rng, 40), (9, 1)), np.concatenate([np.tile(some_boxes(rng, 30), (6, 1)), some_boxes(rng, 5)])
     join = lambda l, r: spatial_join(l, r, "overlaps", BOX, BOX) if d is None else distance_join(l, r, d, BOX, BOX)
     out = join(boxes(spark, a), boxes(spark, b))
-    assert "rows" in out._jdf.queryExecution().optimizedPlan().toString()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__lrows" in plan and "lambdafunction" in plan
     got = ids(out)
     monkeypatch.setattr(distance, "COPIES", 1000)
     plain = join(boxes(spark, a), boxes(spark, b))
