@@ -29,13 +29,15 @@ baseline has N = V = 0 and the mixing model is uniform; other columns play no pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import drop_written, mixed, slices, word_hashes, words, written
+from nighspark.llm.common import drop_written, mixed, slices, trimmed, word_hashes, words, written
 
 #: Bytes of each context, the bytes kept of a position (the longest context and the byte itself).
 CONTEXTS = (0, 1, 2, 3, 4, 5)
@@ -46,6 +48,8 @@ BLOCK_BYTES = 16_000_000
 RATE, EPOCHS, ROUNDS, BUCKETS = 0.02, 4, 2, 33
 #: Bytes of text whose strings of 6 bytes are held at once: each byte takes about 50.
 SLICE = 500_000
+#: Rows of a batch that leaves a block.
+OUT_ROWS = 65_536
 #: Hash standing for the end token.
 END = np.uint64(0x5DEECE66D1234567)
 WORD_WEIGHT = 0.7
@@ -235,7 +239,9 @@ def gram_costs(mixer: Mixer, cells: DataFrame) -> DataFrame:
 
     def costs(table: pa.Table) -> pa.Table:
         gram, n = _arrays(table)
-        return pa.table([table["gram"], pa.array(_mixer(shared.value).costs(gram, n))], names=["gram", "cost"])
+        cost = _mixer(shared.value).costs(gram, n)
+        trimmed()
+        return pa.table([table["gram"], pa.array(cost)], names=["gram", "cost"])
 
     return _bucketed(cells).select("gram", "n", "bucket").groupBy("bucket").applyInArrow(costs, "gram long, cost double")
 
@@ -315,17 +321,24 @@ def _word_slices(column):
         yield texts, at, to, hashes, size
 
 
-def _block_keys(table: pa.Table) -> pa.Table:
+def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, spelled, key, n) of one block: its distinct words and 6-byte strings (spelled), and how often its training texts have them."""
-    held, tallies = table["held_out"].to_numpy(), (_Tally(), _Tally())
-    for texts, at, to, hashes, size in _word_slices(table["text"]):
-        for tally, (found, each) in zip(tallies, ((hashes, size), grams(texts))):
-            seen = pc.dictionary_encode(pa.array(found))
-            distinct = seen.dictionary.to_numpy()
-            tally.add(distinct, np.bincount(seen.indices.to_numpy(), weights=np.repeat(~held[at:to], each), minlength=len(distinct)).astype(np.int64))
-    (word, n), (gram, m) = (t.merge() for t in tallies)
-    block = np.full(len(word) + len(gram), table["block"][0].as_py(), np.int32)
-    return pa.table([pa.array(block), pa.array(np.arange(len(block)) >= len(word)), pa.array(np.concatenate([word, gram]).view(np.int64)), pa.array(np.concatenate([n, m]))], names=["block", "spelled", "key", "n"])
+    tallies, block = (_Tally(), _Tally()), None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held, block = table["held_out"].to_numpy(), table["block"][0].as_py()
+        for texts, at, to, hashes, size in _word_slices(table["text"]):
+            for tally, (found, each) in zip(tallies, ((hashes, size), grams(texts))):
+                seen = pc.dictionary_encode(pa.array(found))
+                distinct = seen.dictionary.to_numpy()
+                tally.add(distinct, np.bincount(seen.indices.to_numpy(), weights=np.repeat(~held[at:to], each), minlength=len(distinct)).astype(np.int64))
+    for spelled, tally in enumerate(tallies):
+        key, n = tally.merge()
+        for at in range(0, len(key), OUT_ROWS):
+            k, c = key[at : at + OUT_ROWS].view(np.int64), n[at : at + OUT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int32)), pa.array(np.full(len(k), bool(spelled))), pa.array(k), pa.array(c)], names=["block", "spelled", "key", "n"])
+    table = batch = texts = hashes = found = seen = distinct = tally = tallies = key = n = None
+    trimmed()
 
 
 def _by_key(table: pa.Table, figure: str) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +369,7 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
     seen_share = WORD_WEIGHT * (1 - total[2] / n) if n else 0.0
 
     def score(docs_of: pa.Table, keys_of: pa.Table) -> pa.Table:
-        (key, c), (gram, cost_of) = (_by_key(keys_of.filter(pc.equal(keys_of["spelled"], x)), y) for x, y in ((False, "c"), (True, "cost")))
+        (key, c), (gram, cost_of) = (_by_key(keys_of.select(["key", y]).filter(pc.equal(keys_of["spelled"], x)), y) for x, y in ((False, "c"), (True, "cost")))
         gain, known = np.log10(c + 0.1), c > 0
         cols, length_of = [[], [], [], []], np.nan_to_num(pc.binary_length(docs_of["text"]).to_numpy().astype(float))
         for texts, _, _, hashes, size in _word_slices(docs_of["text"]):
@@ -381,6 +394,8 @@ def score_texts(df: DataFrame, doc_id: str, text: str, held_out: Column, block_b
             cols[3].append(np.add.reduceat(token, first))
         joined = [np.concatenate(x) for x in cols]
         bits = -joined[3] / np.log10(2) / np.maximum(length_of, 1)
+        del key, c, gram, cost_of, gain, known
+        trimmed()
         return pa.table([docs_of["id"], docs_of["held_out"], *(pa.array(x) for x in joined), pa.array(bits)], names=["id", "held_out", "n_tokens", "n_known", "gain", "score", "bits_per_byte"])
 
     kind = df.schema[doc_id].dataType.simpleString()

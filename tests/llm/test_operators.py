@@ -611,3 +611,35 @@ def test_items_that_share_an_id(spark):
         for i, t in enumerate(texts):
             n, hit, found = plain.contamination(t, [("" if x is None else x, y) for x, y in items])
             assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (n, hit, len(found)), (items, t)
+
+
+def test_keys_of_a_block_leave_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from nighspark.llm import lmscore
+
+    monkeypatch.setattr(lmscore, "OUT_ROWS", 10)
+    texts, held = ["a word and a word", None, "another word here", "held out text"], [False, False, False, True]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[at : at + 2]), pa.array(held[at : at + 2]), pa.array([7, 7], pa.int32())], names=["text", "held_out", "block"]) for at in (0, 2)]
+    out = list(lmscore._block_keys(iter(batches)))
+    assert len(out) > 2 and max(b.num_rows for b in out) == 10
+    found = pa.Table.from_batches(out).to_pydict()
+    assert set(found["block"]) == {7} and len({*zip(found["spelled"], found["key"])}) == len(found["key"])
+    counts = {k: n for k, n, s in zip(found["key"], found["n"], found["spelled"]) if not s}
+    word = int(lmscore.word_hashes([b"word"]).view(np.int64)[0])
+    assert counts[word] == 3 and counts[int(np.array([lmscore.END]).view(np.int64)[0])] == 3 and sorted(counts.values()) == [0, 0, 0, 1, 1, 1, 2, 3, 3]
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from nighspark.llm.common import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    small_batches(spark)
+    found = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t")).mapInArrow(sizes, "n long").collect()
+    assert len(found) > 10 and max(r["n"] for r in found) < 2_500_000
