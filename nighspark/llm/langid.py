@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nighspark.llm.common import map_texts, slices
+from nighspark.llm.common import map_texts, slices, trimmed
 
 UNKNOWN = "und"
 BITS = 16
@@ -91,7 +91,7 @@ class Words:
         letter = script >= 0
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
-        marks = np.concatenate(([0], np.cumsum(script >= MARK)))
+        marks = np.concatenate(([0], np.cumsum(script >= MARK, dtype=np.int32)))
         if marks[-1]:
             some = marks[self.ends] - marks[self.starts] < self.ends - self.starts
             self.starts, self.ends = self.starts[some], self.ends[some]
@@ -139,6 +139,8 @@ def _learn(labelled: DataFrame, text: str, lang: str, bits: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([of] * (len(at) + len(got))), pa.array(np.concatenate([at, -1 - got])), pa.array(np.concatenate([cells[at], scripts[got]]))], names=["lang", "cell", "n"]
             )
+        batch = texts = w = None
+        trimmed()
 
     got = labelled.select(text, lang).mapInArrow(run, "lang string, cell long, n long")
     return got.groupBy("lang", "cell").agg(F.sum("n").alias("n"))
