@@ -210,3 +210,41 @@ def test_copies_of_boxes_go_through_the_join_together(spark, monkeypatch, d, tog
     assert out.schema == plain.schema and got == ids(plain)
     if d is not None:
         assert got == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if gap(p, q) <= d)
+
+
+def framed(spark, copies=1):
+    """Frames (rectangles with a rectangle as a hole) and points, several of each of one place, and what they hold."""
+    rng = np.random.default_rng(14)
+    at, spots = np.tile(rng.integers(0, 20, (30, 2)), (copies, 1)).tolist(), np.tile(rng.integers(0, 24, (40, 2)), (copies, 1)).tolist()
+    ring = lambda a, b, c, d: f"({a} {b}, {c} {b}, {c} {d}, {a} {d}, {a} {b})"
+    frames = spark.createDataFrame([(i, f"POLYGON ({ring(x, y, x + 6, y + 6)}, {ring(x + 2, y + 2, x + 4, y + 4)})") for i, (x, y) in enumerate(at)], "id long, g string")
+    held = [(i, j) for i, (x, y) in enumerate(at) for j, (u, v) in enumerate(spots) if x < u < x + 6 and y < v < y + 6 and not (x + 2 <= u <= x + 4 and y + 2 <= v <= y + 4)]
+    return frames, spark.createDataFrame([(i, f"POINT ({u} {v})") for i, (u, v) in enumerate(spots)], "id long, g string"), held
+
+
+@pytest.mark.parametrize("together", [256, 3])
+def test_copies_of_shapes_go_through_the_join_together(spark, monkeypatch, together):
+    """What is tested in Python is pairs of shapes, not of rows, and no side is broadcast by what its files suggest."""
+    from nighspark.functions.st import st_from_wkt
+    from nighspark.operators import distance
+
+    monkeypatch.setattr(distance, "TOGETHER", together)
+    frames, spots, held = framed(spark, 7)
+    out = spatial_join(frames, spots.select(st_from_wkt(F.col("g")).alias("g"), "id"), "contains", "g", "g")
+    plan = out._jdf.queryExecution().toString()
+    assert "__lrows" in plan and "__rrows" in plan and "Broadcast" not in plan
+    assert ids(out) == held and out.columns == ["id", "g", "g_right", "id_right"]
+    text = {r["id"]: r["g"] for r in frames.collect()}
+    assert all(r["g"] == text[r["id"]] for r in out.collect())
+    assert spatial_join(frames.select("g"), spots.select("g"), "contains", "g", "g").count() == len(held)
+    near = distance_join(frames, spots, 0.0, "g", "g")
+    assert near.count() == len(near.select("id", "id_right").distinct().collect()) > len(held)
+
+
+def test_shapes_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    frames, spots, held = framed(spark)
+    frames.write.parquet(str(tmp_path / "frames"))
+    spots.write.parquet(str(tmp_path / "spots"))
+    out = spatial_join(*(spark.read.parquet(str(tmp_path / name)) for name in ("frames", "spots")), "contains", "g", "g")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert ids(out) == held
