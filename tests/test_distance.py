@@ -248,3 +248,18 @@ def test_shapes_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
     out = spatial_join(*(spark.read.parquet(str(tmp_path / name)) for name in ("frames", "spots")), "contains", "g", "g")
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert ids(out) == held
+
+
+def test_copies_of_parts_meet_copies_of_boxes(spark):
+    """Geometries of two rectangles against rectangles, several of each of one place: pairs of shapes are tested once."""
+    from nighspark.operators import distance
+
+    rng = np.random.default_rng(15)
+    at, to = np.tile(rng.integers(0, 30, (25, 2)), (8, 1)).tolist(), np.tile(rng.integers(0, 40, (35, 2)), (8, 1)).tolist()
+    ring = lambda x, y: f"(({x} {y}, {x + 2} {y}, {x + 2} {y + 1}, {x} {y + 1}, {x} {y}))"
+    twins = spark.createDataFrame([(i, f"MULTIPOLYGON ({ring(x, y)}, {ring(x + 10, y)})") for i, (x, y) in enumerate(at)], "id long, g string")
+    plain = spark.createDataFrame([(i, f"POLYGON {ring(x, y)}") for i, (x, y) in enumerate(to)], "id long, g string")
+    _, pairs, _, _ = distance._candidates(twins, plain, "g", "g", 0.0, None, False, True)
+    assert pairs.count() <= 25 * 35
+    got = ids(spatial_join(twins, plain, "intersects", "g", "g"))
+    assert got == [(i, j) for i, (x, y) in enumerate(at) for j, (u, v) in enumerate(to) if abs(y - v) <= 1 and (abs(x - u) <= 2 or abs(x + 10 - u) <= 2)]
