@@ -21,5 +21,5 @@ def stream_distance_join(stream: DataFrame, table: DataFrame, distance: float, c
     pad = distance * (1 + 1e-9) + cell * 2.0**-40
     for n in ENVELOPE:
         l = l.withColumn(f"__w{n}", F.col(f"__l{n}") + (-pad if n.startswith("min") else pad))
-    pairs = _pairs(l, lk, r, rk, pad, cell).withColumn("__distance", exact("__l", "__r", lk, rk)).where(F.col("__distance") <= distance)
+    pairs = _pairs(l, lk, r, rk, pad, (cell, cell)).withColumn("__distance", exact("__l", "__r", lk, rk)).where(F.col("__distance") <= distance)
     return pairs.select(*payload(stream, "__l"), *payload(table, "__r", suffix, set(stream.columns)), F.col("__distance").alias("distance"))
